@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _U = np.uint64
 _BASE_BYTE, _BASE_WORD = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _space = np.zeros(256, bool)
 _space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import arrays
 from tessera.llm.workspace import Workspace, shuffle_width
 
 MARK = 512
@@ -104,20 +105,19 @@ class Codebook:
 
         All segments advance together: each round looks up one id in every one.
         """
-        data = np.frombuffer(payload + b"\0" * 8, np.uint8)
-        out = np.zeros(int(counts.sum()), np.int64)
+        data = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
+        windows = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # 32 bits from each byte on
+        out = np.zeros(int(counts.sum()), np.uint32)
         by = np.argsort(-counts, kind="stable")
         place = np.concatenate([[0], np.cumsum(counts)])[:-1][by]
         at, left = starts[by].astype(np.int64), counts[by]
-        mask = (1 << self.width) - 1
+        drop = np.uint32(32 - self.width)
         for k in range(int(left[0]) if len(left) else 0):
             n = int(np.searchsorted(-left, -k, "left"))  # those with more than k ids
             p = at[:n]
-            byte = p >> 3
-            window = (data[byte].astype(np.int64) << 24) | (data[byte + 1].astype(np.int64) << 16) | (data[byte + 2].astype(np.int64) << 8) | data[byte + 3]
-            key = (window >> (32 - self.width - (p & 7))) & mask
+            key = (windows[p >> 3] << (p & 7).astype(np.uint32)) >> drop
             out[place[:n] + k] = self.table_id[key]
-            at[:n] = p + self.table_bits[key]
+            p += self.table_bits[key]
         return out
 
 
@@ -139,13 +139,9 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 def _id_groups(column: pa.Array, limit: int = 1 << 22) -> Iterator[np.ndarray]:
-    values = column.to_pylist()
-    at = size = 0
-    for i, v in enumerate(values):
-        size += len(v)
-        if size >= limit or i + 1 == len(values):
-            yield np.frombuffer(b"".join(values[at : i + 1]), "<u4")
-            at, size = i + 1, 0
+    data, offsets = arrays.text_buffers(column)
+    for a, b in arrays.slices(offsets, limit):
+        yield data[offsets[a] : offsets[b]].view("<u4")
 
 
 def _coded(tokens: DataFrame, book: Codebook, bounds: np.ndarray) -> DataFrame:
@@ -153,25 +149,18 @@ def _coded(tokens: DataFrame, book: Codebook, bounds: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, values = b.column(0), b.column(1).to_pylist()
-            at = 0
-            while at < len(values):
-                to, size = at, 0
-                while to < len(values) and (to == at or size + len(values[to]) < 1 << 22):
-                    size += len(values[to])
-                    to += 1
-                part = values[at:to]
-                counts = np.array([len(v) // 4 for v in part], np.int64)
-                payload, offsets, within = book.encode(np.frombuffer(b"".join(part), "<u4"), counts)
+            keys, (data, ends) = b.column(0), arrays.text_buffers(b.column(1))
+            for at, to in arrays.slices(ends, 1 << 22):
+                counts = np.diff(ends[at : to + 1]) // 4
+                payload, offsets, within = book.encode(data[ends[at] : ends[to]].view("<u4"), counts)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 key = keys.slice(at, to - at)
                 filled = key.fill_null(0).to_numpy(zero_copy_only=False)
                 shard = np.searchsorted(bounds, filled.astype(np.float64), "right")
                 shard[~key.is_valid().to_numpy(zero_copy_only=False)] = 0
-                bits = [payload[offsets[i] : offsets[i + 1]] for i in range(len(part))]
-                marks = [within[first[i] : first[i + 1] : MARK].astype("<u8").tobytes() for i in range(len(part))]
+                bits = [payload[offsets[i] : offsets[i + 1]] for i in range(to - at)]
+                marks = [within[first[i] : first[i + 1] : MARK].astype("<u8").tobytes() for i in range(to - at)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "n", "bits", "marks"])
-                at = to
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "shard int, doc_id long, n long, bits binary, marks binary")
 
@@ -242,17 +231,30 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def decoded(held):
+            counts = np.concatenate([np.array(h[3], np.int64) for h in held])
+            pieces = -(-counts // MARK)
+            size = np.full(int(pieces.sum()), MARK, np.int64)
+            last = np.cumsum(pieces)[pieces > 0] - 1
+            size[last] = (counts - (pieces - 1) * MARK)[pieces > 0]
+            before = np.cumsum([0] + [len(h[5]) for h in held[:-1]]) * 8
+            marks = np.concatenate([np.frombuffer(h[4], "<u8").astype(np.int64) + x for h, x in zip(held, before, strict=True)])
+            ids = book.decode(b"".join(h[5] for h in held), marks, size).astype("<u4").tobytes()
+            ends = np.cumsum(counts)
+            out = [ids[4 * (e - n) : 4 * e] for n, e in zip(counts.tolist(), ends.tolist(), strict=True)]
+            starts = np.concatenate([np.cumsum(h[3]) - h[3] + h[1] + base[h[0]] for h in held])
+            keys = [x for h in held for x in h[2]]
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts), pa.array(out, pa.binary())], schema=schema)
+
+        held, size = [], 0  # a few blocks at a time advance together
         for b in batches:
-            for shard, first, keys, counts, marks, payload in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                counts = np.array(counts, np.int64)
-                pieces = -(-counts // MARK)
-                size = np.full(int(pieces.sum()), MARK, np.int64)
-                last = np.cumsum(pieces)[pieces > 0] - 1
-                size[last] = (counts - (pieces - 1) * MARK)[pieces > 0]
-                ids = book.decode(payload, np.frombuffer(marks, "<u8"), size).astype("<u4").tobytes()
-                ends = np.cumsum(counts)
-                starts = ends - counts
-                out = [ids[4 * s : 4 * e] for s, e in zip(starts, ends, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + first + base[shard], pa.int64()), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], schema=schema)
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                held.append(row)
+                size += sum(row[3])
+                if size >= 1 << 21:
+                    yield decoded(held)
+                    held, size = [], 0
+        if held:
+            yield decoded(held)
 
     return blocks.select("shard", "first", "doc_ids", "counts", "marks", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.tokens import Encoder, text_groups
+from tessera.llm.tokens import Encoder
 from tessera.llm.workspace import Workspace
 
 BINS = 256
@@ -110,11 +110,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc
         part, k, seen = TaskContext.get().partitionId(), 0, [0] * (BINS + 2)
         encoder = Encoder.of(path)
         for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for group in text_groups(texts):
+            keys = b.column(0).to_pylist()
+            for at, to, found in encoder.column(b.column(1), tail):
                 rows = []
-                for doc, ids in zip(keys[group], encoder.encode(texts[group]), strict=True):
-                    ids += tail
+                for doc, ids in zip(keys[at:to], found, strict=True):
                     n = len(ids) // 4
                     for start in range(0, n, window):
                         length = min(window, n - start)
