@@ -49,12 +49,13 @@ def _range_borders(found: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(found, inner), [len(found)]])
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text: str = "text", layout: bool = False) -> DataFrame:
     """Remove each word that lies in a window of ``width`` words which also starts anywhere else.
 
     Returns (row, n_words, n_removed, spans, kept): ``row`` is a struct of the input's columns
     (whatever their names) without the text, ``spans`` the removed word intervals, ``kept`` the
-    other words joined by one blank.  A null or empty text has no words and keeps ''.  A text of
+    other words joined by one blank; with ``layout`` a text that loses nothing stays as it is.
+    A null or empty text has no words and keeps '' (with ``layout`` itself).  A text of
     fewer than ``width`` words loses nothing.  Repeated rows count as places of their own, null
     keys too; an empty table stays empty.
     """
@@ -117,7 +118,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
                 parts = [p for p, gone in zip(parts, own, strict=True) if not gone]
             else:
                 spans.append([])
-            kept.append(b" ".join(parts).decode())
+            kept.append(t if layout and not n_own else b" ".join(parts).decode())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table({"row": left["row"], "n_words": pa.array(np.diff(words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
 
