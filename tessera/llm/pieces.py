@@ -29,7 +29,7 @@ from tessera.llm.arrays import mix
 from tessera.llm.tokens import text_groups
 
 MARK = "▁"
-MEMO_LIMIT = 300_000
+MEMO_LIMIT = 150_000
 WIDE = 28  # longer words take the plain path
 _models: dict[str, PieceModel] = {}
 
@@ -299,14 +299,17 @@ class PieceModel:
         return (text[1:] if self.prefix and text[:1] == b" " else text).decode("utf-8", "replace")
 
 
-def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, rank, score, n_pieces, ids): up to n rows a document, best first, without a shuffle.
 
-    ``ids`` are little-endian unsigned 32-bit.  A null or empty text has one segmentation, the empty
+    ``ids`` are little-endian unsigned 32-bit; with ``decode`` a column ``text`` has what they decode to.  A null or empty text has one segmentation, the empty
     one; texts with fewer than n segmentations have fewer rows; equal scores keep a fixed order.
     """
     names = ["doc_id", "rank", "score", "n_pieces", "ids"]
     types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.binary()]
+    schema = "doc_id long, rank int, score double, n_pieces long, ids binary"
+    if decode:
+        names, types, schema = [*names, "text"], [*types, pa.string()], f"{schema}, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel.of(model)
@@ -314,9 +317,11 @@ def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for part in text_groups(texts, 1 << 20):
                 rows = [(key, rank, score, len(ids) // 4, ids) for key, found in zip(keys[part], own.encode(texts[part], n), strict=True) for rank, (score, ids) in enumerate(found, 1)]
+                if decode:
+                    rows = [(*r, own.decode(np.frombuffer(r[4], "<u4"))) for r in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, rank int, score double, n_pieces long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:

@@ -26,10 +26,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tessera.llm.pieces import decode_pieces, default_model, nbest_segmentations
+    from tessera.llm.pieces import default_model, nbest_segmentations
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decode_pieces(nbest_segmentations(docs, default_model(), n=3), default_model())
+    found = nbest_segmentations(docs, default_model(), n=3, decode=True)
     return found.select("doc_id", "rank", "score", "n_pieces", F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -152,6 +152,8 @@ def test_pieces_round_trip(spark, sf):
         assert [x for x, _ in sorted(rows)] == list(range(1, len(rows) + 1)) and sorted(rows) == sorted(rows, key=lambda x: x[1])
     assert len(ranks) == len(texts) and len(ranks[0]) == 1 and len(ranks[20]) == 4
     assert pieces.nbest_segmentations(frame(spark, []), path).count() == 0
+    again = pieces.nbest_segmentations(frame(spark, texts), path, n=4, decode=True).collect()
+    assert sorted((r.doc_id, r.rank, r.text) for r in again) == sorted((r.doc_id, r.rank, r.text) for r in got)
 
 
 # fingerprints
