@@ -73,32 +73,32 @@ class Codebook:
         first = np.concatenate([[0], np.cumsum(step)])[:-1] if len(by) else np.zeros(0, np.int64)
         self.codes = np.right_shift(first, self.width - self.lengths)
         size = int(self.ids.max()) + 1 if len(by) else 1
-        self.bits_of, self.code_of = np.zeros(size, np.int64), np.zeros(size, np.uint64)
+        self.bits_of, self.code_of = np.zeros(size, np.uint8), np.zeros(size, np.uint32)
         self.bits_of[self.ids], self.code_of[self.ids] = self.lengths, self.codes
         # the decoding table: the next ``width`` bits give the id and its length
-        self.table_id = np.zeros(1 << self.width, np.int32)
-        self.table_id[: int(step.sum())] = np.repeat(self.ids, step)
-        self.table_bits = np.ones(1 << self.width, np.int8)
-        self.table_bits[: int(step.sum())] = np.repeat(self.lengths, step)
+        self.table = np.ones(1 << self.width, np.int64)  # id << 5 | length
+        self.table[: int(step.sum())] = np.repeat(self.ids << 5 | self.lengths, step)
+        if size <= 1 << 26:
+            self.table = self.table.astype(np.int32)
 
     def encode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-        """Payload of documents of ``counts`` ids, its byte offsets by document, bits before each id in it."""
+        """Payload of documents of ``counts`` ids, its byte offsets by document, the bit where each id is."""
         bits = self.bits_of[ids]
-        ends = np.cumsum(bits)
-        first = np.concatenate([[0], np.cumsum(counts)])
-        upto = np.concatenate([[0], ends])
-        total = np.diff(upto[first])
-        offsets = np.concatenate([[0], np.cumsum((total + 7) // 8)])
-        within = ends - bits - np.repeat(upto[first[:-1]], counts)
-        at = within + np.repeat(offsets[:-1] * 8, counts)
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(bits, out=upto[1:])
+        opened = upto[np.concatenate([[0], np.cumsum(counts)])]
+        offsets = np.concatenate([[0], np.cumsum((np.diff(opened) + 7) // 8)])
+        at = upto[:-1]
+        at += np.repeat(offsets[:-1] * 8 - opened[:-1], counts)
         out = np.zeros(int(offsets[-1]) // 4 + 2, np.uint32)
         if len(ids):
-            word, shift = at >> 5, (64 - (at & 31) - bits).astype(np.uint64)
-            value = self.code_of[ids] << shift
-            head = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
-            out[word[head]] += np.add.reduceat((value >> np.uint64(32)).astype(np.uint32), head)
-            out[word[head] + 1] += np.add.reduceat(value.astype(np.uint32), head)
-        return out.astype(">u4").tobytes()[: int(offsets[-1])], offsets, within
+            word = (at >> 5).astype(np.int32)
+            value = self.code_of[ids].astype(np.uint64) << (np.uint8(64) - (at & 31).astype(np.uint8) - bits)
+            head = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
+            sums = np.add.reduceat(value, head)  # codes do not overlap: bits add up without a carry
+            out[word[head]] += (sums >> np.uint64(32)).astype(np.uint32)
+            out[word[head] + 1] += sums.astype(np.uint32)
+        return out.astype(">u4").tobytes()[: int(offsets[-1])], offsets, at
 
     def decode(self, payload: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of segments that start at bit ``starts`` and have ``counts`` ids, one after the other.
@@ -116,8 +116,9 @@ class Codebook:
             n = int(np.searchsorted(-left, -k, "left"))  # those with more than k ids
             p = at[:n]
             key = (windows[p >> 3] << (p & 7).astype(np.uint32)) >> drop
-            out[place[:n] + k] = self.table_id[key]
-            p += self.table_bits[key]
+            entry = self.table[key]
+            out[place[:n] + k] = entry >> 5
+            p += entry & 31
         return out
 
 
@@ -150,16 +151,16 @@ def _coded(tokens: DataFrame, book: Codebook, bounds: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, (data, ends) = b.column(0), arrays.text_buffers(b.column(1))
-            for at, to in arrays.slices(ends, 1 << 22):
+            for at, to in arrays.slices(ends, 1 << 20):
                 counts = np.diff(ends[at : to + 1]) // 4
-                payload, offsets, within = book.encode(data[ends[at] : ends[to]].view("<u4"), counts)
+                payload, offsets, places = book.encode(data[ends[at] : ends[to]].view("<u4"), counts)
                 first = np.concatenate([[0], np.cumsum(counts)])
                 key = keys.slice(at, to - at)
                 filled = key.fill_null(0).to_numpy(zero_copy_only=False)
                 shard = np.searchsorted(bounds, filled.astype(np.float64), "right")
                 shard[~key.is_valid().to_numpy(zero_copy_only=False)] = 0
                 bits = [payload[offsets[i] : offsets[i + 1]] for i in range(to - at)]
-                marks = [within[first[i] : first[i + 1] : MARK].astype("<u8").tobytes() for i in range(to - at)]
+                marks = [(places[first[i] : first[i + 1] : MARK] - 8 * offsets[i]).astype("<u8").tobytes() for i in range(to - at)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "n", "bits", "marks"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "shard int, doc_id long, n long, bits binary, marks binary")
@@ -199,7 +200,7 @@ def _blocks(coded: DataFrame) -> DataFrame:
     return coded.mapInArrow(run, "shard int, block int, first long, n_ids long, doc_ids array<long>, counts array<long>, marks binary, payload binary")
 
 
-def write_tokens(tokens: DataFrame, space: Workspace, max_bits: int = 20) -> str:
+def write_tokens(tokens: DataFrame, space: Workspace, max_bits: int = 18) -> str:
     """Write (doc_id, n_tokens, ids) in ascending doc_id order; returns the folder.
 
     Null keys come first; equal keys are ordered by their bits, so that the order is defined.

@@ -57,7 +57,7 @@ def test_codebook_round_trip():
     values, n = np.unique(ids, return_counts=True)
     book = Codebook(values, limited_lengths(n, 12))
     counts = np.array([0, 1, 7000, 0, 12_999], np.int64)
-    payload, offsets, within = book.encode(ids, counts)
+    payload, offsets, places = book.encode(ids, counts)
     found = book.decode(payload, offsets[:-1] * 8, counts)
     assert (found == ids).all()
 
