@@ -1,7 +1,8 @@
 """A versioned chunk table on Parquet: merge, delete, backfill, heal, meta values.
 
-Each change writes a new version folder and then moves a one-line pointer file to it, so readers see
-the old or the new version and never a part of one.  Merges are equi-joins on ``chunk_key``; nothing
+Each change writes a new version folder and then moves a pointer file to it, so readers see the old or
+the new version and never a part of one; the version before the current one stays for readers that are
+still at it.  Merges are equi-joins on ``chunk_key``; nothing
 is collected but the pointer.
 """
 
@@ -79,23 +80,33 @@ class IndexStore:
         place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
-    def _current(self, table: str) -> str | None:
+    def _versions(self, table: str) -> list[str]:
+        """The current version and the one before it, from the pointer file."""
         fs, place = self._fs(f"_{table}_current")
-        return self.spark.read.text(f"{self.path}/_{table}_current").first()[0] if fs.exists(place) else None
+        if not fs.exists(place):
+            return []
+        stream = fs.open(place)
+        try:
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
+
+    def _current(self, table: str) -> str | None:
+        return next(iter(self._versions(table)), None)
 
     def _swap(self, table: str, df: DataFrame) -> None:
         version = f"{table}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{version}")
         fs, now = self._fs(f"_{table}_current")
         _, fresh = self._fs(f"_{table}_{version}")
+        old = self._versions(table)
         stream = fs.create(fresh, True)
-        stream.write(bytearray(version.encode()))
+        stream.write(bytearray("\n".join([version, *old[:1]]).encode()))
         stream.close()
-        old = self._current(table)
         fs.delete(now, False)
         fs.rename(fresh, now)
-        if old:
-            fs.delete(self._fs(old)[1], True)
+        for gone in old[1:]:
+            fs.delete(self._fs(gone)[1], True)
 
     def chunks(self) -> DataFrame:
         """The current version with defaults for later columns; empty where there is none, or where the

@@ -50,7 +50,7 @@ def parse_inventories(files: DataFrame) -> DataFrame:
 def sitemap_urls(xml: Column) -> Column:
     """Each entry's own location, whatever the namespace; nested image locations are not pages."""
     found = F.xpath(xml, F.lit("/*/*[local-name()='url' or local-name()='sitemap']/*[local-name()='loc'][text()][1]/text()"))
-    return F.transform(found, F.trim)
+    return F.transform(found, lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
 
 
 def is_sitemap_index(xml: Column) -> Column:
