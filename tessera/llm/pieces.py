@@ -16,9 +16,10 @@ A character without a piece of its own is spelled in byte pieces, at a score of
 from __future__ import annotations
 
 import heapq
+import math
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from tessera.llm.arrays import mix
 from tessera.llm.tokens import text_groups
 
 MARK = "▁"
-MEMO_LIMIT = 150_000
+MEMO_LIMIT = 200_000
 WIDE = 28  # longer words take the plain path
 _models: dict[str, PieceModel] = {}
 
@@ -59,6 +60,9 @@ class PieceModel:
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, lib.get_score(i)
                 self.text_of[i] = piece.replace(MARK, " ").encode()
+        self.text_size = np.array([len(x) for x in self.text_of], np.int64)
+        self.text_first = np.cumsum(self.text_size) - self.text_size
+        self.text_flat = np.frombuffer(b"".join(self.text_of), np.uint8)
         self.unknown = min(self.score.values(), default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
         self.prefix = lib.normalize("a").startswith(MARK)
@@ -68,6 +72,7 @@ class PieceModel:
         self.words = re.compile((r"\n|" if line else "") + rf"{MARK}+[^{MARK}{line}]*|[^{MARK}{line}]+") if apart else re.compile(r"(?s).+")
         self._tables()
         self.memo: dict[str, tuple[float, float, bytes]] = {}
+        self.old: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     @classmethod
@@ -165,138 +170,142 @@ class PieceModel:
 
     # many words at once
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         """Memoise (best score, loss to the second best, best ids) of words."""
-        if len(self.memo) + len(words) > MEMO_LIMIT:
-            self.memo.clear()
         wide = [w for w in words if len(w) > WIDE]
         for w in wide:
             found = self.nbest(w, 2)
             loss = found[0][0] - found[1][0] if len(found) > 1 else np.inf
             self.memo[w] = (found[0][0], loss, array("I", found[0][1]).tobytes())
         slim = [w for w in words if len(w) <= WIDE]
-        for at in range(0, len(slim), 20_000):
-            self._viterbi(slim[at : at + 20_000])
+        slim.sort(key=len)
+        for at in range(0, len(slim), 4096):
+            self._viterbi(slim[at : at + 4096])
 
     def _viterbi(self, words: list[str]) -> None:
+        """Forward and backward Viterbi over the lattices of all words, longest first, in arrays
+        [start, length - 1, word]: the words that reach a place are the first ones of each row."""
+        words = sorted(words, key=len, reverse=True)
         n = len(words)
         if n == 0:
             return
         size = np.array([len(w) for w in words], np.int64)
+        wide, most = int(size[0]), min(self.longest, int(size[0]))
+        reach = [int(np.searchsorted(-size, -e, "right")) for e in range(wide + 2)]  # words of at least e characters
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        first = np.cumsum(size) - size
         owner = np.repeat(np.arange(n), size)
-        end_of = (first + size)[owner]
-        place = np.arange(len(points))
-        h, live = np.zeros(len(points), np.uint64), place
-        arcs = []
-        single = np.zeros(len(points), bool)
-        for m in range(self.longest):
-            live = live[place[live] + m < end_of[live]]
+        offset = np.arange(len(points)) - first[owner]
+        room = size[owner] - offset
+        score = np.full((wide, most, n), -np.inf)
+        ident = np.zeros((wide, most, n), np.int32)
+        h, live = np.zeros(len(points), np.uint64), np.arange(len(points))
+        for m in range(most):
+            live = live[room[live] > m]
             if len(live) == 0:
                 break
             h[live] = h[live] * np.uint64(0x100000001B3) + points[live + m] + np.uint64(1)
             row = self._find(h[live])
-            known = row >= 0
-            live, row = live[known], row[known]
+            live, row = live[row >= 0], row[row >= 0]
             piece = self.key_id[row] >= 0
-            if m == 0:
-                single[live[piece]] = True
-            arcs.append((live[piece], np.full(int(piece.sum()), m + 1), self.key_id[row[piece]], self.key_score[row[piece]]))
-        bare = place[~single]
-        arcs.append((bare, np.ones(len(bare), np.int64), -1 - points[bare].astype(np.int64), np.full(len(bare), self.unknown)))
-        start, length, ident, score = (np.concatenate(x) for x in zip(*arcs, strict=True))
-        word = owner[start]
-        low = start - first[word]
-        high = low + length
-        wide = int(size.max()) + 1
-        by = np.lexsort((low, word, high))
-        word, low, high, ident, score = word[by], low[by], high[by], ident[by], score[by]
-        ahead, back = np.full((n, wide), -np.inf), np.full((n, wide), -np.inf)
-        chosen = np.zeros((n, wide), np.int64)
-        ahead[:, 0] = 0
-        edge = np.searchsorted(high, np.arange(wide + 1))
-        for e in range(1, wide):
-            a, b = edge[e], edge[e + 1]
-            if a == b:
-                continue
-            value = ahead[word[a:b], low[a:b]] + score[a:b]
-            head = np.concatenate([[0], np.flatnonzero(np.diff(word[a:b])) + 1])
-            top = np.maximum.reduceat(value, head)
-            ahead[word[a:b][head], e] = top
-            run = np.repeat(np.arange(len(head)), np.diff(np.concatenate([head, [b - a]])))
-            hit = np.flatnonzero(value == top[run])
-            _, one = np.unique(run[hit], return_index=True)
-            chosen[word[a:b][head], e] = a + hit[one]
-        back[np.arange(n), size] = 0
-        turn = np.lexsort((high, word, low))
-        bounds = np.searchsorted(low[turn], np.arange(wide + 1))
+            at, got = live[piece], row[piece]
+            score[offset[at], m, owner[at]] = self.key_score[got]
+            ident[offset[at], m, owner[at]] = self.key_id[got]
+        bare = np.isneginf(score[offset, 0, owner])
+        score[offset[bare], 0, owner[bare]] = self.unknown
+        ident[offset[bare], 0, owner[bare]] = -1 - points[bare].astype(np.int64)
+        ahead, back = np.full((wide + 1, n), -np.inf), np.full((wide + 1, n), -np.inf)
+        length = np.zeros((wide + 1, n), np.int64)
+        ahead[0] = 0
+        for e in range(1, wide + 1):
+            k = reach[e]
+            best, took = np.full(k, -np.inf), np.zeros(k, np.int64)
+            for m in range(min(e, most), 0, -1):
+                value = ahead[e - m, :k] + score[e - m, m - 1, :k]
+                better = value > best
+                best[better] = value[better]
+                took[better] = m
+            ahead[e, :k], length[e, :k] = best, took
+        back[size, np.arange(n)] = 0
         for s in range(wide - 1, -1, -1):
-            on = turn[bounds[s] : bounds[s + 1]]
-            if len(on) == 0:
-                continue
-            value = back[word[on], high[on]] + score[on]
-            head = np.concatenate([[0], np.flatnonzero(np.diff(word[on])) + 1])
-            back[word[on][head], s] = np.maximum.reduceat(value, head)
-        total = ahead[np.arange(n), size]
-        used = np.zeros(len(word), bool)
+            k = reach[s + 1]
+            best = np.full(k, -np.inf)
+            for m in range(1, min(most, wide - s) + 1):
+                np.maximum(best, back[s + m, :k] + score[s, m - 1, :k], out=best)
+            back[s, :k] = best
+        total = ahead[size, np.arange(n)]
         at, rows, paths = size.copy(), np.arange(n), []
         while len(rows):
-            arc = chosen[rows, at[rows]]
-            used[arc] = True
-            paths.append((rows, arc))
-            at[rows] = low[arc]
+            m = length[at[rows], rows]
+            at[rows] -= m
+            paths.append((rows, ident[at[rows], m - 1, rows]))
+            score[at[rows], m - 1, rows] = -np.inf  # what is left beside the best path gives the second best
             rows = rows[at[rows] > 0]
-        via = np.where(used, -np.inf, ahead[word, low] + score + back[word, high])
         second = np.full(n, -np.inf)
-        np.maximum.at(second, word, via)
+        for s in range(wide):
+            for m in range(1, min(most, wide - s) + 1):
+                k = reach[s + m]
+                np.maximum(second[:k], ahead[s, :k] + score[s, m - 1, :k] + back[s + m, :k], out=second[:k])
         rows = np.concatenate([r for r, _ in paths])
-        steps = np.concatenate([np.full(len(r), i) for i, (r, _) in enumerate(paths)])
-        arc = np.concatenate([a for _, a in paths])
-        order = np.lexsort((-steps, rows))
-        found = ident[arc[order]].astype(np.int64)
-        cut = np.searchsorted(rows[order], np.arange(n + 1))
+        steps = np.repeat(np.arange(len(paths)), [len(r) for r, _ in paths])
+        order = np.argsort(rows * (len(paths) + 1) - steps, kind="stable")
+        found = np.concatenate([i for _, i in paths])[order].astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]).tolist()
         plain = found.astype("<u4").tobytes()
         odd = set(rows[order][found < 0].tolist())
-        for i, w in enumerate(words):
+        for i, (w, t, loss) in enumerate(zip(words, total.tolist(), (total - second).tolist(), strict=True)):
             a, b = cut[i], cut[i + 1]
             ids = plain[4 * a : 4 * b] if i not in odd else array("I", [x for f in found[a:b].tolist() for x in ([f] if f >= 0 else self.spell(chr(-1 - f)))]).tobytes()
-            self.memo[w] = (float(total[i]), float(total[i] - second[i]), ids)
+            self.memo[w] = (t, loss, ids)
 
     def encode(self, texts: list[str | None], n: int) -> list[list[tuple[float, bytes]]]:
         """For each text its n best (score, ids), best first; a null or empty text has the empty one."""
         cut = [self.words.findall(self.library.normalize(t)) if t else [] for t in texts]
-        new = set().union(*cut).difference(self.memo) if cut else set()
-        if len(self.memo) + len(new) > MEMO_LIMIT:
-            self.memo.clear()
-            new = set().union(*cut)
-        self.learn(sorted(new))
+        if len(self.memo) > MEMO_LIMIT:  # the memo becomes the old one; what is used again comes back
+            self.memo, self.old = {}, self.memo
+        found = [list(map(self.memo.get, words)) for words in cut]
+        lacking = [i for i, rows in enumerate(found) if None in rows]
+        new = {w for i in lacking for w, r in zip(cut[i], found[i], strict=True) if r is None}
+        known = new.intersection(self.old)
+        self.memo.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        self.learn(new.difference(known))
+        for i in lacking:
+            found[i] = list(map(self.memo.__getitem__, cut[i]))
+        return [self._combined(words, rows, n) for words, rows in zip(cut, found, strict=True)]
+
+    def _combined(self, words: list[str], rows: list[tuple[float, float, bytes]], n: int) -> list[tuple[float, bytes]]:
+        """The n best of a chain of words: only the n - 1 words with the smallest losses can differ."""
+        if not rows:
+            return [(0.0, b"")]
+        scores, losses, ids = zip(*rows, strict=True)
+        best, whole = math.fsum(scores), b"".join(ids)
+        found: list[tuple[float, tuple]] = [(0.0, ())]
+        for i in sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)):
+            if losses[i] < math.inf:
+                found = sorted(((c + d, (*change, (i, alt)) if alt != ids[i] else change) for c, change in found for d, alt in self.alternatives(words[i], n)), key=lambda x: x[0])[:n]
         out = []
-        for words in cut:
-            rows = [self.memo[w] for w in words]
-            ids = [r[2] for r in rows]
-            best = sum(r[0] for r in rows)
-            found = [(0.0, ())]
-            if n > 1 and rows:
-                loss = np.array([r[1] for r in rows])
-                weak = np.argpartition(loss, n - 2)[: n - 1] if len(loss) > n - 1 else np.arange(len(loss))
-                for i in sorted(weak.tolist()):
-                    if np.isfinite(loss[i]):
-                        found = sorted(((c + d, (*change, (i, alt)) if d or alt != ids[i] else change) for c, change in found for d, alt in self.alternatives(words[i], n)), key=lambda x: x[0])[:n]
-            whole = []
-            for c, change in found:
-                for i, alt in change:
-                    ids[i] = alt
-                whole.append((best - c, b"".join(ids)))
-                for i, _ in change:
-                    ids[i] = rows[i][2]
-            out.append(whole)
+        for c, change in found:
+            text, shift = whole, 0
+            for i, alt in change:  # in the order of places
+                at = len(b"".join(ids[:i])) + shift
+                text = text[:at] + alt + text[at + len(ids[i]) :]
+                shift += len(alt) - len(ids[i])
+            out.append((best - c, text))
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        """Text of ids; the blank that normalization puts in front is taken off."""
-        text = b"".join(map(self.text_of.__getitem__, ids.tolist()))
-        return (text[1:] if self.prefix and text[:1] == b" " else text).decode("utf-8", "replace")
+    def decode(self, found: list[bytes]) -> list[str]:
+        """Texts of lists of ids; the blank that normalization puts in front is taken off."""
+        ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+        size = self.text_size[ids]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        data = self.text_flat[np.repeat(self.text_first[ids] - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+        ends = upto[np.cumsum([len(x) // 4 for x in found])].tolist() if found else []
+        out, at = [], 0
+        for end in ends:
+            skip = 1 if self.prefix and end > at and data[at] == 0x20 else 0
+            out.append(data[at + skip : end].decode("utf-8", "replace"))
+            at = end
+        return out
 
 
 def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
@@ -318,7 +327,7 @@ def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc
             for part in text_groups(texts, 1 << 20):
                 rows = [(key, rank, score, len(ids) // 4, ids) for key, found in zip(keys[part], own.encode(texts[part], n), strict=True) for rank, (score, ids) in enumerate(found, 1)]
                 if decode:
-                    rows = [(*r, own.decode(np.frombuffer(r[4], "<u4"))) for r in rows]
+                    rows = [(*r, t) for r, t in zip(rows, own.decode([r[4] for r in rows]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
@@ -331,7 +340,8 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel.of(model)
         for b in batches:
-            texts = [None if x is None else own.decode(np.frombuffer(x, "<u4")) for x in b.column(4).to_pylist()]
+            ids = b.column(4).to_pylist()
+            texts = [t if x is not None else None for x, t in zip(ids, own.decode([x or b"" for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
     return rows.select(*names[:5]).mapInArrow(run, "doc_id long, rank int, score double, n_pieces long, ids binary, text string")
