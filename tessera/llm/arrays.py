@@ -68,6 +68,15 @@ def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The same type with all fields nullable, as Spark's schemas of Python functions have them."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(nullable(kind.value_type))
+    return kind
+
+
 def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about ``limit`` bytes each."""
     at, n = 0, len(offsets) - 1

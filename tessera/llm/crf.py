@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.arrays import nullable
 from tessera.llm.tokens import text_groups
 
 SAMPLE_PER_LANGUAGE = 160
@@ -326,6 +327,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
+            rows = b.column(0).cast(nullable(b.column(0).type))
             for part in text_groups(texts, 1 << 20):
                 own = texts[part]
                 w = split(own)
@@ -340,7 +342,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
                 else:
                     best, score, known = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n), bool)
                 lang = [model.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known, strict=True)]
-                columns = [b.column(0).slice(part.start, len(own)), pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(n, pa.int64())]
+                columns = [rows.slice(part.start, len(own)), pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(n, pa.int64())]
                 if spans:
                     columns.append(pa.array(_runs(w, own, marginal.argmax(axis=1) if model.languages else None, model.languages), span_type))
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -120,7 +120,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
                 spans.append([])
             kept.append(t if layout and not n_own else b" ".join(parts).decode())
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table({"row": left["row"], "n_words": pa.array(np.diff(words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
+        return pa.table({"row": left["row"].cast(arrays.nullable(left["row"].type)), "n_words": pa.array(np.diff(words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
 
     groups = dealt.groupBy("chunk")
     sent = groups.applyInArrow(send, "`range` int, chunk int, hashes binary")
