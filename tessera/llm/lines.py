@@ -32,7 +32,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = 0.2
     close = spread.where(F.col("sites") >= min_sites * (1 - margin))
     sure = close.where(F.col("sites") > min_sites * (1 + margin)).select("_a", "_b")
     near = close.where(F.col("sites") <= min_sites * (1 + margin)).select("_a", "_b")
-    exact = lines.join(near, ["_a", "_b"]).distinct().groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    exact = lines.join(near, ["_a", "_b"]).select("_a", "_b", "site").distinct().groupBy("_a", "_b").agg(F.count("*").alias("n"))
     return sure.union(exact.where(F.col("n") >= min_sites).select("_a", "_b"))
 
 

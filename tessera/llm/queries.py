@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hamming, lines
+from tessera.llm import hamming, lines, minhash, substrings, warc
 from tessera.llm.workspace import Workspace
 
 
@@ -110,4 +110,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_hamming_top_k": hamming.ORACLE, "op9_line_dedup": lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": substrings.ORACLE,
+    "op6_warc": warc.ORACLE,
+    "op7_near_dedup": minhash.ORACLE,
+    "op8_hamming_top_k": hamming.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
+}

@@ -127,3 +127,24 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
     flags = sent.groupBy("range").applyInArrow(count, "chunk int, `range` int, flags binary")
     schema = _OUT.format(row=dealt.schema["row"].dataType.simpleString())
     return groups.cogroup(flags.groupBy("chunk")).applyInArrow(mark, schema)
+
+
+ORACLE = """
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), again AS (
+  SELECT win FROM windows GROUP BY win HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN again USING (win), (SELECT unnest(range(0, 35)) AS k)
+), words AS (
+  SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM d
+), kept AS (
+  SELECT w.doc_id, count(c.j) AS n_removed, string_agg(x, ' ' ORDER BY w.j) FILTER (WHERE c.j IS NULL) AS kept
+  FROM words w LEFT JOIN covered c ON w.doc_id = c.doc_id AND w.j = c.j GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -260,3 +260,17 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame, space: Workspace) -> DataFrame:
     return read_archives(write_archives(pages, space), payload=False)
+
+
+_BITS = "array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (strpos('0123456789abcdef', c) - 1) + 1, 4)), '')"
+ORACLE = f"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, coalesce(html, '') AS html, {_BITS} AS bits FROM pages
+), coded AS (
+  SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY html) AS last,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < last THEN last END AS refers_to FROM coded
+"""

@@ -194,6 +194,15 @@ def test_lines_edges(spark):
     assert lines.remove_boilerplate(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_lines_near_the_threshold_are_counted_exactly(spark):
+    """Nine sites carry a line at many places, ten another one."""
+    rows = [(i, "\n".join([f"own {i}"] * (i % 4) + ["nine"] * (i % 9 != 8 or i < 9)), f"site{i % 9}") for i in range(40)]
+    rows += [(100 + i, "\n" * (i % 3) + "ten", f"site{i % 10}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = {r.text.strip().split("\n")[-1]: r.n for r in lines.remove_boilerplate(df, Workspace(spark, "t")).select("row.text", F_alias("n_removed", "n")).collect()}
+    assert gone["nine"] == 0 and gone["ten"] == 1
+
+
 def F_alias(name, alias):
     from pyspark.sql import functions as F
 
