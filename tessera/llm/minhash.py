@@ -11,9 +11,9 @@ a coordinate of two sets is equal with the probability of their Jaccard similari
 3. In each band bucket all members are candidates of the smallest member (its hub), and every
    candidate pair is verified on full sets.
 4. A bucket of three or more whose members still lie in different components has pairs that were
-   not looked at: its members are dealt into blocks of bounded size, and each pair of blocks is
-   verified on full sets wherever components differ.  So no candidate pair of any bucket is lost,
-   and no pairs are emitted but verified links, at most one a member in each block.
+   not looked at: the members outside its largest component are compared with all of it on full
+   sets, in cells of bounded blocks.  So no candidate pair of any bucket is lost, and no pairs are
+   emitted but verified links, at most one a member in each cell.
 5. Components of all verified links.
 
 With ``bands`` bands of ``rows`` coordinates a pair at the threshold is missed with a probability
@@ -158,9 +158,10 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Verified links that join members of different roots, as few as join them (a forest)."""
-    top = {r: r for r in roots}
+def block_links(asked: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+    """Verified links between ``asked`` and ``members`` (node, root, set) that join different roots, as few
+    as join them (a forest).  One inverted index of the members answers every asked set."""
+    top = {r: r for _, r, _ in [*asked, *members]}
 
     def find(r: int) -> int:
         while top[r] != r:
@@ -168,40 +169,48 @@ def block_links(nodes: list[int], roots: list[int], sets: list[np.ndarray], perc
             r = top[r]
         return r
 
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
     out: list[tuple[int, int]] = []
-    items = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    _, ids = np.unique(items, return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(ids, kind="stable")
-    holders, first = owner[by], np.concatenate([[0], np.cumsum(np.bincount(ids))]) if len(ids) else np.zeros(1, np.int64)
-    upto = np.concatenate([[0], np.cumsum(sizes)])
-    for i in order:
-        mine = ids[upto[i] : upto[i + 1]]
-        reach = np.concatenate([holders[first[e] : first[e + 1]] for e in mine]) if len(mine) else np.zeros(0, np.int64)
-        shared = np.bincount(reach, minlength=len(sets))
-        good = np.flatnonzero((100 * shared >= percent * (sizes + sizes[i] - shared)) & (sizes > 0))
-        for j in good:
-            x, y = find(roots[i]), find(roots[j])
+    sizes = np.array([len(s) for _, _, s in members], np.int64)
+    items = np.concatenate([np.zeros(0, np.uint64), *(s for _, _, s in members)])
+    by = np.argsort(items, kind="stable")
+    holders = np.repeat(np.arange(len(members)), sizes)[by]
+    keys, first = np.unique(items[by], return_index=True)
+    first = np.concatenate([first, [len(items)]])
+    for node, root, own in asked:
+        at = np.searchsorted(keys, own)
+        at = at[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own)] if len(keys) else at[:0]
+        if len(at) * 100 < percent * len(own):
+            continue  # too few of its items occur at all
+        reach = np.concatenate([holders[first[e] : first[e + 1]] for e in at])
+        shared = np.bincount(reach, minlength=len(members))
+        for j in np.flatnonzero((shared > 0) & (100 * shared >= percent * (sizes + len(own) - shared))):
+            x, y = find(root), find(members[j][1])
             if x != y:
                 top[max(x, y)] = min(x, y)
-                out.append((nodes[i], nodes[j]))
+                out.append((node, members[j][0]))
     return out
 
 
 def _unresolved(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets whose members lie in different components (step 4)."""
+    """Links inside buckets whose members lie in different components (step 4).
+
+    Members of a bucket's largest component need no comparison with each other: the others are asked
+    against all, in cells of a block of all members and a block of the others.
+    """
     seen = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = seen.groupBy("h").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
-    mixed = mixed.where("r0 <> r1 and n > 2").groupBy("n", "sign").agg(F.min("h").alias("h"))  # buckets of the same members: once
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = seen.join(mixed.select("h", blocks.alias("g")), "h").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select("h", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rep", "root")
-    full = dealt.join(sets, dealt.rep == sets.doc_id).select("h", "i", "j", "rep", "root", "items")
+    by_root = seen.groupBy("h", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
+    mixed = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("sign").alias("sign"), F.max(F.struct("n", "root")).alias("most"))
+    mixed = mixed.where("roots > 1 and n > 2").groupBy("n", "sign").agg(F.min(F.struct("h", "most")).alias("b"))  # buckets of the same members: once
+    cells = lambda n: F.ceil(n / BLOCK).cast("int")
+    plan = mixed.select("b.h", F.col("b.most.root").alias("largest"), cells(F.col("n")).alias("g"), cells(F.col("n") - F.col("b.most.n")).alias("g2"))
+    dealt = seen.join(plan, "h").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"), "j": F.pmod(F.hash("rep"), F.col("g2")).cast("int"), "other": F.col("root") != F.col("largest")})
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    rows = dealt.select("h", "rep", "root", "i", F.explode(upto("g2")).alias("j"), F.lit(False).alias("asked")).unionByName(dealt.where("other").select("h", "rep", "root", F.explode(upto("g")).alias("i"), "j", F.lit(True).alias("asked")))
+    full = rows.join(sets, rows.rep == sets.doc_id).select("h", "i", "j", "rep", "root", "asked", "items")
 
     def run(table: pa.Table) -> pa.Table:
-        found = block_links(table["rep"].to_pylist(), table["root"].to_pylist(), [np.frombuffer(x, np.uint64) for x in table["items"].to_pylist()], percent)
+        every = [(n, r, np.frombuffer(x, np.uint64), q) for n, r, x, q in zip(*(table[c].to_pylist() for c in ("rep", "root", "items", "asked")), strict=True)]
+        found = block_links([e[:3] for e in every if e[3]], [e[:3] for e in every if not e[3]], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return full.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")

@@ -127,6 +127,12 @@ def test_near_chains_of_edits(spark):
     assert 6 <= len({c for _, c in want.values()}) < 60
 
 
+def test_near_with_small_blocks(spark, monkeypatch):
+    """The same families when blocks hold three members."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    test_near_chains_of_edits(spark)
+
+
 def test_sketch_matches_similarity():
     rng = np.random.default_rng(5)
     for shared, own in ((40, 10), (300, 60), (5, 1)):
@@ -140,7 +146,8 @@ def test_sketch_matches_similarity():
 def test_block_links_join_all():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(60)]
-    found = minhash.block_links(list(range(60)), list(range(60)), sets, 50)
+    every = [(i, i, s) for i, s in enumerate(sets)]
+    found = minhash.block_links(every, every, 50)
     top = list(range(60))
 
     def find(t, i):
