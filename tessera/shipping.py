@@ -1,4 +1,4 @@
-"""Give executors this package when it is not installed on them."""
+"""What a session needs for functions in Python workers: this package, and batches of bounded size."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Bytes of rows that Spark hands to a Python worker at once, so that long texts do not add up.
+BATCH_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -18,6 +20,8 @@ def ship(spark: SparkSession) -> None:
     Functions that run in Python workers are pickled by reference, so the workers must be able
     to import it.  Without effect where the package comes from a shared installation.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b") == str(64 << 20):  # Spark's default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
