@@ -374,3 +374,76 @@ def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").where("text is not null")
     lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(x) > 0)
     return docs.select("doc_id", F.size(lines).cast("long").alias("paragraphs"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(text) > 2500 THEN substr(text, 1, 2500) || chr(10) || '[... truncated]' ELSE text END) AS body_sha256 FROM documents")
+def p17_context_body(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", F.sha2(tx.context_body(F.col("text")), 256).alias("body_sha256"))
+
+
+_STOP = ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS)
+
+
+@query(
+    f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM conversations),
+k AS (SELECT conv_id, turn, words, list_filter(words, lambda x: regexp_replace(lower(x), '^[?.,:;()]+|[?.,:;()]+$', '', 'g') NOT IN ({_STOP})) AS kept FROM w)
+SELECT conv_id, turn, array_to_string((CASE WHEN len(kept) > 0 THEN kept ELSE words END)[1:12], ' ') AS terms FROM k"""
+)
+def p20_search_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.url_decode(tx.search_terms(F.col("text"))).alias("terms"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[^\\x00-\\x7f]')) <= greatest(2, length(text) * 0.1) AS english FROM documents")
+def f9_english(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", tx.looks_english(F.col("text")).alias("english"))
+
+
+def _stored(spark: SparkSession, sf: str, content) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_key"), content.alias("content"))
+    kinds = {"part": "int", "embedding": "array<float>", "lexemes": "array<string>"}
+    return docs.select(*[F.col(c) if c in docs.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in store.COLUMNS])
+
+
+@query("SELECT doc_id AS chunk_key, sha256(CASE WHEN doc_id % 4 = 0 AND doc_id % 3 = 0 THEN '' ELSE text END) AS content_sha256 FROM documents")
+def k6_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """A quarter of the stored contents is empty; units know two thirds of all."""
+    stored = _stored(spark, sf, F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("text")))
+    units = _stored(spark, sf, F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("text")))
+    return store.backfilled(stored, units).select("chunk_key", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("SELECT doc_id AS chunk_key, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS content_sha256 FROM documents")
+def k7_heal(spark: SparkSession, sf: str) -> DataFrame:
+    """A fifth of the live contents drifted."""
+    stored = _stored(spark, sf, F.col("text"))
+    live = _stored(spark, sf, F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return store.healed(stored, store.drifted(live, stored)).select("chunk_key", F.sha2("content", 256).alias("content_sha256"))
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1")
+def w9_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    return store.last_wins(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
+
+
+@query("SELECT count(*) FILTER (WHERE toxic < 1) AS scored, avg(quality) FILTER (WHERE toxic < 1) AS faithfulness, 0.5 AS relevance, 1.0 AS citation, round(avg((quality + 1.5) / 3) FILTER (WHERE toxic < 1), 6) AS overall FROM labels")
+def a14_judge_means(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies with scores from the labels; those of toxic documents are malformed."""
+    score = lambda c: F.struct(c.cast("int").alias("score"), F.lit("w").alias("why"))
+    reply = F.to_json(F.struct(score(F.col("quality") * 4 + 1).alias("faithfulness"), score(F.lit(3)).alias("relevance"), score(F.when(F.col("toxic") < 1, 5).otherwise(9)).alias("citation")))
+    scores = metrics.normalized_scores(metrics.parsed_scores(F.concat(F.lit("Scores: "), reply)))
+    found = metrics.judge_summary(table(spark, sf, "labels").select(scores.alias("scores")))
+    return found.withColumn("overall", F.round("overall", 6))
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def t4_event_windows(spark: SparkSession, sf: str) -> DataFrame:
+    from tessera.streaming.state import windowed_counts
+
+    return windowed_counts(table(spark, sf, "events"), "ts", "event_type", "1 day")
+
+
+@query("SELECT lang AS id, avg((doc_id IN (SELECT doc_id FROM labels))::INT) AS rate FROM documents GROUP BY lang")
+def a16_grounded_rate(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("there", F.lit(True))
+    rows = table(spark, sf, "documents").join(known, "doc_id", "left")
+    return metrics.grounded_rate(rows.select(F.col("lang").alias("id"), F.coalesce("there", F.lit(False)).alias("present")))
