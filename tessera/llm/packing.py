@@ -42,21 +42,24 @@ def combinations(bins: int, depth: int = 3) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(columns: np.ndarray, target: np.ndarray, rounds: int = 1200) -> np.ndarray:
-    """x >= 0 that minimises |columns @ x - target| (Lawson and Hanson's active sets)."""
+def nnls(columns: np.ndarray, target: np.ndarray, tolerance: float = 1e-9, rounds: int = 1200) -> np.ndarray:
+    """x >= 0 that minimises |columns @ x - target| (Lawson and Hanson's active sets).
+
+    It ends where no column's inner product with the residual exceeds ``tolerance`` times the largest target.
+    """
     x, active = np.zeros(columns.shape[1]), np.zeros(columns.shape[1], bool)
     scale = max(1.0, float(np.abs(target).max()))
     for _ in range(rounds):
         gain = columns.T @ (target - columns @ x)
         gain[active] = -np.inf
         best = int(np.argmax(gain))
-        if gain[best] <= 1e-9 * scale:
+        if gain[best] <= tolerance * scale:
             break
         active[best] = True
         while True:
             on = np.flatnonzero(active)
             sub = columns[:, on]
-            z = np.linalg.lstsq(sub.T @ sub, sub.T @ target, rcond=1e-12)[0]
+            z = np.linalg.solve(sub.T @ sub + 1e-10 * np.eye(len(on)), sub.T @ target)
             if (z > 0).all():
                 x[:] = 0
                 x[on] = z
@@ -84,7 +87,8 @@ def plan(histogram: np.ndarray, bins: int = BINS, depth: int = 3) -> list[tuple[
     left = histogram.astype(np.int64).copy()
     whole, left[bins - 1] = int(left[bins - 1]), 0
     out = [(combos[0], whole)] if whole else []
-    x = nnls(matrix[: bins - 1, 1:], left[: bins - 1].astype(float)) if left.any() else np.zeros(len(combos) - 1)
+    # counts are rounded down to whole repeats, so a hundredth of a piece is near enough
+    x = nnls(matrix[: bins - 1, 1:], left[: bins - 1].astype(float), 0.01 / max(1, int(left.max()))) if left.any() else np.zeros(len(combos) - 1)
     solved = [j + 1 for j in np.argsort(-x, kind="stable") if x[j] >= 1]
     for order, most in ((solved, x), (range(1, len(combos)), None)):  # the rounded solution, then what is left
         for j in order:
