@@ -280,7 +280,8 @@ class PieceModel:
         scores, losses, ids = zip(*rows, strict=True)
         best, whole = math.fsum(scores), b"".join(ids)
         found: list[tuple[float, tuple]] = [(0.0, ())]
-        for i in sorted(heapq.nsmallest(n - 1, range(len(losses)), key=losses.__getitem__)):
+        weak = range(len(losses)) if len(losses) < n else sorted(np.argpartition(np.array(losses), n - 2)[: n - 1].tolist()) if n > 1 else ()
+        for i in weak:
             if losses[i] < math.inf:
                 found = sorted(((c + d, (*change, (i, alt)) if alt != ids[i] else change) for c, change in found for d, alt in self.alternatives(words[i], n)), key=lambda x: x[0])[:n]
         out = []
