@@ -29,6 +29,7 @@ from tessera.llm.workspace import Workspace
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
 ARCHIVE_BYTES = 256 << 20
+SAMPLE_PAGES = 200
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:page:"
 
@@ -186,7 +187,10 @@ def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int =
     The dictionary is trained on a sample of 200 pages with the smallest key hashes, 64 KB of each.
     """
     picked = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
-    sample = picked.select(F.substring("payload", 1, 1 << 16).alias("payload"), F.xxhash64("page_id").alias("h"), "page_id").orderBy("h", "page_id").limit(200).collect()
+    # a share of the hash range that holds about three times as many, so that no task sends 200 rows of its own
+    part = min(1.0, 3 * SAMPLE_PAGES / max(1, pages.count()))
+    h = F.xxhash64("page_id").bitwiseAND((1 << 53) - 1)
+    sample = picked.where(h < int(part * (1 << 53))).select(F.substring("payload", 1, 1 << 16).alias("payload"), h.alias("h"), "page_id").orderBy("h", "page_id").limit(SAMPLE_PAGES).collect()
     dictionary = train([bytes(r.payload) for r in sample])
     hashed = picked.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     equal = hashed.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).drop("n")
