@@ -1,7 +1,7 @@
 """Registered queries of the engine's operators over the test tables, with their SQL.
 
 The chunk table is ``documents`` joined with ``embeddings`` by id: the label gives the kind, the source
-the library.  Search queries are the embeddings whose id is divisible by 50; a query's text is the two
+the library.  Queries named ..._documents also take the documents without a vector.  Search queries are the embeddings whose id is divisible by 50; a query's text is the two
 longest words of its document.
 """
 
@@ -36,10 +36,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def chunk_table(spark: SparkSession, sf: str) -> DataFrame:
+def chunk_table(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
+    """With ``how`` left, documents without a vector too: a null vector, and the last kind."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    rows = docs.join(table(spark, sf, "embeddings"), docs.doc_id == F.col("vec_id"))
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("label") % 3 + 1)
+    rows = docs.join(table(spark, sf, "embeddings"), docs.doc_id == F.col("vec_id"), how)
+    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.coalesce(F.col("label") % 3, F.lit(2)) + 1)
     url = F.concat(F.lit("https://example.org/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html"))
     return rows.select(
         F.format_string("%012d", "doc_id").alias("chunk_key"), url.alias("url"), F.lit("").alias("anchor"), F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("page_title"),
@@ -143,6 +144,31 @@ def x19_postings(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.postings(chunk_table(spark, sf)).groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
+def _whole(sql: str) -> str:
+    """The same over every document, also those without a vector."""
+    for old, new in (("FROM documents JOIN embeddings ON", "FROM documents LEFT JOIN embeddings ON"), ("AS dist FROM queries, chunks\n", "AS dist FROM queries, chunks WHERE embedding IS NOT NULL\n")):
+        assert sql.count(old) == 1
+        sql = sql.replace(old, new)
+    return sql
+
+
+@query(_whole(ORACLE_SQL["x19_postings"]))
+def x20_postings_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.postings(chunk_table(spark, sf, "left")).groupBy("lexeme").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+@query(_whole(ORACLE_SQL["o2_keyword_pools"]))
+def o2_keyword_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.keyword_hits(retrieval.postings(chunk_table(spark, sf, "left")), query_table(spark, sf))
+
+
+@query(_whole(ORACLE_SQL["a1_rank_fusion"]))
+def a1_fusion_documents(spark: SparkSession, sf: str) -> DataFrame:
+    chunks, asked = chunk_table(spark, sf, "left"), query_table(spark, sf)
+    found = retrieval.fused(retrieval.dense_hits(chunks, asked), retrieval.keyword_hits(retrieval.postings(chunks), asked))
+    return found.select("query_id", "kind", "chunk_key", F.round("score", 9).alias("score"), "pool_rank")
+
+
 @query(
     f"""WITH {_FUSED}, top AS (SELECT query_id, rank, chunk_key FROM final WHERE rank <= 8), hits AS (
   SELECT query_id, g, min(rank) AS first FROM (SELECT query_id, unnest(words) AS g FROM queries) q
