@@ -5,15 +5,23 @@ all arithmetic is exact in 64 bits).  Any span's hash follows from two entries,
 two texts have equal hashes, and the longest common extension at two places is found by binary
 search.
 
-A fingerprint is ``length:hash:prefixes:suffixes``: the hash of the whole text (62 bits) and 16-bit
-hashes of its prefixes and suffixes at lengths 1, 2, 3, 4, 5, 6, 8, ... that grow by 2**(1/4).  Two
-fingerprints alone give lower bounds of the longest common prefix and suffix, again by binary
-search, because prefixes that agree agree at every shorter length.  Likeness is their share of the
-longer text; 1 stands for equal texts only.
+A fingerprint is ``length:hash:prefixes:suffixes:blocks``: the hash of the whole text (62 bits) and
+16-bit hashes of its prefixes and suffixes at lengths 1, 2, 3, 4, 5, 6, 8, ... that grow by 2**(1/4).
+Two fingerprints alone give lower bounds of the longest common prefix and suffix, again by binary
+search, because prefixes that agree agree at every shorter length.
+
+The blocks cut the whole text where the hash of the next ``WINDOW`` code points is least among
+``REACH`` windows to either side (33 code points a block on average), so an edit moves only the cuts
+around it.  Each has a 40-bit span hash, its length and, for a run of equal blocks, how many they are.
+
+Likeness is the length of disjoint spans that both texts have, as a share of the longer text: common
+prefix, common suffix and the blocks between that both have, or all blocks that both have if these
+are more.  It is a lower bound; 1 stands for equal texts only.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -26,6 +34,10 @@ from tessera.llm.workspace import shuffle_width
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 1_664_525_013)
+WINDOW, REACH = 8, 16
+#: Rows whose fingerprints a worker holds at once.
+ROWS = 256
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Powers:
@@ -83,11 +95,41 @@ class PrefixHash:
                 high = mid - 1
         return low
 
+    def cuts(self) -> np.ndarray:
+        """Borders of the content-defined blocks, with 0 and the length."""
+        n = self.n - WINDOW + 1
+        inner = np.zeros(0, np.int64)
+        if n > 1:
+            w, sums = _powers[0], self.prefix[0]
+            p = np.uint64(w.prime)
+            h = (((sums[WINDOW:] + p - sums[:-WINDOW]) % p * w.down[:n] % p + np.uint64(1)) * _GOLDEN >> np.uint64(32)).astype(np.uint32)
+            least = np.full(n + 2 * REACH, np.iinfo(np.uint32).max, np.uint32)
+            least[REACH : REACH + n] = h
+            width = 1
+            while width < 2 * REACH + 1:
+                step = min(width, 2 * REACH + 1 - width)
+                least = np.minimum(least[:-step], least[step:])
+                width += step
+            inner = np.flatnonzero(h == least)
+            inner = inner[inner > 0]
+        return np.concatenate([[0], inner, [self.n]])
+
+    def blocks(self) -> str:
+        """``hash`` (10 hex digits) and length (hex) of each block, ``*`` and the number for a run of equal ones."""
+        if not self.n:
+            return ""
+        cuts = self.cuts()
+        hashes = (self.spans(cuts[:-1], cuts[1:]) * _GOLDEN >> np.uint64(24)).astype(np.int64)
+        sizes = np.diff(cuts)
+        first = np.concatenate([[0], np.flatnonzero((np.diff(hashes) != 0) | (np.diff(sizes) != 0)) + 1])
+        runs = np.diff(np.append(first, len(sizes)))
+        return ",".join([f"{h:010x}{m:x}" if k == 1 else f"{h:010x}{m:x}*{k}" for h, m, k in zip(hashes[first].tolist(), sizes[first].tolist(), runs.tolist(), strict=True)])
+
     def fingerprint(self) -> str:
         lengths = _ladder[: np.searchsorted(_ladder, self.n, "right")]
         zero = np.zeros(len(lengths), np.int64)
-        short = lambda h: "".join(f"{x:04x}" for x in (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).tolist())
-        return f"{self.n}:{self.span(0, self.n):016x}:{short(self.spans(zero, lengths))}:{short(self.spans(self.n - lengths, zero + self.n))}"
+        short = lambda h: "".join(f"{x:04x}" for x in (h * _GOLDEN >> np.uint64(48)).tolist())
+        return f"{self.n}:{self.span(0, self.n):016x}:{short(self.spans(zero, lengths))}:{short(self.spans(self.n - lengths, zero + self.n))}:{self.blocks()}"
 
 
 def fingerprint(text: str | None) -> str:
@@ -107,13 +149,41 @@ def _agreeing(a: str, b: str) -> int:
     return int(_ladder[low - 1]) if low else 0
 
 
+def _within(blocks: list[str], common: set[str], low: int, high: int) -> Counter[str]:
+    """How often each of the ``common`` blocks lies whole in [low, high)."""
+    found: Counter[str] = Counter()
+    at = 0
+    for b in blocks:
+        one, _, run = b.partition("*")
+        size, n = int(one[10:], 16), int(run or 1)
+        if one in common:
+            inside = min(n, (high - at) // size) - max(0, -((at - low) // size))
+            if inside > 0:
+                found[one] += inside
+        at += size * n
+    return found
+
+
+def _shared(x: list[str], y: list[str], common: set[str], prefix: int, suffix: int, sizes: tuple[int, int]) -> int:
+    """Length of the blocks that both texts have between a prefix and a suffix."""
+    both = _within(x, common, prefix, sizes[0] - suffix) & _within(y, common, prefix, sizes[1] - suffix)
+    return sum(int(one[10:], 16) * n for one, n in both.items())
+
+
 def likeness(a: str, b: str) -> float:
-    """Likeness of two texts by their fingerprints: 1 if equal, 0 without a common end."""
+    """Likeness of two texts by their fingerprints: 1 if equal, 0 without a common end or block."""
     if a == b:
         return 1.0
     x, y = a.split(":"), b.split(":")
-    most, least = max(int(x[0]), int(y[0])), min(int(x[0]), int(y[0]))
-    shared = min(least, _agreeing(x[2], y[2]) + _agreeing(x[3], y[3]))
+    sizes = int(x[0]), int(y[0])
+    most, least = max(sizes), min(sizes)
+    prefix, suffix = _agreeing(x[2], y[2]), _agreeing(x[3], y[3])
+    shared = min(least, prefix + suffix)
+    own, other = x[4].split(",") if x[4] else [], y[4].split(",") if y[4] else []
+    common = {one.partition("*")[0] for one in own} & {one.partition("*")[0] for one in other}
+    if common:
+        inner = _shared(own, other, common, prefix, suffix, sizes) if prefix + suffix < least else 0
+        shared = max(shared + inner, _shared(own, other, common, 0, 0, sizes))
     return min(shared / most, 1 - 1 / (most + 1))
 
 
@@ -170,7 +240,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last document whose successor has not come yet
-        for b in batches:
+        for b in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows = []
             for shard, ahead, doc, own in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if held is None and ahead:

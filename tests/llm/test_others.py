@@ -1,6 +1,7 @@
 """Language ID, pieces, fingerprints, archives and top-k search against plain versions."""
 
 import base64
+import collections
 import hashlib
 import io
 import itertools
@@ -182,6 +183,27 @@ def test_likeness():
     assert 0.7 < fingerprints.likeness(f(base), f(base[:300] + "Q" + base[301:])) < 1
 
 
+def test_likeness_of_near_copies_edited_near_both_ends():
+    rng = np.random.default_rng(5)
+    f, like = fingerprints.fingerprint, fingerprints.likeness
+    vocabulary = ["".join(rng.choice(list("abcdefghinorst"), int(rng.integers(2, 10)))) for _ in range(3000)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    base = say(2000)
+    n = len(base)
+    assert like(f(base), f("#" + base[1:-1] + "#")) > 0.95
+    assert like(f(base), f(base[: n // 10] + "an edit" + base[n // 10 : n * 9 // 10] + base[n * 9 // 10 + 5 :])) > 0.95
+    words = base.split(" ")
+    scattered = " ".join("edited" if i % 100 == 50 else w for i, w in enumerate(words))
+    assert like(f(base), f(scattered)) > 0.75
+    assert like(f(base), f(say(2000))) < 0.05
+    for same in ("a" * 5000, "lorem ipsum dolor " * 300):
+        assert like(f(same), f("Q" + same[1:2000] + "Q" + same[2001:-1] + "Q")) > 0.9 and len(f(same)) < 2000
+    # never above what an exact count of disjoint shared code points allows
+    for x, y in [("ab" * 50, "ba" * 50), (base, base[n // 2 :] + base[: n // 2]), (base * 2, base), ("xyz", "zyx"), (base, "")]:
+        both = sum((collections.Counter(x) & collections.Counter(y)).values())
+        assert 0 <= like(f(x), f(y)) <= both / max(len(x), len(y)) and like(f(x), f(y)) == like(f(y), f(x))
+
+
 def brute_fingerprints(rows):
     order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] or ""))
     out = []
