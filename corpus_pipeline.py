@@ -20,7 +20,7 @@ from tessera.llm.workspace import Workspace
 from tessera.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A text whose best language has a smaller mean marginal is no running text of any learned language.
+#: A text whose words' largest marginals have a smaller mean is no running text of learned languages.
 LEAST_SCORE = 0.5
 
 
@@ -31,12 +31,15 @@ def _with_text(rows: DataFrame, text: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those without a letter, and those of no learned language."""
+    """Rejected documents go: those without a letter, and those of no learned language.
+
+    A text in several languages stays if its words' labels are sure.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     _, rows = learned_rows(docs)
     model = fit(labelled_sample(rows, "lang", "text", "doc_id"))
-    kept = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    kept = identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= LEAST_SCORE))
     return kept.select("row.*")
 
 

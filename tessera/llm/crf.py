@@ -315,13 +315,14 @@ def learned_rows(docs: DataFrame, key: str = "doc_id") -> tuple[Column, DataFram
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
-    """The input's columns in a struct ``row``, then lang_pred, score and n_words (and spans).
+    """The input's columns in a struct ``row``, then lang_pred, score, n_words and certainty (and spans).
 
-    ``score`` is the mean marginal of the predicted language over the words.  A null text and one
-    without a letter get ``und`` and 0; where nothing could be learned every text does.  ``spans``
+    ``score`` is the mean marginal of the predicted language over the words, ``certainty`` the mean of
+    each word's largest marginal: a text in several languages can have a small score and sure labels.
+    A null text and one without a letter get ``und`` and 0; where nothing could be learned every text does.  ``spans``
     gives the labelled runs of words as (lang, start, end) in code points.
     """
-    names = ["row", "lang_pred", "score", "n_words"] + ["spans"] * spans
+    names = ["row", "lang_pred", "score", "n_words", "certainty"] + ["spans"] * spans
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,21 +336,23 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
                 if model.languages:
                     marginal = model.marginals(model.emissions(w), w.offsets)
                     sums = np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0)])
+                    sure = np.concatenate([[0.0], np.cumsum(marginal.max(axis=1))])
+                    certainty = np.clip((sure[w.offsets[1:]] - sure[w.offsets[:-1]]) / np.maximum(n, 1), 0.0, 1.0)
                     mean = (sums[w.offsets[1:]] - sums[w.offsets[:-1]]) / np.maximum(n, 1)[:, None]
                     best = mean.argmax(axis=1)
                     score = np.clip(mean[np.arange(len(n)), best], 0.0, 1.0)
                     known = n > 0
                 else:
-                    best, score, known = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n), bool)
+                    best, score, certainty, known = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), bool)
                 lang = [model.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known, strict=True)]
-                columns = [rows.slice(part.start, len(own)), pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(n, pa.int64())]
+                columns = [rows.slice(part.start, len(own)), pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(n, pa.int64()), pa.array(np.where(known, certainty, 0.0))]
                 if spans:
                     columns.append(pa.array(_runs(w, own, marginal.argmax(axis=1) if model.languages else None, model.languages), span_type))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     picked = docs.select(row.alias("row"), F.col(text).alias("text"))
-    schema = f"row {picked.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_words long" + ", spans array<struct<lang:string,start:long,end:long>>" * spans
+    schema = f"row {picked.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_words long, certainty double" + ", spans array<struct<lang:string,start:long,end:long>>" * spans
     return picked.mapInArrow(run, schema)
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
+from tessera.llm import crf
 from tests.llm.test_dedup import brute_near, brute_substrings
 
 
@@ -69,6 +70,19 @@ def test_stages(spark, corpus):
     assert all(whole[r.doc_id] == r.doc_tokens for r in result["packing"])
 
 
+def test_code_switched_text_stays(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    _, rows = crf.learned_rows(docs)
+    model = crf.fit(crf.labelled_sample(rows, "lang", "text", "doc_id"))
+    by = {x: docs.where((docs.lang == x) & (docs.n_chars > 4000)).orderBy("doc_id").first().text.split() for x in ("fr", "de", "es")}
+    mixed = "\n".join(" ".join(by[x][:n]) for x, n in (("fr", 200), ("de", 170), ("es", 170)))
+    more = spark.createDataFrame([(-5, mixed, None, "s", len(mixed))], docs.schema)
+    found = crf.identify(more, model).first()
+    assert found.score < corpus_pipeline.LEAST_SCORE < found.certainty
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert -5 in kept
+
+
 def test_run_equals_stages(spark, corpus):
     folder, _ = corpus
     got = corpus_pipeline.run(spark, folder)
