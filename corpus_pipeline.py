@@ -67,7 +67,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 2,048-token sequences."""
     ship(spark)
-    return pack(docs.select("doc_id", "text"), Workspace(spark, "pack"), default_tokenizer(), end_id=1, window=2048)
+    return pack(docs.select("doc_id", "text"), Workspace(spark, "pack"), default_tokenizer(), end_id=1, window=2048, literal=False)
 
 
 STAGES = [

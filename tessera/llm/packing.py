@@ -103,7 +103,7 @@ def plan(histogram: np.ndarray, bins: int = BINS, depth: int = 3) -> list[tuple[
     return out
 
 
-def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text", literal: bool = True) -> DataFrame:
     """Tokenize, cut at full windows, and number pieces within (partition, bin)."""
     names = ["part", "k", "doc_id", "start", "length", "doc_tokens", "bin", "rank", "ids"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, seen = TaskContext.get().partitionId(), 0, [0] * (BINS + 2)
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, literal)
         for b in batches:
             keys = b.column(0).to_pylist()
             for at, to, found in encoder.column(b.column(1), tail):
@@ -190,14 +190,14 @@ def _lay(window: int, total: int, first: int):
     return run
 
 
-def pack(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text", literal: bool = True) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): one row a piece.
 
     A null or empty text is a piece of ``end_id`` alone; a null key stays null; repeated rows are
     documents of their own; an empty table gives no pieces.  Only histograms (256 rows) and three
     totals reach the driver.
     """
-    whole = space.save(pieces(docs, tokenizer, end_id, window, key, text), "pieces")
+    whole = space.save(pieces(docs, tokenizer, end_id, window, key, text, literal), "pieces")
     slim = whole.select("part", "k", "length", "bin", "rank")
     by_part = slim.groupBy("bin", "part").agg(F.count("*").alias("n"))
     running = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,7 +51,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.tokens import default_tokenizer
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pack(docs, Workspace(spark, "op5"), default_tokenizer(), end_id=1, window=2048)
+    found = pack(docs, Workspace(spark, "op5"), default_tokenizer(), end_id=1, window=2048, literal=False)
     return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -91,7 +91,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     space = Workspace(spark, "op10")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    tokens = space.save(tokenize(docs, default_tokenizer(), end_id=0), "tokens")
+    tokens = space.save(tokenize(docs, default_tokenizer(), end_id=0, literal=False), "tokens")
     path = write_tokens(tokens, space)
     space.drop("tokens")
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

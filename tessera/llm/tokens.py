@@ -6,6 +6,9 @@ line feed before it.  Words are found and hashed by array operations, each disti
 is looked up once in a memo of bounded size, and only unknown ones go through the library (a final
 comma or full stop after a letter is a token of its own and is taken off first).  Texts with any
 other white space go through the library whole.
+
+The string of an added token (``<|endoftext|>``) in a text is ordinary text, or with ``literal`` false
+that token, as the library has it when the file is loaded; texts with one then go through it whole.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ MEMO_IDS = 12_000_000
 _letters = "A-Za-zÀ-ÖØ-öø-ɏ"
 _simple = re.compile(rf"[ !-&(-~{_letters}]+")
 _parts = re.compile(rf" ?[{_letters}]+| ?[0-9]+| ?[^ 0-9{_letters}]+")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -100,22 +103,30 @@ def _chunk_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, before:
 class Encoder:
     """Text to ids (little-endian unsigned 32-bit)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = literal
+        self.added = None if literal else self._added()
         self.memo = Memo()
         self.stop = {c: int(np.frombuffer(self.library([c])[0], np.uint32)[0]) for c in (",", ".")}
         self.byte_marks = _byte_marks()
         self.signs: dict[str, list[int]] = {}
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = cls(path)
-        return _encoders[path]
+    def of(cls, path: str, literal: bool = True) -> Encoder:
+        if (path, literal) not in _encoders:
+            _encoders[path, literal] = cls(path, literal)
+        return _encoders[path, literal]
+
+    def _added(self) -> re.Pattern[bytes] | None:
+        """What may become an added token in a text's bytes; any non-empty text if that cannot be told from its content."""
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in tokens) and self.tokenizer.normalizer is not None:
+            return re.compile(rb"(?s).")
+        return re.compile(b"|".join(re.escape(t.content.encode()) for t in tokens)) if tokens else None
 
     def library(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -205,6 +216,9 @@ class Encoder:
         odd[owner[last][ends[last] != offsets[owner[last] + 1]]] = True
         keys = _chunk_keys(data, starts, ends, before)
         raw = data.tobytes()
+        if self.added is not None:
+            found = [m.start() for m in self.added.finditer(raw)]
+            odd[np.searchsorted(offsets, np.array(found, np.int64), "right") - 1] = True
         if self.memo.end > MEMO_IDS:
             self.memo.clear()
         known, first, per = self.memo.find(keys)
@@ -246,7 +260,7 @@ def text_groups(texts: list[str | None], limit: int = 1 << 21) -> Iterator[slice
         yield slice(at, len(texts))
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, end_id: int | None = None, key: str = "doc_id", text: str = "text", literal: bool = True) -> DataFrame:
     """(key, n_tokens, ids) of every whole text, in the input's partitions, without a shuffle.
 
     A null or empty text has no ids but ``end_id``; a null key stays null; repeated rows stay.
@@ -255,7 +269,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = None, key: str = "
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder.of(path, literal)
         for batch in batches:
             for a, b, ids in encoder.column(batch.column(1), tail):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)

@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from tessera.llm.huffman import Codebook, limited_lengths, read_tokens, write_tokens
 from tessera.llm.packing import combinations, nnls, pack, plan
+from tessera.llm.queries import QUERIES
 from tessera.llm.tokens import Encoder, default_tokenizer, tokenize
 from tessera.llm.workspace import Workspace
 
@@ -32,6 +34,28 @@ def test_memo_equals_library(plain):
     assert [list(np.frombuffer(x, "<u4")) for x in found] == [plain(t) for t in ODD]
 
 
+def test_added_tokens_as_the_library_as_loaded():
+    t = Tokenizer.from_file(default_tokenizer())
+    texts = ["end of part <|endoftext|> next part", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "plain words", "", "split <|endof", "text|> over two", "<|endoftext|", *[x for x in ODD if x]]
+    found = Encoder.of(default_tokenizer(), literal=False).encode(texts)
+    assert [list(np.frombuffer(x, "<u4")) for x in found] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert 50256 in np.frombuffer(found[0], "<u4")
+
+
+def test_queries_take_added_tokens_as_the_library(spark, tmp_path):
+    t = Tokenizer.from_file(default_tokenizer())
+    texts = ["end of part <|endoftext|> next part", "plain words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    plain = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    files = sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in QUERIES["op10_token_files"](spark, f"file://{tmp_path}").collect())
+    assert files == [(i, len(x) + 1, crc([*x, 0])) for i, x in enumerate(plain)]
+    packed = sorted((r.doc_id, r.doc_tokens) for r in QUERIES["op5_packing"](spark, f"file://{tmp_path}").select("doc_id", "doc_tokens").distinct().collect())
+    assert packed == [(i, len(x) + 1) for i, x in enumerate(plain)]
+    docs = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.packing(spark, docs, "").collect()} == {i: len(x) + 1 for i, x in enumerate(plain)}
+
+
 @pytest.mark.parametrize("n,limit", [(1, 16), (2, 16), (5, 3), (300, 9), (4000, 30)])
 def test_code_lengths(n, limit):
     rng = np.random.default_rng(n)
