@@ -39,12 +39,15 @@ BLOCK = 512
 
 
 def bands_for(threshold: float, miss: float = 1e-6, most: int = 28) -> tuple[int, int]:
-    """(bands, rows): the longest rows whose bands miss a pair at the threshold with at most ``miss``."""
+    """(bands, rows): the longest rows whose bands miss a pair at the threshold with at most ``miss``.
+
+    At most ``most`` bands, but as many as it takes where a band is one row.
+    """
     for rows in range(8, 0, -1):
         bands = int(np.ceil(np.log(miss) / np.log1p(-(threshold**rows))))
-        if bands <= most:
+        if bands <= most or rows == 1:
             return bands, rows
-    return most, 1
+    raise ValueError("no rows")
 
 
 def shingles(column: pa.Array | pa.ChunkedArray, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

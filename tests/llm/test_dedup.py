@@ -18,6 +18,13 @@ SCHEMA = "doc_id long, text string, source string, chunk string, h string, n lon
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two"), (None, "a b c d e f g"), (None, "a b c d e f g"), (6, "a b c d e f g"), (6, "a b c d e f g"), (7, "x " * 4000), (8, "é b c\x85d e f"), (9, "A B C D E F G")]
 
 
+def test_bands_miss_as_few_as_promised():
+    for percent in range(5, 100):
+        bands, rows = minhash.bands_for(percent / 100)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1.0000001e-6
+    assert (minhash.bands_for(0.80), minhash.bands_for(0.85)) == ((27, 4), (24, 5))
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(i, t, f"s{n % 3}" if n % 5 else None, "c", "h", n) for n, (i, t) in enumerate(rows)], SCHEMA)
 
