@@ -402,6 +402,13 @@ def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("doc_id", F.size(lines).cast("long").alias("paragraphs"))
 
 
+@query()
+def p6_paragraphs_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The paragraphs of every document, fenced code whole; a null text has none."""
+    count = F.udf(lambda t: len(chunking.seams(t or "")), "long")
+    return table(spark, sf, "documents").select("doc_id", count("text").alias("paragraphs"))
+
+
 @query("SELECT doc_id, sha256(CASE WHEN length(text) > 2500 THEN substr(text, 1, 2500) || chr(10) || '[... truncated]' ELSE text END) AS body_sha256 FROM documents")
 def p17_context_body(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(tx.context_body(F.col("text")), 256).alias("body_sha256"))
