@@ -238,6 +238,16 @@ def f5_symbol(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", tx.symbol_in_query(text).alias("symbol"))
 
 
+@query(
+    """SELECT conv_id, turn, nullif(list_reduce(list_prepend('', regexp_extract_all(text, '[A-Za-z_][\\w.]*[._][\\w.]*[A-Za-z0-9_]')), lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END), '') AS symbol
+FROM (SELECT conv_id, turn, coalesce(text, '') || CASE WHEN turn % 3 > 0 THEN ' a.b see ' || role || '.item_' || turn || ' here' ELSE '' END AS text FROM conversations)"""
+)
+def f5_symbol_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts; two thirds have made symbols behind, a short one first."""
+    made = F.when(F.col("turn") % 3 > 0, F.concat(F.lit(" a.b see "), "role", F.lit(".item_"), F.col("turn").cast("string"), F.lit(" here"))).otherwise("")
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.symbol_in_query(F.concat(F.coalesce("text", F.lit("")), made)).alias("symbol"))
+
+
 @query(
     """SELECT doc_id, sha256(trim(regexp_replace(replace(replace(regexp_replace(text, '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '*', ''), '\\_', '_'), '\\s+', ' ', 'g'))) AS plain_sha256 FROM documents"""
 )
