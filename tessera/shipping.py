@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
 #: Bytes of rows that Spark hands to a Python worker at once, so that long texts do not add up.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
