@@ -1,12 +1,13 @@
 """English lexemes: words, stop words, and Porter's stemmer (M. F. Porter, 1980).
 
-The stemmer is an Arrow UDF that works once on each distinct word of a batch.  ``plain_tokens`` is
-the form without stemming, inside the JVM.
+The stemmer is an Arrow UDF; a worker remembers the stems of frequent words, a bounded number of them.
+``plain_tokens`` is the form without stemming, inside the JVM.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,6 +48,7 @@ def _short(word: str) -> bool:
     return _shape(word).endswith("cvc") and word[-1] not in "wxy"
 
 
+@lru_cache(maxsize=1 << 16)
 def stem(word: str) -> str:
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
         return word
@@ -92,16 +94,13 @@ def stem(word: str) -> str:
 @pandas_udf(ArrayType(StringType()))
 def lexemes(texts: pd.Series) -> pd.Series:
     """Stemmed words in text order without stop words; dotted identifiers also as their parts."""
-    known: dict[str, str] = {}
 
     def one(text: str | None) -> list[str]:
         out = []
         for word in _word.findall((text or "").lower()):
             for part in [word, *word.split(".")] if "." in word else [word]:
                 if part and part not in STOPWORDS:
-                    if part not in known:
-                        known[part] = stem(part)
-                    out.append(known[part])
+                    out.append(stem(part))
         return out
 
     return texts.map(one)

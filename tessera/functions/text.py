@@ -96,13 +96,21 @@ def indexed_text(url: Column, synopsis: Column, gloss: Column, questions: Column
     return F.array_join(F.array_append(filled, content), "\n")
 
 
+def url_quoted(text: Column) -> Column:
+    """Percent-encoded UTF-8 but for letters, digits and ``_.-~/``."""
+    quoted = F.url_encode(text)
+    for form, char in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        quoted = F.replace(quoted, F.lit(form), F.lit(char))
+    return quoted
+
+
 def search_terms(question: Column) -> Column:
     """Up to twelve words that mean something, or any if none does, URL-quoted."""
     words = F.filter(F.split(F.trim(question), r"\s+"), lambda w: w != "")
     bare = lambda w: F.regexp_replace(F.lower(w), r"^[?.,:;()]+|[?.,:;()]+$", "")
     kept = F.filter(words, lambda w: ~bare(w).isin(*SEARCH_STOPWORDS))
     chosen = F.slice(F.when(F.size(kept) > 0, kept).otherwise(words), 1, MAX_SEARCH_TERMS)
-    return F.replace(F.url_encode(F.array_join(chosen, " ")), F.lit("+"), F.lit("%20"))
+    return url_quoted(F.array_join(chosen, " "))
 
 
 def looks_english(question: Column) -> Column:
@@ -119,6 +127,15 @@ def context_body(content: Column, limit: int = Config.section_chars, marker: str
     return F.when(F.char_length(content) > limit, F.concat(F.substring(content, 1, limit), F.lit(marker))).otherwise(content)
 
 
+# Fixed value: the instruction that the small English embedding models expect before a query, not before a text.
+QUERY_PREFIX = "Represent this sentence for searching relevant passages: "
+
+
+def query_text(question: Column, prefix: str = QUERY_PREFIX) -> Column:
+    """What is embedded for a search."""
+    return F.concat(F.lit(prefix), question)
+
+
 def json_object(reply: Column) -> Column:
     """From the first brace to the last one."""
     return F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit(""))
@@ -129,6 +146,26 @@ def json_list(reply: Column) -> Column:
     return F.nullif(F.regexp_extract(reply, r"(?s)\[.*\]", 0), F.lit(""))
 
 
+def valid_items(reply: Column, n: Column, value: str, limit: int, most: int | None = None) -> Column:
+    """Array of (i, values) from a model's JSON list of objects ``{"i": ..., value: ...}``.
+
+    What stays are items whose index is a whole number of 0 to n - 1 and whose value is a text that is
+    not blank, or with ``most`` a list with such texts, the first ``most`` of them; each is cut to
+    ``limit`` characters.  Of equal indexes the last counts.  A reply without a list gives NULL.
+    """
+    items = F.try_parse_json(json_list(reply)).cast("array<variant>")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    part = lambda x, name: F.try_variant_get(x, f"$.{name}", "variant")
+    of = lambda x: F.array(part(x, value)) if most is None else F.coalesce(F.try_variant_get(x, f"$.{value}", "array<variant>"), F.array().cast("array<variant>"))
+    texts = lambda x: F.transform(F.filter(of(x), lambda v: kind(v) == "STRING"), lambda v: F.trim(F.variant_get(v, "$", "string")))
+    clean = lambda x: F.slice(F.transform(F.filter(texts(x), lambda t: t != ""), lambda t: F.left(t, F.lit(limit))), 1, most or 1)
+    index = lambda x: F.try_variant_get(x, "$.i", "long")
+    sound = lambda x: (kind(part(x, "i")) == "BIGINT") & index(x).between(0, n - 1)
+    rows = F.transform(F.filter(items, lambda x: F.coalesce(sound(x), F.lit(False))), lambda x: F.struct(index(x).alias("i"), clean(x).alias("values")))
+    rows = F.filter(rows, lambda x: F.size(x["values"]) > 0)
+    return F.filter(rows, lambda x, at: ~F.exists(F.slice(rows, at + 2, F.greatest(F.size(rows), F.lit(1))), lambda y: y["i"] == x["i"]))
+
+
 def redacted(line: Column) -> Column:
     """Bearer headers and key-shaped tokens blanked out."""
     return F.regexp_replace(F.regexp_replace(line, r"(?i)(bearer\s+)\S+", "$1[redacted]"), r"\b(?:sk|key|gsk|AIza)[-_A-Za-z0-9]{8,}", "[redacted]")

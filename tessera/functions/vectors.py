@@ -25,3 +25,12 @@ def normalized(a: Column) -> Column:
     """Unit length; a zero vector stays."""
     size = norm(a)
     return F.transform(a, lambda x: F.when(size > 0, x / size).otherwise(x).cast("float"))
+
+
+def hashed_embedding(text: Column, dims: int = 256) -> Column:
+    """A vector without a model: counts of words by hash, of unit length.  For trials and for machines without one."""
+    from tessera.functions.lexemes import plain_tokens
+
+    places = F.transform(plain_tokens(text), lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+    return normalized(counts)

@@ -59,3 +59,33 @@ def first_sections(sections: DataFrame) -> DataFrame:
     """Sections of several searches: the first by arrival of each (url, anchor)."""
     by = Window.partitionBy("query_id", "url", "anchor").orderBy("arrival")
     return sections.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+
+
+def ordered_distinct(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order) of distinct keys in the order in which they came first."""
+    return rows.groupBy(key).agg(F.min(order).alias(order)).orderBy(order)
+
+
+def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an explicit order, all of them for 0."""
+    return rows.orderBy(*order).limit(n) if n > 0 else rows.orderBy(*order)
+
+
+def grounded_groups(expected: DataFrame, inventory: DataFrame, name: str = "name") -> DataFrame:
+    """(id, group) of expected groups with a pattern that occurs in some inventory name, whatever the case.
+
+    ``expected`` is (id, expected array<array<string>>).  Only distinct patterns meet distinct names, each
+    name once for a block of patterns.
+    """
+    groups = expected.select("id", F.posexplode("expected").alias("group", "patterns")).select("id", "group", F.explode("patterns").alias("p")).withColumn("p", F.lower("p"))
+    patterns = groups.select("p").where("p <> ''").distinct()
+    blocks = max(1, -(-patterns.count() // 256))
+    lists = patterns.groupBy(F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("p").alias("ps"))
+    names = inventory.select(F.lower(name).alias("hay")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    found = names.join(lists, "block").select(F.explode(F.filter("ps", lambda p: F.contains(F.col("hay"), p))).alias("p")).distinct()
+    return groups.join(found, "p", "left_semi").select("id", "group").distinct()
+
+
+def dump(rows: DataFrame, path: str, *order: str) -> None:
+    """One JSON object a line, in order within and over files."""
+    (rows.orderBy(*order) if order else rows).write.mode("overwrite").json(path)

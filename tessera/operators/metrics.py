@@ -104,6 +104,24 @@ def static_summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.avg("rate").alias("rate"), F.avg("n_citations").alias("citations"), F.count_if("passed").alias("passed"))
 
 
+def distance_listing(distances: DataFrame) -> DataFrame:
+    """(place, group, question, dist): nearest first, those without a distance last."""
+    order = [F.asc_nulls_last("dist"), F.asc("question")]
+    return distances.orderBy(*order).select("group", "question", "dist")
+
+
+def citation_hays(citations: Column) -> Column:
+    """What is searched of each citation: url, anchor and title in lower case."""
+    return F.transform(citations, lambda c: F.lower(F.concat_ws(" ", c["url"], c["anchor"], c["title"])))
+
+
+def judge_prompt(question: Column, context: Column, answer: Column, citations: Column) -> Column:
+    """What a judge reads: the question, the sections shown, the answer and its citations, each under its name."""
+    cited = F.transform(citations, lambda c: F.concat(F.lit("  - "), c["url"], F.lit("#"), c["anchor"], F.lit(" ("), c["title"], F.lit(")")))
+    block = lambda name, body, none: F.concat(F.lit(f"{name}:\n"), F.coalesce(F.nullif(body, F.lit("")), F.lit(none)))
+    return F.concat_ws("\n\n", block("QUESTION", question, ""), block("CONTEXT SECTIONS", context, "(none retrieved)"), block("ANSWER", answer, ""), block("ANSWER CITATIONS", F.array_join(cited, "\n"), "  (none)"))
+
+
 def calibration(distances: DataFrame) -> DataFrame:
     """One row: least, largest and mean distance of each group, and the threshold between on and off topic.
 

@@ -6,8 +6,11 @@ costs the same whether it comes alone or among thousands: chunks are read once f
 
 Dense distances: chunks are dealt into shards and queries into blocks; a (shard, block) group is one
 matrix product of bounded size that keeps ``pool`` rows a query and kind, and shards merge by query.
-Keyword hits: an equi-join on lexemes, counted by (query, chunk).  Content is joined at the end, for
-the keys that are left.
+(``cells`` has the same search over the nearest parts of an index.)
+Keyword hits: an equi-join on lexemes, counted by (query, chunk).  Symbols: the distinct ones of all
+queries, in blocks, meet each chunk once a block.  Gate and interleaving are windows over the pools;
+only queries with a symbol, whose pool overlaps the others, take turns in a function.  Content is
+joined at the end, for the keys that are left.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.config import KINDS, Config
-from tessera.functions.text import contains_folded, is_exact_api, symbol_in_query
+from tessera.functions.text import is_exact_api, known_kind, symbol_in_query
 
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
+BLOCK_SYMBOLS = 1 << 8
 _ORD = {k: i for i, k in enumerate(KINDS)}
 
 
@@ -37,12 +42,14 @@ def _deal(chunks: DataFrame, queries: DataFrame):
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    width = max((len(r) for r in rows if r), default=0)
-    out = np.full((len(rows), width), np.nan)
-    for i, r in enumerate(rows):
-        if r is not None and len(r) == width:
-            out[i] = np.array(r, np.float64)
+    """Vectors as rows; NaN for missing ones and those that are not as wide as the widest."""
+    vectors = column.combine_chunks()
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    width = int(sizes.max(initial=0))
+    out = np.full((len(sizes), width), np.nan)
+    fit = (sizes == width) & (width > 0)
+    if fit.any():
+        out[fit] = vectors.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
     return out
 
 
@@ -55,9 +62,11 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 1.0 - unit[0] @ unit[1].T
 
 
-def dense_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
-    """(query_id, kind, chunk_key, dist): the ``pool`` nearest chunks of each kind a query asks for."""
-    left, right = _deal(chunks.select("chunk_key", "kind", "library", "embedding"), queries.select("query_id", "vector", F.col("library").alias("want_library"), F.col("kind").alias("want_kind")))
+_HITS = "query_id string, kind string, chunk_key string, dist double"
+
+
+def nearest(pool: int):
+    """A function of (chunks, queries) of one group to their ``_HITS``: the pools of the queries' kinds."""
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
         found = _distances(_matrix(q["vector"]), _matrix(c["embedding"]))
@@ -79,11 +88,25 @@ def dense_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -
                 rows["dist"] += found[i, at].tolist()
         return pa.table({"query_id": pa.array(rows["query_id"], pa.string()), "kind": pa.array(rows["kind"], pa.string()), "chunk_key": pa.array(rows["chunk_key"], pa.string()), "dist": pa.array(rows["dist"], pa.float64())})
 
-    found = left.cogroup(right).applyInArrow(run, "query_id string, kind string, chunk_key string, dist double")
+    return run
+
+
+def wants(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", "vector", F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
+
+
+def pooled(found: DataFrame, pool: int) -> DataFrame:
+    """The nearest ``pool`` of each query and kind, ranked."""
     order = Window.partitionBy("query_id", "kind").orderBy("dist", "chunk_key")
     return found.withColumn("dense_rank", F.row_number().over(order)).where(F.col("dense_rank") <= pool)
 
 
+def dense_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
+    """(query_id, kind, chunk_key, dist, dense_rank): the ``pool`` nearest chunks of each kind a query asks for."""
+    left, right = _deal(chunks.select("chunk_key", "kind", "library", "embedding"), wants(queries))
+    return pooled(left.cogroup(right).applyInArrow(nearest(pool), _HITS), pool)
+
+
 def top_distance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, dist): distance to the nearest chunk of all; NULL where there is none."""
     left, right = _deal(chunks.select("chunk_key", "embedding"), queries.select("query_id", "vector"))
@@ -140,8 +163,7 @@ def keyword_hits(index: DataFrame, queries: DataFrame, pool: int = Config.pool)
     """
     asked = queries.select("query_id", F.col("library").alias("want_library"), F.col("kind").alias("want_kind"), F.array_distinct("query_lexemes").alias("words"))
     asked = asked.select("query_id", "want_library", "want_kind", F.size("words").alias("need"), F.explode("words").alias("lexeme"))
-    fit = (F.col("want_library").isNull() | (F.col("library") == F.col("want_library"))) & (F.col("want_kind").isNull() | (F.col("kind") == F.col("want_kind")))
-    found = index.join(asked, "lexeme").where(fit).groupBy("query_id", "kind", "chunk_key", "need").agg(F.count("*").alias("n"), F.sum("tf").alias("score")).where("n = need")
+    found = index.join(asked, "lexeme").where(_fits()).groupBy("query_id", "kind", "chunk_key", "need").agg(F.count("*").alias("n"), F.sum("tf").alias("score")).where("n = need")
     order = Window.partitionBy("query_id", "kind").orderBy(F.desc("score"), "chunk_key")
     return found.withColumn("keyword_rank", F.row_number().over(order)).where(F.col("keyword_rank") <= pool).select("query_id", "kind", "chunk_key", "score", "keyword_rank")
 
@@ -157,21 +179,29 @@ def bm25(index: DataFrame, queries: DataFrame, lengths: DataFrame, k1: float = 1
     return rows.groupBy("query_id", "chunk_key").agg(F.sum(idf * gain).alias("score"))
 
 
+def _fits():
+    return (F.col("want_library").isNull() | (F.col("library") == F.col("want_library"))) & (F.col("want_kind").isNull() | (F.col("kind") == F.col("want_kind")))
+
+
 def symbol_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
-    """(query_id, chunk_key, exact, symbol_rank): chunks whose url, title or headings hold the query's symbol.
+    """(query_id, chunk_key, kind, exact, symbol_rank): chunks whose url, title or headings hold the query's symbol.
 
-    API pages first, then shorter urls.  Only distinct symbols meet the chunks, in blocks of them.
+    API pages first, then shorter urls.  Only distinct symbols meet the chunks, in blocks of
+    ``BLOCK_SYMBOLS``; without a symbol in any query no chunk is read.
     """
     asked = queries.withColumn("symbol", symbol_in_query(F.col("query"))).where("symbol is not null").select("query_id", "symbol", F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
-    symbols = asked.select("symbol").distinct().withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(64)).cast("int"))
-    lists = symbols.groupBy("block").agg(F.collect_set("symbol").alias("symbols"))
-    fields = chunks.select("chunk_key", "url", "kind", "library", F.concat_ws("\n", "url", "page_title", "heading_path").alias("hay"), F.explode(F.sequence(F.lit(0), F.lit(63))).alias("block"))
-    hits = fields.join(lists, "block").withColumn("symbol", F.explode(F.filter("symbols", lambda s: contains_folded(F.col("hay"), s))))
-    both = hits.select("symbol", "chunk_key", "url", "kind", "library").join(asked, "symbol")
-    fit = (F.col("want_library").isNull() | (F.col("library") == F.col("want_library"))) & (F.col("want_kind").isNull() | (F.col("kind") == F.col("want_kind")))
+    symbols = asked.select("symbol").distinct()
+    blocks = -(-symbols.count() // BLOCK_SYMBOLS)
+    if not blocks:
+        return queries.sparkSession.createDataFrame([], "query_id string, chunk_key string, kind string, exact boolean, symbol_rank int")
+    lists = symbols.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("symbol", F.lower("symbol").alias("low"))).alias("symbols"))
+    hay = F.lower(F.concat_ws("\n", "url", "page_title", "heading_path"))
+    fields = chunks.select("chunk_key", "url", "kind", "library", hay.alias("hay"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    hits = fields.join(lists, "block").select("chunk_key", "url", "kind", "library", F.explode(F.filter("symbols", lambda s: F.contains(F.col("hay"), s["low"]))).alias("s"))
+    both = hits.select("s.symbol", "chunk_key", "url", "kind", "library").join(asked, "symbol")
     exact = is_exact_api(F.col("kind"), F.col("url"), F.col("symbol"))
     order = Window.partitionBy("query_id").orderBy((F.col("kind") == "api").desc(), F.char_length("url"), "chunk_key")
-    found = both.where(fit).withColumn("exact", exact).withColumn("symbol_rank", F.row_number().over(order))
+    found = both.where(_fits()).withColumn("exact", exact).withColumn("symbol_rank", F.row_number().over(order))
     return found.where(F.col("symbol_rank") <= pool).select("query_id", "chunk_key", "kind", "exact", "symbol_rank")
 
 
@@ -236,15 +266,32 @@ def _final(rows: pd.DataFrame, k: int, gap: float) -> pd.DataFrame:
     return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(order) + 1), "chunk_key": order, "dist": [dist.get(c) for c in order]})
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = Config.k, pool: int = Config.pool, gap: float = Config.relevance_gap) -> DataFrame:
-    """(query_id, rank, chunk_key, dist): the k best chunks of each query, an exact API page pinned first."""
-    kinds = fused(dense_hits(chunks, queries, pool), keyword_hits(postings(chunks), queries, pool))
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = Config.k, pool: int = Config.pool, gap: float = Config.relevance_gap, index: DataFrame | None = None, dense=dense_hits) -> DataFrame:
+    """(query_id, rank, chunk_key, dist): the k best chunks of each query, an exact API page pinned first.
+
+    ``index`` are written ``postings`` of the chunks, made here where none are given; ``dense`` is what
+    gives the dense pools (``cells.CellIndex.hits`` for a search in parts).
+    """
+    kinds = fused(dense(chunks, queries, pool), keyword_hits(postings(chunks) if index is None else index, queries, pool))
     symbols = symbol_hits(chunks, queries, pool)
+    named = symbols.select("query_id").distinct()
+    plain = interleaved(gated(kinds.join(named, "query_id", "left_anti"), gap), k).select("query_id", "rank", "chunk_key", "dist")
     exact = symbols.select("query_id", "chunk_key", "exact")
-    rows = kinds.select("query_id", F.col("kind").alias("pool"), "chunk_key", "dist", "pool_rank").join(exact, ["query_id", "chunk_key"], "left")
+    rows = kinds.join(named, "query_id", "left_semi").select("query_id", F.col("kind").alias("pool"), "chunk_key", "dist", "pool_rank").join(exact, ["query_id", "chunk_key"], "left")
     lead = symbols.select("query_id", F.lit("symbol").alias("pool"), "chunk_key", F.lit(None).cast("double").alias("dist"), F.col("symbol_rank").alias("pool_rank"), "exact")
-    every = rows.unionByName(lead)
-    return every.groupBy("query_id").applyInPandas(lambda d: _final(d, k, gap), "query_id string, rank int, chunk_key string, dist double")
+    turns = rows.unionByName(lead).groupBy("query_id").applyInPandas(lambda d: _final(d, k, gap), "query_id string, rank int, chunk_key string, dist double")
+    return plain.unionByName(turns)
+
+
+def search(chunks: DataFrame, queries: DataFrame, k: int = Config.k, **options) -> DataFrame:
+    """The search tool: (query_id, rank, url, anchor, title, heading_path, content, dist) of sections with content.
+
+    An unknown kind means every kind; a library or kind that is given restricts every pool.  ``title`` is the
+    heading path, or the url where there is none.
+    """
+    found = retrieve(chunks, queries.withColumn("kind", known_kind(F.col("kind"))), k, **options)
+    rows = with_content(found, chunks).where(F.coalesce("content", F.lit("")) != "")
+    return rows.select("query_id", "rank", "url", "anchor", F.coalesce(F.nullif("heading_path", F.lit("")), "url").alias("title"), "heading_path", "content", "dist")
 
 
 def with_content(ranked: DataFrame, chunks: DataFrame) -> DataFrame:

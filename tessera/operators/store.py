@@ -1,16 +1,21 @@
 """A versioned chunk table on Parquet: merge, delete, backfill, heal, meta values.
 
-Each change writes a new version folder and then moves a pointer file to it, so readers see the old or
-the new version and never a part of one; the version before the current one stays for readers that are
-still at it.  Merges are equi-joins on ``chunk_key``; nothing
-is collected but the pointer.
+The table is cut into buckets by a hash of the key; a version of a bucket is a folder, and numbered
+pointer files tell which folder each bucket is in.  A change writes new folders for the buckets that
+it touches, and then the pointer with the next number, which is created and never overwritten: readers
+take the highest whole one, so they see the old or the new state and never a part, a crash between two
+steps leaves the old one, and of two writers at once the second fails.  What the pointer before the
+current one names stays for readers that are still at it.  Merges are equi-joins on ``chunk_key``;
+nothing is collected but pointers and the numbers of touched buckets.
 """
 
 from __future__ import annotations
 
+import hashlib
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CHUNKS = (
@@ -18,9 +23,11 @@ CHUNKS = (
     "source_link string, content_hash string, index_version string, part int, embedding array<float>, lexemes array<string>, content string"
 )
 COLUMNS = [c.split()[0] for c in CHUNKS.split(", ")]
+META = "key string, value string"
 _FIXED_BY_KEY = ("url", "anchor")
 #: Columns that came later, with what they hold in older versions.
 DEFAULTS = {"part": "0", "content": "''", "lexemes": "array()"}
+_END = "end"
 
 
 def merged(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = _FIXED_BY_KEY) -> DataFrame:
@@ -69,84 +76,201 @@ def purged(stored: DataFrame, live: DataFrame) -> DataFrame:
     return stored.join(live.select("chunk_key"), "chunk_key", "left_semi")
 
 
+class Conflict(RuntimeError):
+    """Another writer has changed the store meanwhile."""
+
+
+_shared: dict[tuple[str, str], IndexStore] = {}
+_lock = threading.Lock()
+
+
+def shared_store(spark: SparkSession, path: str, width: int | None = None) -> IndexStore:
+    """One handle an application and folder, for all threads; it is probed when it is made."""
+    key = (spark.sparkContext.applicationId, path.rstrip("/"))
+    if key not in _shared:
+        with _lock:
+            if key not in _shared:
+                made = IndexStore(spark, path, width)
+                if not made.probe():
+                    raise OSError(f"{path} cannot be written and read")
+                _shared[key] = made
+    return _shared[key]
+
+
 class IndexStore:
-    """Chunks and meta values below one folder."""
+    """Chunks and meta values below one folder; ``buckets`` counts for a new store, an old one keeps its own.
+
+    ``width`` is the length of vectors: where the stored ones have another the table reads as empty, and the
+    next build makes it anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, width: int | None = None, buckets: int = 16):
+        self.spark, self.path, self.width, self.buckets = spark, path.rstrip("/"), width, buckets
 
-    def __init__(self, spark: SparkSession, path: str, width: int | None = None):
-        self.spark, self.path, self.width = spark, path.rstrip("/"), width
+    # files
 
     def _fs(self, name: str):
-        jvm = self.spark.sparkContext._jvm
-        place = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         return place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), place
 
-    def _versions(self, table: str) -> list[str]:
-        """The current version and the one before it, from the pointer file."""
-        fs, place = self._fs(f"_{table}_current")
+    def _names(self, start: str) -> list[str]:
+        fs, place = self._fs("")
         if not fs.exists(place):
             return []
+        return sorted(n for n in (x.getPath().getName() for x in fs.listStatus(place)) if n.startswith(start))
+
+    def _read(self, name: str) -> list[str]:
+        fs, place = self._fs(name)
         stream = fs.open(place)
         try:
-            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+            return self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
         finally:
             stream.close()
 
-    def _current(self, table: str) -> str | None:
-        return next(iter(self._versions(table)), None)
-
-    def _swap(self, table: str, df: DataFrame) -> None:
-        version = f"{table}-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{version}")
-        fs, now = self._fs(f"_{table}_current")
-        _, fresh = self._fs(f"_{table}_{version}")
-        old = self._versions(table)
-        stream = fs.create(fresh, True)
-        stream.write(bytearray("\n".join([version, *old[:1]]).encode()))
+    def _pointers(self, table: str) -> list[tuple[int, dict[int, str]]]:
+        """(number, folder of each bucket) of the whole pointers, the newest first."""
+        out = []
+        for name in reversed(self._names(f"_{table}_now_")):
+            lines = self._read(name)
+            if lines[-1] == _END:  # else its writer did not come to the end
+                out.append((int(name.rsplit("_", 1)[1]), {int(b): f for b, f in (x.split(" ") for x in lines[1:-1])}))
+                if table == "chunks":
+                    self.buckets = int(lines[0])
+        return out
+
+    def _newest(self, table: str) -> int:
+        """The highest number in use, also by a pointer that is not whole."""
+        return max((int(n.rsplit("_", 1)[1]) for n in self._names(f"_{table}_now_")), default=0)
+
+    def _commit(self, table: str, after: int, folders: dict[int, str]) -> None:
+        """Create the pointer that follows number ``after``; fails if there is one."""
+        fs, place = self._fs(f"_{table}_now_{after + 1:012d}")
+        try:
+            stream = fs.create(place, False)
+        except Exception as e:
+            raise Conflict(f"{self.path}: {table} has changed since number {after}") from e
+        stream.write(bytearray("\n".join([str(self.buckets), *(f"{b} {f}" for b, f in sorted(folders.items())), _END]).encode()))
         stream.close()
-        fs.delete(now, False)
-        fs.rename(fresh, now)
-        for gone in old[1:]:
-            fs.delete(self._fs(gone)[1], True)
-
-    def chunks(self) -> DataFrame:
-        """The current version with defaults for later columns; empty where there is none, or where the
-        stored vectors have another width (they must be built anew)."""
-        version = self._current("chunks")
+        self._sweep(table)
+
+    def _sweep(self, table: str) -> None:
+        """Delete what neither the current nor the previous pointer names, and older pointers."""
+        whole = self._pointers(table)[:2]
+        named = {f.split("/")[0] for _, folders in whole for f in folders.values()}
+        for name in self._names(f"{table}-"):
+            if name not in named:
+                fs, place = self._fs(name)
+                fs.delete(place, True)
+        for name in self._names(f"_{table}_now_"):
+            if whole and int(name.rsplit("_", 1)[1]) < whole[-1][0]:
+                fs, place = self._fs(name)
+                fs.delete(place, False)
+
+    # chunks
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("chunk_key"), F.lit(self.buckets)).cast("int")
+
+    def _chunks(self, folders: list[str]) -> DataFrame:
         empty = self.spark.createDataFrame([], CHUNKS)
-        if version is None:
+        if not folders:
             return empty
-        rows = self.spark.read.parquet(f"{self.path}/{version}")
+        rows = self.spark.read.option("mergeSchema", True).parquet(*[f"{self.path}/{f}" for f in folders])
         for name, value in DEFAULTS.items():
-            own = F.col(name) if name in rows.columns else F.lit(None)
             kind = empty.schema[name].dataType
-            rows = rows.withColumn(name, F.coalesce(own.cast(kind), F.expr(value).cast(kind)))
-        rows = rows.select(*COLUMNS)
+            own = F.col(name).cast(kind) if name in rows.columns else F.lit(None).cast(kind)
+            rows = rows.withColumn(name, F.coalesce(own, F.expr(value).cast(kind)))
+        return rows.select(*COLUMNS)
+
+    def chunks(self) -> DataFrame:
+        """The current state with defaults for later columns; empty where there is none, or where the
+        stored vectors have another width."""
+        now = self._pointers("chunks")
+        rows = self._chunks(sorted(now[0][1].values()) if now else [])
         if self.width is not None and rows.where(F.size("embedding") != self.width).limit(1).count():
-            return empty
+            return self.spark.createDataFrame([], CHUNKS)
         return rows
 
-    def replace(self, rows: DataFrame) -> None:
-        if self.width is not None and rows.where(F.col("embedding").isNull() | (F.size("embedding") != self.width)).limit(1).count():
+    def _checked(self, rows: DataFrame) -> DataFrame:
+        rows = rows.select(*COLUMNS)
+        wrong = F.col("embedding").isNull() | (F.size("embedding") != self.width)
+        if self.width is not None and rows.where(wrong).limit(1).count():
             raise ValueError(f"an embedding has another width than {self.width}")
-        self._swap("chunks", rows.select(*COLUMNS))
+        return rows
+
+    def _write(self, rows: DataFrame) -> dict[int, str]:
+        """New folders of the buckets that have rows."""
+        folder = f"chunks-{uuid.uuid4().hex}"
+        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        fs, place = self._fs(folder)
+        names = [x.getPath().getName() for x in fs.listStatus(place)]
+        return {int(n.removeprefix("bucket=")): f"{folder}/{n}" for n in names if n.startswith("bucket=")}
+
+    def replace(self, rows: DataFrame) -> None:
+        """All chunks anew."""
+        after = self._newest("chunks")
+        self._pointers("chunks")
+        self._commit("chunks", after, self._write(self._checked(rows)))
+
+    def change(self, keys: DataFrame, to) -> int:
+        """``to(old)`` takes the place of the rows ``old`` of the buckets that ``keys`` fall into; other buckets
+        stay as they are.  Returns how many buckets were written."""
+        after, now = self._newest("chunks"), self._pointers("chunks")
+        folders = dict(now[0][1]) if now else {}
+        touched = sorted(r[0] for r in keys.select(self._bucket()).distinct().collect())  # at most one row a bucket
+        if not touched:
+            return 0
+        fresh = self._write(self._checked(to(self._chunks([folders[b] for b in touched if b in folders]))))
+        kept = {b: f for b, f in folders.items() if b not in touched}
+        self._commit("chunks", after, kept | fresh)
+        return len(touched)
 
     def upsert(self, rows: DataFrame) -> None:
-        self.replace(merged(self.chunks(), rows.select(*COLUMNS)))
+        self.change(rows, lambda old: merged(old, rows.select(*COLUMNS)))
 
     def delete(self, keys: DataFrame) -> None:
-        self.replace(self.chunks().join(keys.select("chunk_key"), "chunk_key", "left_anti"))
+        self.change(keys, lambda old: old.join(keys.select("chunk_key"), "chunk_key", "left_anti"))
+
+    def heal(self, fresh: DataFrame) -> None:
+        """Content, hash, vector and lexemes of stored chunks together."""
+        self.change(fresh, lambda old: healed(old, fresh))
+
+    # rows of a build that is not finished
+
+    def stage(self, stamp: str, rows: DataFrame) -> None:
+        """Keep finished rows of a build for a later try of the same recipe; they are not in the table yet."""
+        rows.select(*COLUMNS).write.parquet(f"{self.path}/_staged-{_digest(stamp)}-{uuid.uuid4().hex}")
+
+    def staged(self, stamp: str) -> DataFrame:
+        """What tries of this recipe have finished, one row a key and hash."""
+        done = []
+        for name in self._names(f"_staged-{_digest(stamp)}-"):
+            fs, mark = self._fs(f"{name}/_SUCCESS")
+            if fs.exists(mark):
+                done.append(name)
+        return self._chunks(done).dropDuplicates(["chunk_key", "content_hash"])
+
+    def unstage(self) -> None:
+        for name in self._names("_staged-"):
+            fs, place = self._fs(name)
+            fs.delete(place, True)
+
+    # meta values
 
     def meta(self) -> DataFrame:
-        version = self._current("meta")
-        return self.spark.createDataFrame([], "key string, value string") if version is None else self.spark.read.parquet(f"{self.path}/{version}")
+        now = self._pointers("meta")
+        return self.spark.read.schema(META).parquet(f"{self.path}/{now[0][1][0]}") if now else self.spark.createDataFrame([], META)
 
     def get_meta(self, key: str) -> str | None:
         row = self.meta().where(F.col("key") == key).first()
         return row.value if row else None
 
     def set_meta(self, key: str, value: str) -> None:
+        after = self._newest("meta")
+        folder = f"meta-{uuid.uuid4().hex}"
         rest = self.meta().where(F.col("key") != key)
-        self._swap("meta", rest.unionByName(self.spark.createDataFrame([(key, value)], "key string, value string")))
+        rest.unionByName(self.spark.createDataFrame([(key, value)], META)).coalesce(1).write.parquet(f"{self.path}/{folder}")
+        self._commit("meta", after, {0: folder})
 
     def probe(self) -> bool:
         """Write, read and drop a scratch table."""
@@ -158,6 +282,10 @@ class IndexStore:
         return found
 
 
+def _digest(stamp: str) -> str:
+    return hashlib.sha256(stamp.encode()).hexdigest()[:16]
+
+
 def saved_pages(stored: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(snapshot after the crawl, changed pages per library): pages with an equal hash are not written anew."""
     old = stored.select("url", F.col("content_hash").alias("_old"))

@@ -47,11 +47,13 @@ def index_rows(units: DataFrame, embed: Embed, lexemes: Callable, version: str,
     return rows.select(*ops.COLUMNS)
 
 
-def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Callable, version: str, stamp: str = "", glosses: DataFrame | None = None, questions: DataFrame | None = None) -> dict[str, int]:
+def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Callable, version: str, stamp: str = "", glosses: DataFrame | None = None, questions: DataFrame | None = None, batch_rows: int = 1 << 20) -> dict[str, int]:
     """Embed what is new or changed, fill empty contents, purge what is gone; the stamp is written last.
 
     An empty snapshot is refused.  Of units with equal keys the later one counts, but both are counted
-    as read.  With another stamp every row is made anew; purging compares with what was stored.
+    as read.  With another stamp every row is made anew; purging compares with what was stored.  Work is
+    done in batches of about ``batch_rows`` units; each one's rows are kept when it is done, and a build
+    that was cut off goes on behind them.
     """
     if not units.limit(1).count():
         raise ValueError("the snapshot has no chunks; the index stays as it is")
@@ -61,9 +63,16 @@ def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Call
     known = stored.select("chunk_key", "content_hash")
     same = store.get_meta("recipe") == stamp
     work = ops.todo(live, known) if same else live
-    stats = {"snapshot_chunks": units.count(), "embedded": work.count(), "purged": known.join(live, "chunk_key", "left_anti").count()}
-    rows = ops.merged(stored, index_rows(work, embed, lexemes, version))
-    store.replace(ops.purged(ops.backfilled(rows, live), live))
+    recipe = f"{version} {stamp}"
+    rest = ops.todo(work, store.staged(recipe).select("chunk_key", "content_hash"))
+    todo = rest.count()
+    stats = {"snapshot_chunks": units.count(), "embedded": todo, "purged": known.join(live, "chunk_key", "left_anti").count()}
+    batches = max(1, -(-todo // batch_rows))
+    for i in range(batches if todo else 0):
+        store.stage(recipe, index_rows(rest.where(F.pmod(F.xxhash64("chunk_key", F.lit(1)), F.lit(batches)) == i), embed, lexemes, version))
+    done = store.staged(recipe).join(work.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_semi").select(*ops.COLUMNS)
+    store.replace(ops.purged(ops.backfilled(ops.merged(stored, done), live), live))
+    store.unstage()
     store.set_meta("recipe", stamp)
     store.set_meta("index_version", version)
     return stats | {"total": store.chunks().count()}
@@ -79,5 +88,5 @@ def refresh(store: IndexStore, live_units: DataFrame, embed: Embed, lexemes: Cal
     changed = ops.drifted(ops.last_wins(keyed.withColumn("_at", F.struct("url", "ordinal")), "chunk_key", "_at").drop("_at"), stored)
     n = changed.count()
     if n:
-        store.replace(ops.healed(stored, index_rows(changed, embed, lexemes, version)))
+        store.heal(index_rows(changed, embed, lexemes, version))
     return n

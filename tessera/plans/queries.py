@@ -1,60 +1,18 @@
 """Registered queries of the engine's operators over the test tables, with their SQL.
 
-The chunk table is ``documents`` joined with ``embeddings`` by id: the label gives the kind, the source
-the library.  Queries named ..._documents also take the documents without a vector.  Search queries are the embeddings whose id is divisible by 50; a query's text is the two
-longest words of its document.
+Queries named ..._documents also take the documents without a vector.  ``ingest_queries`` and
+``answer_queries`` have those of sources, chunking and the store, and of answers and their evaluation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import KINDS
 from tessera.functions import text as tx
-from tessera.functions.lexemes import plain_tokens
 from tessera.functions.vectors import cosine_distance, normalized
 from tessera.operators import chunking, gates, html, manifest, metrics, retrieval, store
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
-
-
-def chunk_table(spark: SparkSession, sf: str, how: str = "inner") -> DataFrame:
-    """With ``how`` left, documents without a vector too: a null vector, and the last kind."""
-    docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    rows = docs.join(table(spark, sf, "embeddings"), docs.doc_id == F.col("vec_id"), how)
-    kind = F.element_at(F.array(*map(F.lit, KINDS)), F.coalesce(F.col("label") % 3, F.lit(2)) + 1)
-    url = F.concat(F.lit("https://example.org/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".html"))
-    return rows.select(
-        F.format_string("%012d", "doc_id").alias("chunk_key"), url.alias("url"), F.lit("").alias("anchor"), F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("page_title"),
-        F.concat(F.lit("Section "), "source").alias("heading_path"), F.col("source").alias("library"), kind.alias("kind"), F.lit(0).alias("part"), "embedding", plain_tokens(F.col("text")).alias("lexemes"), F.col("text").alias("content"),
-    )
-
-
-def query_table(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    asked = table(spark, sf, "embeddings").where("vec_id % 50 = 0").join(docs, F.col("vec_id") == F.col("doc_id"))
-    longer = lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
-    words = F.slice(F.array_sort(F.array_distinct(plain_tokens(F.col("text"))), longer), 1, 2)
-    return asked.select(F.format_string("%012d", "vec_id").alias("query_id"), F.array_join(words, " ").alias("query"), words.alias("query_lexemes"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("library"), F.lit(None).cast("string").alias("kind"))
-
+from tessera.plans.registry import ORACLE_SQL, QUERIES, chunk_table, query, query_table, table
 
 _BASE = """
 chunks AS (
@@ -262,10 +220,14 @@ def x17_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rows.join(F.broadcast(one)).select("vec_id", F.round(cosine_distance(F.col("embedding"), F.col("first")), 6).alias("dist"))
 
 
-@query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS size FROM embeddings")
+@query(
+    """SELECT vec_id, i, round(CAST(CAST(x / size AS FLOAT) AS DOUBLE), 5) AS x FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS size FROM embeddings)"""
+)
 def x18_normalize(spark: SparkSession, sf: str) -> DataFrame:
-    unit = normalized(F.transform("embedding", lambda x: x * 3))
-    return table(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), 4).alias("size"))
+    """Elements of vectors that were four times as long."""
+    unit = table(spark, sf, "embeddings").select("vec_id", F.posexplode(normalized(F.transform("embedding", lambda x: (x * 4).cast("float")))).alias("p", "x"))
+    return unit.select("vec_id", F.col("p").cast("long").alias("i"), F.round(F.col("x").cast("double"), 5).alias("x"))
 
 
 _VERSIONS = """units AS (SELECT doc_id, sha256(text || CASE WHEN doc_id % 7 = 0 THEN '!' ELSE '' END) AS content_hash FROM documents WHERE doc_id % 11 <> 0),
@@ -286,10 +248,11 @@ def j1_incremental_todo(spark: SparkSession, sf: str) -> DataFrame:
     return store.todo(units, known).select("chunk_key")
 
 
-@query(f"WITH {_VERSIONS} SELECT doc_id AS chunk_key FROM known WHERE doc_id NOT IN (SELECT doc_id FROM units)")
+@query(f"WITH {_VERSIONS} SELECT doc_id AS chunk_key, 'stays' AS fate FROM known WHERE doc_id IN (SELECT doc_id FROM units) UNION ALL SELECT doc_id, 'goes' FROM known WHERE doc_id NOT IN (SELECT doc_id FROM units)")
 def j2_purged_keys(spark: SparkSession, sf: str) -> DataFrame:
     units, known = _versions(spark, sf)
-    return manifest.remaining(known, units, "chunk_key").select("chunk_key")
+    stays = store.purged(known, units).select("chunk_key", F.lit("stays").alias("fate"))
+    return stays.union(manifest.remaining(known, units, "chunk_key").select("chunk_key", F.lit("goes").alias("fate")))
 
 
 @query(f"WITH {_VERSIONS} SELECT coalesce(u.doc_id, k.doc_id) AS chunk_key, coalesce(u.content_hash, k.content_hash) AS content_hash FROM units u FULL JOIN known k USING (doc_id)")
@@ -405,14 +368,11 @@ def p12_chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunk_pages(html.clean_pages(table(spark, sf, "pages"), F.lit("site")))
 
 
-@query("SELECT doc_id, CAST(sum(CASE WHEN len > 0 THEN 1 ELSE 0 END) AS BIGINT) AS paragraphs FROM (SELECT doc_id, length(unnest(string_split(text, chr(10)))) AS len FROM documents) GROUP BY doc_id")
-def p6_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").where("text is not null")
-    lines = F.filter(F.split("text", "\n"), lambda x: F.char_length(x) > 0)
-    return docs.select("doc_id", F.size(lines).cast("long").alias("paragraphs"))
-
-
-@query()
+@query(
+    """WITH f AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, len(regexp_extract_all(t, '(?s)```.*?```')) AS fences, len(list_filter(string_split(regexp_replace(t, '(?s)```.*?```', chr(10) || chr(10), 'g'), chr(10) || chr(10)), lambda x: regexp_matches(x, '\\S'))) AS others FROM f)
+SELECT doc_id, fences + others AS paragraphs FROM p"""
+)
 def p6_paragraphs_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The paragraphs of every document, fenced code whole; a null text has none."""
     count = F.udf(lambda t: len(chunking.seams(t or "")), "long")
@@ -430,10 +390,10 @@ _STOP = ", ".join(f"'{w}'" for w in tx.SEARCH_STOPWORDS)
 @query(
     f"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS words FROM conversations),
 k AS (SELECT conv_id, turn, words, list_filter(words, lambda x: regexp_replace(lower(x), '^[?.,:;()]+|[?.,:;()]+$', '', 'g') NOT IN ({_STOP})) AS kept FROM w)
-SELECT conv_id, turn, array_to_string((CASE WHEN len(kept) > 0 THEN kept ELSE words END)[1:12], ' ') AS terms FROM k"""
+SELECT conv_id, turn, replace(url_encode(array_to_string((CASE WHEN len(kept) > 0 THEN kept ELSE words END)[1:12], ' ')), '%2F', '/') AS terms FROM k"""
 )
 def p20_search_terms(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.url_decode(tx.search_terms(F.col("text"))).alias("terms"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", tx.search_terms(F.col("text")).alias("terms"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '[^\\x00-\\x7f]')) <= greatest(2, length(text) * 0.1) AS english FROM documents")
@@ -490,3 +450,6 @@ def a16_grounded_rate(spark: SparkSession, sf: str) -> DataFrame:
     known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("there", F.lit(True))
     rows = table(spark, sf, "documents").join(known, "doc_id", "left")
     return metrics.grounded_rate(rows.select(F.col("lang").alias("id"), F.coalesce("there", F.lit(False)).alias("present")))
+
+
+from tessera.plans import answer_queries, ingest_queries  # noqa: E402, F401  registers theirs

@@ -106,10 +106,11 @@ def fetch(url: str, get: Callable[[str], bytes] = http_get, tries: int = Config.
     raise ValueError("tries must be positive")
 
 
-def fetch_pages(urls: DataFrame, get: Callable[[str], bytes] = http_get, delay: float = Config.crawl_delay) -> DataFrame:
+def fetch_pages(urls: DataFrame, get: Callable[[str], bytes] = http_get, delay: float = Config.crawl_delay, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(library, url, html, error) of (library, url): a page that fails has its error and does not end the crawl.
 
     Requests of a partition follow each other with ``delay`` between them; partition by host to be polite.
+    Bytes that are no UTF-8 become replacement characters.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,10 +118,10 @@ def fetch_pages(urls: DataFrame, get: Callable[[str], bytes] = http_get, delay:
             rows = []
             for r in b.itertuples(index=False):
                 try:
-                    rows.append((r.library, r.url, fetch(r.url, get).decode("utf-8", "replace"), None))
+                    rows.append((r.library, r.url, fetch(r.url, get, wait=wait).decode("utf-8", "replace"), None))
                 except Exception as e:
                     rows.append((r.library, r.url, None, f"{type(e).__name__}: {e}"[:500]))
-                time.sleep(delay)
+                wait(delay)
             yield pd.DataFrame(rows, columns=["library", "url", "html", "error"])
 
     return urls.select("library", "url").mapInPandas(run, "library string, url string, html string, error string")
@@ -130,3 +131,45 @@ def snapshot_first(pages: DataFrame, live: DataFrame) -> DataFrame:
     """(url, body): the snapshot's page, else the live one."""
     both = pages.select("url", F.col("body").alias("own")).join(live.select("url", F.col("body").alias("other")), "url", "full_outer")
     return both.select("url", F.coalesce("own", "other").alias("body"))
+
+
+def follow_live(url: str, get: Callable[[str], bytes], hops: int = Config.redirect_hops, wait: Callable[[float], None] = time.sleep) -> str:
+    """The page behind at most ``hops`` client-side redirects; one that comes back to a page seen before,
+    or that cannot be read, ends at the page before it."""
+    from tessera.operators.html import redirect_of
+
+    page, seen, at = fetch(url, get, wait=wait).decode("utf-8", "replace"), {url}, url
+    for _ in range(hops):
+        target = redirect_of(page, at)
+        if target is None or target in seen:
+            break
+        try:
+            page = fetch(target, get, wait=wait).decode("utf-8", "replace")
+        except Exception:
+            break
+        seen.add(target)
+        at = target
+    return page
+
+
+def live_pages(urls: DataFrame, get: Callable[[str], bytes] = http_get, delay: float = Config.crawl_delay, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Snapshot rows of (library, url) read now, redirects followed; a page that fails drops out."""
+    from tessera.operators.html import clean_pages
+
+    once = lambda url: follow_live(url, get, wait=wait).encode()
+    raw = fetch_pages(urls, once, delay, wait).where("html is not null")
+    return clean_pages(raw, F.col("library"))
+
+
+def read_through(urls: DataFrame, pages: DataFrame, cache: DataFrame | None = None, **live) -> DataFrame:
+    """Snapshot rows of (library, url): from the snapshot, else from ``cache`` (earlier live pages), else read now.
+
+    Write what was read now to the cache to ask for it once.
+    """
+    columns = ["url", "title", "library", "content_hash", "crawled_at", "body"]
+    held = pages.select(*columns, F.lit(0).alias("_place"))
+    if cache is not None:
+        held = held.unionByName(cache.select(*columns, F.lit(1).alias("_place")))
+    own = held.join(urls.select("url").distinct(), "url", "left_semi")
+    first = own.groupBy("url").agg(F.min_by(F.struct(*columns[1:]), "_place").alias("p")).select("url", "p.*")
+    return first.unionByName(live_pages(urls.join(first, "url", "left_anti"), **live).select(*columns))

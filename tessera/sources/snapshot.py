@@ -58,6 +58,22 @@ def write_page_files(pages: DataFrame, folder: str) -> None:
     page_files(pages).foreachPartition(write)
 
 
+def write_changed_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """(library, n_pages, n_changed): writes the pages whose file is missing or has another content hash.
+
+    What a snapshot holds is what its files say, so a crawl that was cut off writes the rest next time.
+    """
+    spark = pages.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    stored = read_pages(spark, folder) if there else spark.createDataFrame([], "url string, content_hash string")
+    old = stored.select("url", F.col("content_hash").alias("_old"))
+    marked = pages.join(old, "url", "left").withColumn("changed", ~F.col("_old").eqNullSafe(F.col("content_hash"))).drop("_old")
+    counts = marked.groupBy("library").agg(F.count("*").alias("n_pages"), F.count_if("changed").alias("n_changed")).collect()  # one row a library
+    write_page_files(marked.where("changed").drop("changed"), folder)
+    return spark.createDataFrame([tuple(r) for r in counts], "library string, n_pages long, n_changed long")
+
+
 def unit_files(units: DataFrame) -> DataFrame:
     """(path, text) of each chunk as a file: front matter and content; the ordinal keeps equal anchors apart."""
     from tessera.functions.text import slug, url_stem
@@ -78,7 +94,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _last(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    lines = spark.read.schema(schema).json(path).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())  # file, split, line
+    lines = spark.read.schema(schema).json(path).withColumn("_at", place)
     return last_wins(lines.where("url is not null"), "url", "_at").drop("_at")
 
 

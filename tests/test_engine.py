@@ -178,12 +178,14 @@ def test_cooling_providers(spark):
 
 def test_static_checks(spark):
     good = "Use `nn.Linear`.\n```python\nimport torch\nx = 1\n```"
-    assert checks.parse_failure(good) is None and checks.import_failure(good) is None and checks.symbol_failure(good, ["torch.nn.Linear"]) is None
-    assert "code block 0" in checks.parse_failure("```Python\nx = (\n```") and checks.parse_failure("```\nx = (\n```") is None
-    assert checks.import_failure("```py\nimport os, numpy\n```") == "disallowed import: numpy"
-    assert checks.import_failure("```python\nfrom . import x\n```").startswith("disallowed import: relative")
-    assert checks.symbol_failure("prelu linear", ["torch.relu", "torch.nn.Linear"]) == "symbols listed but not in answer: torch.relu, torch.nn.Linear"
-    assert checks.symbol_failure("use F here", ["torch.nn.functional.F"]) is not None and checks.code_blocks("```python\n  a\n    b\n```") == ["a\n  b"]
+    assert checks.findings(good, ["torch.nn.Linear"]) == (None, None, None) and checks.findings(None, None) == (None, None, None)
+    assert "block 1 is no Python" in checks.findings("```Python\nx = (\n```", [])[0] and checks.findings("```\nx = (\n```", [])[0] is None
+    assert checks.findings("```py\nimport os, numpy\n```", [])[1] == "block 1 imports numpy"
+    assert checks.findings("```python\nfrom . import x\n```", [])[1] == "block 1 imports ."
+    assert checks.findings("```py\n(\n```\n```py\nimport numpy.x\n```", []) [:2] == (checks.findings("```py\n(\n```", [])[0], "block 2 imports numpy.x")
+    assert checks.findings("prelu linear", ["torch.relu", "torch.nn.Linear"])[2] == "not in the answer: torch.relu, torch.nn.Linear"
+    assert checks.findings("use F here", ["torch.nn.functional.F"])[2] is not None and checks.findings("call nn.functional.F", ["torch.nn.functional.F"])[2] is None
+    assert checks.code_blocks("```python\n  a\n    b\n```") == ["a\n  b"]
     df = spark.createDataFrame([("1", good, ["torch.nn.Linear"], [("u",)]), ("2", "```python\n(\n```", ["zzz"], [])], "id string, answer_md string, symbols_used array<string>, citations array<struct<url:string>>")
     index = spark.createDataFrame([("torch.nn.linear",)], "lexeme string")
     rows, total = evaluation.static_benchmark(df, index)
@@ -336,10 +338,10 @@ def test_answering():
     one = answering.grounded("q", [section("https://x/1")], cite, tools)
     assert one.citations == [{"url": "https://x/1"}] and "[... truncated]" in answering.context([section("u")])
     assert answering.grounded("q", [], cite, tools).referrals
-    plan = lambda q, log, left: '{"tool": "search_docs", "query": "more", "kind": "nonsense"}'
+    plan = lambda q, log, left: '{"action": "search_docs", "query": "more", "kind": "nonsense"}'
     answering.agentic("q", tools, plan, cite)
     assert len(searched) == answering.BUDGETS["search_docs"] and searched[1] == ("more", None)
-    assert answering.action_of("no json")["tool"] == "answer" and answering.action_of('{"tool": "rm"}')["tool"] == "answer"
+    assert answering.action_of("no json")["action"] == "answer" and answering.action_of('{"action": "rm"}')["action"] == "answer" and answering.action_of("[1]")["action"] == "answer"
     cleaner = iter([answering.Answer("bad"), answering.Answer("good")])
     assert answering.grounded("q", [section("u")], lambda c, q: next(cleaner), tools, lambda a: a.answer_md == "bad").answer_md == "good"
     calls = len(searched)

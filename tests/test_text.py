@@ -96,8 +96,8 @@ def test_vectors(spark):
 def test_sections_follow_headings():
     body = "intro\n\n# A\ntext a\n## B\ntext b\n### C\n## D [¶](#real \"x\")\nhttps://github.com/pytorch/x/blob/main/f.py\n# E\n####### seven\n"
     got = list(chunking.sections(body))
-    assert [g[0] for g in got] == [[], ["A"], ["A", "B"], ["A", "B", "C"], ["A", "D"], ["E"]]
-    assert got[4][1] == "real" and got[4][3].endswith("/f.py") and got[5][2] == "####### seven"
+    assert [g[0] for g in got] == [[], ["A"], ["A", "B"], ["A", "B", "C"], ["A", 'D [¶](#real "x")'], ["E"]]
+    assert got[4][2].endswith("/f.py") and got[5][1] == "####### seven"
 
 
 def test_heading_lines_in_fences_count_as_headings():
@@ -126,11 +126,18 @@ def test_cut_lines():
     assert chunking.cut_lines("ab\n" + "y" * 12, 10) == ["y" * 10, "ab\nyy"]
 
 
-def test_synopsis():
+def test_titles_and_anchors(spark):
+    df = spark.createDataFrame([("https://x/docs/d.html", "d", "l", "h", 'intro\n# A\\_b\ntext\n## D [¶](#real "x")\nmore')], "url string, title string, library string, content_hash string, body string")
+    got = chunking.chunk_pages(df).orderBy("ordinal").collect()
+    assert [(r.heading_path, r.anchor) for r in got] == [([], ""), (["A_b"], "a-b"), (["A_b", "D"], "real")]
+
+
+def test_synopsis(spark):
+    first = lambda body: one(spark, chunking.synopsis(F.lit(body)))
     body = "# torch.add\n\n*class* torch.add(x)[[source]](https://x)\n:   Adds two tensors of any shape together. More.\n\nParameters"
-    assert chunking.synopsis(body) == "Adds two tensors of any shape together."
-    assert chunking.synopsis("Parameters\n\ntorch.f(x, y)\n\n" + "long words " * 60) == ("long words " * 60).strip()[:240]
-    assert chunking.synopsis("") == ""
+    assert first(body) == "Adds two tensors of any shape together."
+    assert first("Parameters\n\ntorch.f(x, y)\n\n" + "long words " * 60) == ("long words " * 60).strip()[:240]
+    assert first("") == ""
 
 
 def test_window_paths_equal_the_breadcrumbs(spark):
