@@ -37,21 +37,31 @@ _byte_digit = mix(np.arange(1, 257, dtype=np.uint64) * _BASE_BYTE)
 
 
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown by doubling."""
+    """Powers of an odd base and of its inverse modulo 2**64; long tables are not kept."""
+
+    KEPT = (1 << 20) + 64
 
     def __init__(self, base: np.uint64):
         self.up = np.ones(1, np.uint64)
         self.down = np.ones(1, np.uint64)
         self.base, self.inverse = int(base), pow(int(base), -1, 1 << 64)
 
-    def ensure(self, n: int) -> None:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * _U(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * _U(pow(self.inverse, k, 1 << 64))])
+    def of(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """At least ``n`` entries of both."""
+        up, down = self.up, self.down
+        if len(up) < n:
+            size = n if n > self.KEPT else min(self.KEPT, 1 << (n - 1).bit_length())
+            while len(up) < size:
+                k = len(up)
+                more = min(k, size - k)
+                up = np.concatenate([up, up[:more] * _U(pow(self.base, k, 1 << 64))])
+                down = np.concatenate([down, down[:more] * _U(pow(self.inverse, k, 1 << 64))])
+            if size <= self.KEPT:
+                self.up, self.down = up, down
+        return up, down
 
 
-_bytes, _words = Powers(_BASE_BYTE), Powers(_BASE_WORD)
+_bytes, _words, _others = Powers(_BASE_BYTE), Powers(_BASE_WORD), Powers(_U(0xA0761D6478BD642F))
 
 
 def text_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,21 +119,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit polynomial hash of each word's bytes."""
     if lower:
         data = _lower[data]
-    _bytes.ensure(len(data) + 1)
+    up, down = _bytes.of(len(data) + 1)
     prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_byte_digit[data] * _bytes.up[: len(data)], out=prefix[1:])
-    return mix((prefix[ends] - prefix[starts]) * _bytes.down[starts] + (ends - starts).astype(np.uint64))
+    np.cumsum(_byte_digit[data] * up[: len(data)], out=prefix[1:])
+    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
 
+def window_hashes(words: np.ndarray, width: int, second: bool = False) -> np.ndarray:
+    """Rabin-Karp hashes of all windows of ``width`` consecutive word hashes (text borders ignored).
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Rabin-Karp hashes of all windows of ``width`` consecutive word hashes (text borders ignored)."""
+    ``second`` gives another, independent hash.
+    """
     n = len(words)
     if n < width:
         return np.zeros(0, np.uint64)
-    _words.ensure(n + 1)
+    up, down = (_others if second else _words).of(n + 1)
     prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(words * _words.up[:n], out=prefix[1:])
-    return mix((prefix[width:] - prefix[:-width]) * _words.down[: n - width + 1])
+    np.cumsum(words * up[:n], out=prefix[1:])
+    return mix((prefix[width:] - prefix[:-width]) * down[: n - width + 1])
 
 
 def inside_texts(word_offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
