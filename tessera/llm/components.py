@@ -15,8 +15,9 @@ def _mark(edges: DataFrame) -> tuple:
 def connected(edges: DataFrame, space: Workspace, label: str = "cc") -> DataFrame:
     """(node, root): the smallest node of each node's component, for the nodes of ``edges`` (a, b).
 
-    Minima are aggregated before they are joined back, so that a node with very many neighbours
-    is no single task.  Every round is a written table; two are kept at a time.
+    Minima are aggregated before the shuffle.  They are joined back to the edges by node; the edges of
+    a node with very many neighbours are what adaptive execution splits such a join at, for nothing
+    behind the join needs them together.  Every round is a written table; only the last one stays.
     """
     now = space.save(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), f"{label}-0")
     mark, k = _mark(now), 0
@@ -28,8 +29,7 @@ def connected(edges: DataFrame, space: Workspace, label: str = "cc") -> DataFram
         small = large.join(low, "a").select(F.greatest("b", "m").alias("x"), F.least("b", "m").alias("y")).where("x <> y").union(low.toDF("x", "y"))
         k += 1
         now = space.save(small.toDF("a", "b").distinct(), f"{label}-{k}")
-        if k > 1:
-            space.drop(f"{label}-{k - 2}")
+        space.drop(f"{label}-{k - 1}")
         before, mark = mark, _mark(now)
         if mark == before:
             return now.toDF("node", "root").union(now.select("b", "b").distinct())

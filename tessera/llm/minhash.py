@@ -9,11 +9,11 @@ a coordinate of two sets is equal with the probability of their Jaccard similari
 2. Documents with equal sets form classes, represented by the smallest id; only representatives
    go on, so copies cost nothing further.
 3. In each band bucket all members are candidates of the smallest member (its hub), and every
-   candidate pair is verified on full sets.
+   candidate pair is verified on full sets.  A hub of very many members is dealt over several tasks.
 4. A bucket of three or more whose members still lie in different components has pairs that were
    not looked at: the members outside its largest component are compared with all of it on full
-   sets, in cells of bounded blocks.  So no candidate pair of any bucket is lost, and no pairs are
-   emitted but verified links, at most one a member in each cell.
+   sets, in cells of bounded numbers and bytes.  So no candidate pair of any bucket is lost, and no
+   pairs are emitted but verified links, at most one a member in each cell.
 5. Components of all verified links.
 
 With ``bands`` bands of ``rows`` coordinates a pair at the threshold is missed with a probability
@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from tessera.llm import arrays
 from tessera.llm.components import connected
 from tessera.llm.workspace import Workspace
+from tessera.workers import lean, lean_group
 
 _U = np.uint64
 _FULL = np.iinfo(np.uint64).max
-BLOCK = 512
+#: Members of a block, elements of all sets of a block, and members that meet their hub in one task.
+BLOCK, BLOCK_ITEMS, FAN = 512, 1 << 19, 2048
 
 
 def bands_for(threshold: float, miss: float = 1e-6, most: int = 28) -> tuple[int, int]:
@@ -105,26 +107,19 @@ def band_hashes(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n, lo, hi, bands): set size, set hash (sums of two mixes of the elements), band hashes."""
+    """(doc_id, n, lo, hi, b0, b1, ...): set size, set hash (sums of two mixes of the elements), band hashes."""
+    names = ["doc_id", "n", "lo", "hi", *(f"b{i}" for i in range(bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, found, counts in shingles(batch.column(1), k):
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 lo, hi = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(found ^ _U(s)))]) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                hashes = band_hashes(sketch(found, counts, bands * rows), bands, rows).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(counts, pa.int64()),
-                        pa.array((lo[upto[1:]] - lo[upto[:-1]]).view(np.int64)),
-                        pa.array((hi[upto[1:]] - hi[upto[:-1]]).view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(hashes.reshape(-1))),
-                    ],
-                    names=["doc_id", "n", "lo", "hi", "bands"],
-                )
+                hashes = np.ascontiguousarray(band_hashes(sketch(found, counts, bands * rows), bands, rows).T).view(np.int64)
+                sums = [(x[upto[1:]] - x[upto[:-1]]).view(np.int64) for x in (lo, hi)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in (counts, *sums, *hashes))], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, lo long, hi long, bands array<long>")
+    return docs.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -137,7 +132,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
                 items = [found[upto[i] : upto[i + 1]].tobytes() for i in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(items, pa.binary())], names=["doc_id", "items"])
 
-    return docs.mapInArrow(run, "doc_id long, items binary")
+    return docs.mapInArrow(lean(run), "doc_id long, items binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -158,7 +153,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
             ok = np.array(ok, bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(lean(run), "a long, b long")
 
 
 def block_links(asked: list[tuple[int, int, np.ndarray]], members: list[tuple[int, int, np.ndarray]], percent: int) -> list[tuple[int, int]]:
@@ -195,60 +190,78 @@ def block_links(asked: list[tuple[int, int, np.ndarray]], members: list[tuple[in
 
 
 def _unresolved(members: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside buckets whose members lie in different components (step 4).
+    """Links inside buckets whose members (h, rep, n elements) lie in different components (step 4).
 
     Members of a bucket's largest component need no comparison with each other: the others are asked
     against all, in cells of a block of all members and a block of the others.
     """
     seen = members.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    by_root = seen.groupBy("h", "root").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
-    mixed = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("n").alias("n"), F.sum("sign").alias("sign"), F.max(F.struct("n", "root")).alias("most"))
-    mixed = mixed.where("roots > 1 and n > 2").groupBy("n", "sign").agg(F.min(F.struct("h", "most")).alias("b"))  # buckets of the same members: once
-    cells = lambda n: F.ceil(n / BLOCK).cast("int")
-    plan = mixed.select("b.h", F.col("b.most.root").alias("largest"), cells(F.col("n")).alias("g"), cells(F.col("n") - F.col("b.most.n")).alias("g2"))
+    by_root = seen.groupBy("h", "root").agg(F.count("*").alias("m"), F.sum("n").alias("items"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sign"))
+    mixed = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("m").alias("m"), F.sum("items").alias("items"), F.sum("sign").alias("sign"), F.max(F.struct("m", "items", "root")).alias("most"))
+    mixed = mixed.where("roots > 1 and m > 2").groupBy("m", "items", "sign").agg(F.min(F.struct("h", "most")).alias("b"))  # buckets of the same members: once
+    cells = lambda m, items: F.greatest(F.ceil(m / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("int")
+    plan = mixed.select("b.h", F.col("b.most.root").alias("largest"), cells(F.col("m"), F.col("items")).alias("g"), cells(F.col("m") - F.col("b.most.m"), F.col("items") - F.col("b.most.items")).alias("g2"))
     dealt = seen.join(plan, "h").withColumns({"i": F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"), "j": F.pmod(F.hash("rep"), F.col("g2")).cast("int"), "other": F.col("root") != F.col("largest")})
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     rows = dealt.select("h", "rep", "root", "i", F.explode(upto("g2")).alias("j"), F.lit(False).alias("asked")).unionByName(dealt.where("other").select("h", "rep", "root", F.explode(upto("g")).alias("i"), "j", F.lit(True).alias("asked")))
-    full = rows.join(sets, rows.rep == sets.doc_id).select("h", "i", "j", "rep", "root", "asked", "items")
+    full = rows.hint("merge").join(sets, rows.rep == sets.doc_id).select("h", "i", "j", "rep", "root", "asked", "items")
 
     def run(table: pa.Table) -> pa.Table:
-        every = [(n, r, np.frombuffer(x, np.uint64), q) for n, r, x, q in zip(*(table[c].to_pylist() for c in ("rep", "root", "items", "asked")), strict=True)]
+        items = (np.frombuffer(x.as_buffer(), np.uint64) for x in table["items"])
+        every = list(zip(*(table[c].to_pylist() for c in ("rep", "root")), items, table["asked"].to_pylist(), strict=True))
         found = block_links([e[:3] for e in every if e[3]], [e[:3] for e in every if not e[3]], percent)
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
-    return full.groupBy("h", "i", "j").applyInArrow(run, "a long, b long")
+    return full.groupBy("h", "i", "j").applyInArrow(lean_group(run), "a long, b long")
+
+
+def _with_hub(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """(hub, rep, x, y) of (hub, rep): both sets, a hub's pairs dealt over as many tasks as they need."""
+    fans = stars.groupBy("hub").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
+    dealt = stars.join(fans, "hub").select("hub", "rep", F.pmod(F.xxhash64("rep"), F.col("fans")).cast("int").alias("fan"))
+    hubs = fans.join(sets, fans.hub == sets.doc_id).select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("items").alias("x"))
+    near = dealt.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
+    return near.join(hubs.hint("merge"), ["hub", "fan"]).select("hub", "rep", "x", "y")
 
 
 def near_duplicates(docs: DataFrame, space: Workspace, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs``.
 
     Links join documents with 100 |A & B| >= percent |A | B| of their k-word shingle sets.  A null
-    or empty text has no shingle and no link.  Repeated rows of an id are one document with equal
-    results; a row with a null id is linked with nothing, has a null component and is kept.
+    or empty text has no shingle and no link.  Rows of an id are one document: they are linked whatever
+    their texts, and each one's links count.  A row with a null id is linked with
+    nothing, has a null component and is kept.  An empty table stays empty.
     """
     bands, rows = bands_for(percent / 100)
+    own = [f"b{i}" for i in range(bands)]
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     seen = space.save(_profiles(picked, k, bands, rows), "profiles")
     sized = seen.where("n > 0 and doc_id is not null")
-    classes = space.save(sized.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "classes")
+    # equal sets have equal bands, so any row's will do; the minimum of a number needs no sort
+    classes = space.save(sized.groupBy("lo", "hi", "n").agg(F.min("doc_id").alias("rep"), *[F.min(b).alias(b) for b in own]), "classes")
 
-    dealt = classes.select(F.explode("bands").alias("h"), "rep")
-    buckets = dealt.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    members = space.save(dealt.join(buckets, "h"), "members")
+    dealt = classes.select(F.explode(F.array(*own)).alias("h"), "rep", "n")
+    buckets = dealt.groupBy("h").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    # the planner takes exploded rows for as few as they come from: no side of them is to be broadcast
+    members = space.save(dealt.hint("merge").join(buckets.hint("merge"), "h"), "members")
     stars = space.save(members.where("rep <> hub").select("hub", "rep").distinct(), "stars")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = space.save(_sets(picked.join(wanted, "doc_id", "left_semi"), k).dropDuplicates(["doc_id"]), "sets", "none")
-    near = stars.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("y")), "rep")
-    near = near.join(sets.select(F.col("doc_id").alias("hub"), F.col("items").alias("x")), "hub").select("hub", "rep", "x", "y")
-    links = space.save(_verified(near, percent), "links")
+    texts = picked.withColumn("t", F.xxhash64("text")).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
+    sets = space.save(_sets(texts.select("doc_id", "text"), k), "sets", "none")
+    links = space.save(_verified(_with_hub(stars, sets), percent), "links")
+    several = sized.groupBy("doc_id").agg((F.min("lo") != F.max("lo")).alias("more")).where("more").select("doc_id")
+    if several.head(1):
+        homes = sized.join(several, "doc_id", "left_semi").join(classes.select("lo", "hi", "n", "rep"), ["lo", "hi", "n"])
+        links = links.union(space.save(homes.select("doc_id", "rep"), "same"))
     roots = connected(links, space, "first")
-    more = space.save(_unresolved(members.where("n > 2").select("h", "rep"), roots, sets, percent), "more")
+    more = space.save(_unresolved(members.where("m > 2").select("h", "rep", "n"), roots, sets, percent), "more")
     if more.head(1):
         roots = connected(links.union(more), space, "second")
+    space.drop("members", "stars", "sets", "links", "same", "more")
     homes = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("lo", "hi", "n", F.coalesce("root", "rep").alias("root"))
     out = seen.select("doc_id", "n", "lo", "hi").join(homes, ["lo", "hi", "n"], "left")
-    own = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == own)).alias("kept"))
+    home = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("root"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), home.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == home)).alias("kept"))
 
 
 ORACLE = """
