@@ -8,7 +8,8 @@ search.
 A fingerprint is ``length:hash:prefixes:suffixes:blocks``: the hash of the whole text (62 bits) and
 16-bit hashes of its prefixes and suffixes at lengths 1, 2, 3, 4, 5, 6, 8, ... that grow by 2**(1/4).
 Two fingerprints alone give lower bounds of the longest common prefix and suffix, again by binary
-search, because prefixes that agree agree at every shorter length.
+search, because prefixes that agree agree at every shorter length: a length counts if its hash and
+the one below agree, 32 bits together.
 
 The blocks cut the whole text where the hash of the next ``WINDOW`` code points is least among
 ``REACH`` windows to either side (33 code points a block on average), so an edit moves only the cuts
@@ -16,7 +17,8 @@ around it.  Each has a 40-bit span hash, its length and, for a run of equal bloc
 
 Likeness is the length of disjoint spans that both texts have, as a share of the longer text: common
 prefix, common suffix and the blocks between that both have, or all blocks that both have if these
-are more.  It is a lower bound; 1 stands for equal texts only.
+are more.  It is a lower bound but for equal hashes of unequal spans (one in 2**32 lengths asked and in 2**40
+pairs of blocks); 1 stands for equal texts only.
 """
 
 from __future__ import annotations
@@ -30,27 +32,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ranges import borders
 from tessera.llm.workspace import shuffle_width
+from tessera.workers import lean
 
 PRIMES = (2**31 - 1, 2**31 - 19)
 BASES = (1_103_515_245, 1_664_525_013)
 WINDOW, REACH = 8, 16
-#: Rows whose fingerprints a worker holds at once.
-ROWS = 256
+#: Rows whose fingerprints a worker holds at once, and bytes of text of a range of keys.
+ROWS, RANGE_BYTES = 256, 12 << 20
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Powers:
+    """Powers of a base and of its inverse modulo a prime; long tables are not kept."""
+
+    KEPT = 1 << 18
+
     def __init__(self, base: int, prime: int):
         self.prime, self.base, self.inverse = prime, base, pow(base, -1, prime)
         self.up = self.down = np.ones(1, np.uint64)
 
-    def ensure(self, n: int) -> None:
-        p = np.uint64(self.prime)
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, self.prime)) % p])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, self.prime)) % p])
+    def of(self, n: int) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """The prime and at least ``n`` entries of both."""
+        p, up, down = np.uint64(self.prime), self.up, self.down
+        while len(up) < n:
+            k = len(up)
+            up = np.concatenate([up, up * np.uint64(pow(self.base, k, self.prime)) % p])
+            down = np.concatenate([down, down * np.uint64(pow(self.inverse, k, self.prime)) % p])
+        if len(up) <= self.KEPT:
+            self.up, self.down = up, down
+        return p, up, down
 
 
 _powers = [_Powers(b, p) for b, p in zip(BASES, PRIMES, strict=True)]
@@ -63,19 +75,18 @@ class PrefixHash:
     def __init__(self, text: str):
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
         self.n = len(points)
-        self.prefix = []
+        self.prefix = []  # of each prime: itself, prefix sums, inverse powers
         for w in _powers:
-            w.ensure(self.n + 1)
+            p, up, down = w.of(self.n + 1)
             sums = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(points * w.up[: self.n] % np.uint64(w.prime), out=sums[1:])
-            self.prefix.append(sums % np.uint64(w.prime))
+            np.cumsum(points * up[: self.n] % p, out=sums[1:])
+            self.prefix.append((p, sums % p, down))
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """62-bit hashes of the spans [start, end)."""
         out = np.zeros(len(starts), np.uint64)
-        for w, sums in zip(_powers, self.prefix, strict=True):
-            p = np.uint64(w.prime)
-            out = (out << np.uint64(31)) | (sums[ends] + p - sums[starts]) % p * w.down[starts] % p
+        for p, sums, down in self.prefix:
+            out = (out << np.uint64(31)) | (sums[ends] + p - sums[starts]) % p * down[starts] % p
         return out
 
     def span(self, start: int, end: int) -> int:
@@ -100,9 +111,8 @@ class PrefixHash:
         n = self.n - WINDOW + 1
         inner = np.zeros(0, np.int64)
         if n > 1:
-            w, sums = _powers[0], self.prefix[0]
-            p = np.uint64(w.prime)
-            h = (((sums[WINDOW:] + p - sums[:-WINDOW]) % p * w.down[:n] % p + np.uint64(1)) * _GOLDEN >> np.uint64(32)).astype(np.uint32)
+            p, sums, down = self.prefix[0]
+            h = (((sums[WINDOW:] + p - sums[:-WINDOW]) % p * down[:n] % p + np.uint64(1)) * _GOLDEN >> np.uint64(32)).astype(np.uint32)
             least = np.full(n + 2 * REACH, np.iinfo(np.uint32).max, np.uint32)
             least[REACH : REACH + n] = h
             width = 1
@@ -138,11 +148,11 @@ def fingerprint(text: str | None) -> str:
 
 
 def _agreeing(a: str, b: str) -> int:
-    """Length up to which two ladders agree."""
+    """Length up to which two ladders agree; a rung counts only together with the one below it."""
     low, high = 0, min(len(a), len(b)) // 4
     while low < high:
         mid = (low + high + 1) // 2
-        if a[4 * mid - 4 : 4 * mid] == b[4 * mid - 4 : 4 * mid]:
+        if a[max(0, 4 * mid - 8) : 4 * mid] == b[max(0, 4 * mid - 8) : 4 * mid]:
             low = mid
         else:
             high = mid - 1
@@ -200,14 +210,14 @@ def _shard(cuts: list[int]) -> F.Column:
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(shard, ahead, doc_id, text) laid out so that each row's successor in descending key order follows it.
 
-    Keys are cut into shards at approximate quantiles; the first document of a shard is also sent
-    behind the last one of the shard before (and the very first behind the very last).  One shuffle.
-    Null keys come last; equal keys are ordered by text.
+    Keys are cut into shards of about equal numbers of rows, one a task; the first document of a shard
+    is also sent behind the last one of the shard before (and the very first behind the very last).
+    One shuffle.  Null keys come last; equal keys are ordered by text.
     """
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    width = 4 * shuffle_width(docs.sparkSession)
-    found = rows.select("doc_id").approxQuantile("doc_id", [i / width for i in range(1, width)], 0.1 / width)
-    cuts = sorted({int(c) for c in found}, reverse=True)
+    n_rows, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    found = borders(rows, "doc_id", max(shuffle_width(docs.sparkSession), -(-size // RANGE_BYTES)), n_rows)
+    cuts = sorted(found.tolist(), reverse=True)
     placed = rows.withColumn("shard", _shard(cuts))
     firsts = {r.shard: r.top for r in placed.groupBy("shard").agg(F.max("doc_id").alias("top")).collect()}  # one row a shard
     used = sorted(firsts)
@@ -219,8 +229,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     own = F.struct(F.col("shard").cast("long").alias("s"), F.lit(False).alias("ahead"))
     early = F.struct(F.element_at(befores, F.col("shard") + 1).alias("s"), F.lit(True).alias("ahead"))
     twice = placed.withColumn("to", F.explode(F.when(F.col("doc_id") == F.element_at(tops, F.col("shard") + 1), F.array(own, early)).otherwise(F.array(own))))
-    dealt = twice.select(F.col("to.s").alias("shard"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
-    return dealt.repartition(shuffle_width(docs.sparkSession), "shard").sortWithinPartitions("shard", "ahead", F.desc("doc_id"), "text")
+    dealt = twice.select(F.col("to.s").cast("int").alias("shard"), F.col("to.ahead").alias("ahead"), "doc_id", "text")
+    return dealt.repartitionById(n, "shard").sortWithinPartitions("shard", "ahead", F.desc("doc_id"), "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -230,10 +240,11 @@ def edited(text: str, following: str) -> str:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_chars, text, edited, fingerprint, edited_fingerprint, near_edited, near_next).
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     A null text counts as empty (likeness 1 to another empty one).  A sole document is its own
-    successor.  Null keys come last and stay null.  An empty table stays empty.
+    successor.  Null keys come last and stay null; repeated rows are documents of their own.  An
+    empty table stays empty.
     """
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -255,4 +266,4 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return with_next(docs, key, text).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs, key, text).mapInArrow(lean(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
