@@ -16,7 +16,7 @@ from tessera.llm.minhash import near_duplicates
 from tessera.llm.packing import pack
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.tokens import default_tokenizer
-from tessera.llm.workspace import Workspace
+from tessera.llm.workspace import Workspace, scratch
 from tessera.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,9 +31,10 @@ def _with_text(rows: DataFrame, text: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go: those without a letter, and those of no learned language.
+    """Rejected documents go: those without a letter (null texts too), and those of no learned language.
 
-    A text in several languages stays if its words' labels are sure.
+    A text in several languages stays if its words' labels are sure.  Null keys and repeated rows are
+    judged by their texts like all others.
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
@@ -44,13 +45,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many sources carry go from every document; the document stays."""
+    """Lines that many sources carry go from every document; the document stays, also one that is null or
+    becomes empty.  Null keys and repeated rows are documents of their own."""
     ship(spark)
     return _with_text(remove_boilerplate(docs.select(*COLUMNS), Workspace(spark, "lines")), "kept")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id; ids are unique."""
+    """One document of each group of near duplicates stays, that with the smallest id.
+
+    Empty and null texts and rows with a null id are in no group and stay; all rows of an id go or stay
+    together.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
     found = near_duplicates(docs.select("doc_id", "text"), Workspace(spark, "near"), k=5, percent=80)
@@ -59,13 +65,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 35-word windows go; a text that loses nothing keeps its layout."""
+    """Repeated 35-word windows go; a text that loses nothing keeps its layout, a null one stays null.
+
+    Repeated rows are places of their own, so their windows repeat; null keys too.
+    """
     ship(spark)
     return _with_text(remove_repeats(docs.select(*COLUMNS), width=35, layout=True), "kept")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of 2,048-token sequences."""
+    """Pieces of 2,048-token sequences; a null or empty text is one piece of the end id, repeated rows and
+    null keys are documents of their own."""
     ship(spark)
     return pack(docs.select("doc_id", "text"), Workspace(spark, "pack"), default_tokenizer(), end_id=1, window=2048, literal=False)
 
@@ -83,10 +93,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``; each result but the last is written and read again."""
+    """All stages over the documents of ``sf_dir``; each result but the last is written and read again,
+    and what a stage wrote besides goes with it, like the documents that it read."""
     space = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = space.save(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = space.save(stage(spark, docs, sf_dir), name)
+        if before:
+            space.drop(before)
+        before = name
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)
