@@ -42,10 +42,11 @@ def _release_now_and_then() -> None:
 
 
 def lean(run: Callable[[Iterator], Iterator], owner: str = "") -> Callable[[Iterator], Iterator]:
-    """``run`` over the batches of a task, with ``release`` at its end."""
+    """``run`` over the batches of a task, with ``release`` at its end; an ``owner`` drops what others kept."""
 
     def call(batches: Iterator) -> Iterator:
-        kept(owner)
+        if owner:
+            kept(owner)
         try:
             yield from run(batches)
         finally:
@@ -58,7 +59,8 @@ def lean_group(run: Callable[[pa.Table], pa.Table], owner: str = "") -> Callable
     """``run`` over a group, with ``release`` behind it unless the last one was a moment ago."""
 
     def call(table: pa.Table) -> pa.Table:
-        kept(owner)
+        if owner:
+            kept(owner)
         out = run(table)
         _release_now_and_then()
         return out
@@ -70,7 +72,8 @@ def lean_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table], owner: str = "")
     """``run`` over two groups of one key, as ``lean_group``."""
 
     def call(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept(owner)
+        if owner:
+            kept(owner)
         out = run(left, right)
         _release_now_and_then()
         return out
