@@ -32,7 +32,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = 0.2
     close = spread.where(F.col("sites") >= min_sites * (1 - margin))
     sure = close.where(F.col("sites") > min_sites * (1 + margin)).select("_a", "_b")
     near = close.where(F.col("sites") <= min_sites * (1 + margin)).select("_a", "_b")
-    exact = lines.join(near, ["_a", "_b"]).select("_a", "_b", "site").distinct().groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    # each task sends a line and site once, so what meets at a line is at most its sites
+    exact = lines.select("_a", "_b", "site").distinct().join(near, ["_a", "_b"]).groupBy("_a", "_b").agg(F.count("*").alias("n"))
     return sure.union(exact.where(F.col("n") >= min_sites).select("_a", "_b"))
 
 
@@ -42,17 +43,21 @@ def remove_boilerplate(docs: DataFrame, space, min_sites: int = MIN_SITES, key:
     A line is what stands between line feeds, compared without leading and trailing blanks; blank
     lines are never removed.  A null text has no lines and stays null; a row with a null site counts
     for no site but loses boilerplate too; equal rows get equal results; null keys are kept apart by
-    their text's hash.
+    their text's hash.  An empty table stays empty.
     """
     cut = space.save(boilerplate(docs, min_sites, site=site, text=text), "boilerplate")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("k"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
     hit = _hashed(rows.select("k", "t", "text"), "text").join(cut, ["_a", "_b"])
-    gone = hit.groupBy("k", "t").agg(F.collect_set("_pos").alias("gone")).select(F.col("k").alias("gk"), F.col("t").alias("gt"), "gone")
+    gone = hit.groupBy("k", "t").agg(F.array_sort(F.collect_set("_pos")).alias("gone")).select(F.col("k").alias("gk"), F.col("t").alias("gt"), "gone")
     both = rows.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("t") == F.col("gt")), "left")
-    lines = _lines(F.col("text"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n"))
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0))
-    return both.select("row", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    both = both.select("row", "text", "gone", _lines(F.col("text")).alias("lines"))
+    # what stays are the runs of lines between two removed ones
+    begin = lambda j: F.when(j == 0, 0).otherwise(F.get("gone", j - 1) + 1)
+    end = lambda j: F.coalesce(F.get("gone", j), F.size("lines"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda j: F.slice("lines", begin(j) + 1, end(j) - begin(j)))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    count = lambda a: F.when(F.col(a).isNull(), 0).otherwise(F.size(a)).cast("long")
+    return both.select("row", count("lines").alias("n_lines"), count("gone").alias("n_removed"), kept.alias("kept"))
 
 
 ORACLE = f"""
