@@ -5,11 +5,12 @@
 2. All combinations of up to three bins that fill a window exactly are enumerated; non-negative
    least squares finds repeat counts whose use of bins matches the histogram; counts are rounded
    down to what is there, and residual pieces are packed greedily by the same combinations.
-3. A piece finds its combination from its rank within its bin, which takes two levels: a rank
-   within (partition, bin) and a running count over partitions.  No bin is gathered in one task,
-   however many documents share a length.
+3. A piece finds its combination from its rank within its bin, which takes levels: a rank within
+   (partition, bin) and running counts over partitions.  No bin is gathered in one task, however
+   many documents share a length.
 4. What no combination takes is laid end to end and cut at window borders; the last, partial
-   window is cut at powers of two, where nothing is padded.
+   window is cut at powers of two, where nothing is padded.  Places are running sums in levels:
+   within groups of pieces, over the groups of a partition, over partitions.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.tokens import Encoder
 from tessera.llm.workspace import Workspace
+from tessera.workers import lean
 
 BINS = 256
+#: Pieces of a group, and sums that one task of a running total takes at once.
+GROUP, STEP = 64, 1024
 
 
 def combinations(bins: int, depth: int = 3) -> list[tuple[int, ...]]:
@@ -42,14 +46,16 @@ def combinations(bins: int, depth: int = 3) -> list[tuple[int, ...]]:
     return out
 
 
-def nnls(columns: np.ndarray, target: np.ndarray, tolerance: float = 1e-9, rounds: int = 1200) -> np.ndarray:
+def nnls(columns: np.ndarray, target: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
     """x >= 0 that minimises |columns @ x - target| (Lawson and Hanson's active sets).
 
-    It ends where no column's inner product with the residual exceeds ``tolerance`` times the largest target.
+    It ends where no column's inner product with the residual exceeds ``tolerance`` times the largest
+    target.  Sets do not come back in exact arithmetic; should rounding make them, the loop ends after
+    three steps a column with what it has, which costs padding and nothing else.
     """
     x, active = np.zeros(columns.shape[1]), np.zeros(columns.shape[1], bool)
     scale = max(1.0, float(np.abs(target).max()))
-    for _ in range(rounds):
+    for _ in range(3 * columns.shape[1]):
         gain = columns.T @ (target - columns @ x)
         gain[active] = -np.inf
         best = int(np.argmax(gain))
@@ -104,7 +110,7 @@ def plan(histogram: np.ndarray, bins: int = BINS, depth: int = 3) -> list[tuple[
 
 
 def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc_id", text: str = "text", literal: bool = True) -> DataFrame:
-    """Tokenize, cut at full windows, and number pieces within (partition, bin)."""
+    """Tokenize, cut at full windows, and number pieces within (partition, bin); ``part`` and ``k`` name a piece."""
     names = ["part", "k", "doc_id", "start", "length", "doc_tokens", "bin", "rank", "ids"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     width = max(1, window // BINS)
@@ -128,7 +134,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int, key: str = "doc
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "part int, k long, doc_id long, start long, length long, doc_tokens long, bin int, rank long, ids binary")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run, "tokens"), "part int, k long, doc_id long, start long, length long, doc_tokens long, bin int, rank long, ids binary")
 
 
 def _assign(found: list[tuple[tuple[int, ...], int]]):
@@ -190,35 +196,45 @@ def _lay(window: int, total: int, first: int):
     return run
 
 
+def _before(sums: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
+    """(by, order, before): the sum of ``value`` over the earlier rows of each group, in two levels, so
+    that a task orders ``STEP`` rows or one sum of these each."""
+    ahead = lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wide = sums.withColumn("_step", F.floor(F.col(order) / STEP))
+    steps = wide.groupBy(*by, "_step").agg(F.sum(value).alias(value))
+    steps = steps.select(*by, "_step", ahead(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_step")).alias("_base"))
+    own = wide.select(*by, "_step", order, ahead(Window.partitionBy(*by, "_step").orderBy(order)).alias("_own"))
+    return own.join(steps, [*by, "_step"]).select(*by, order, (F.col("_base") + F.col("_own")).alias("before"))
+
+
 def pack(docs: DataFrame, space: Workspace, tokenizer: str, end_id: int = 1, window: int = 2048, key: str = "doc_id", text: str = "text", literal: bool = True) -> DataFrame:
     """(doc_id, start, length, doc_tokens, sequence_id, offset, ids): one row a piece.
 
     A null or empty text is a piece of ``end_id`` alone; a null key stays null; repeated rows are
-    documents of their own; an empty table gives no pieces.  Only histograms (256 rows) and three
-    totals reach the driver.
+    documents of their own; an empty table gives no pieces.  Only the histogram (256 rows) and one
+    total reach the driver.
     """
     whole = space.save(pieces(docs, tokenizer, end_id, window, key, text, literal), "pieces")
     slim = whole.select("part", "k", "length", "bin", "rank")
-    by_part = slim.groupBy("bin", "part").agg(F.count("*").alias("n"))
-    running = Window.partitionBy("bin").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = by_part.select("bin", "part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
+    before = _before(slim.groupBy("bin", "part").agg(F.count("*").alias("n")), ["bin"], "part", "n")
     histogram = np.zeros(BINS, np.int64)
     for r in slim.groupBy("bin").agg(F.count("*").alias("n")).collect():
         histogram[r.bin - 1] = r.n
     run, sequences = _assign(plan(histogram))
-    placed = slim.join(before, ["bin", "part"]).mapInPandas(run, "part int, k long, length long, sequence_id long, slot int")
+    placed = slim.join(before, ["bin", "part"]).mapInPandas(lean(run), "part int, k long, length long, sequence_id long, slot int")
     placed = space.save(placed, "placed")
 
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     fitted = placed.where("sequence_id >= 0").select("part", "k", F.lit(0).cast("long").alias("skip"), "length", "sequence_id", F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"))
 
-    loose = placed.where("sequence_id < 0")
-    sums = loose.groupBy("part").agg(F.sum("length").alias("n"))
-    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bases = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row a partition
-    within = Window.partitionBy("part").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    laid = loose.select("part", "k", "length", F.coalesce(F.sum("length").over(within), F.lit(0)).alias("upto")).join(bases, "part")
-    laid = laid.select("part", "k", "length", (F.col("base") + F.col("upto")).alias("pos")).mapInPandas(_lay(window, int(total), sequences), "part int, k long, skip long, length long, sequence_id long, offset long")
+    loose = placed.where("sequence_id < 0").withColumn("group", F.floor(F.col("k") / GROUP))
+    sums = space.save(loose.groupBy("part", "group").agg(F.sum("length").alias("n")), "sums")
+    by_part = sums.groupBy("part").agg(F.sum("n").alias("n"))
+    total = by_part.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    base = _before(sums, ["part"], "group", "n").join(_before(by_part, [], "part", "n").withColumnRenamed("before", "ahead"), "part")
+    within = Window.partitionBy("part", "group").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    laid = loose.select("part", "group", "k", "length", F.coalesce(F.sum("length").over(within), F.lit(0)).alias("upto")).join(base, ["part", "group"])
+    laid = laid.select("part", "k", "length", (F.col("ahead") + F.col("before") + F.col("upto")).alias("pos")).mapInPandas(lean(_lay(window, int(total), sequences)), "part int, k long, skip long, length long, sequence_id long, offset long")
 
     every = fitted.unionByName(laid)
     joined = whole.select("part", "k", "doc_id", "start", "doc_tokens", "ids").join(every, ["part", "k"])
