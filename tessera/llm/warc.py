@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.workspace import Workspace
+from tessera.workers import lean
 
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = 0xFD2FB528
@@ -178,12 +179,13 @@ def read_archive(stream) -> Iterator[dict]:
             raise Damaged(f"at {offset}: {e}") from e
 
 
-def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages; returns the manifest (path, records) of the committed archives.
 
     A null html is an empty payload.  Of records with equal payloads of at least
     ``min_revisit_bytes`` bytes the one with the largest key is the response and others are
     revisits; a row with a null key is always a response, as are repeated rows of the largest key.
+    A task begins another archive when one has ``archive_bytes``.  An empty table gives no archive.
     The dictionary is trained on a sample of 200 pages with the smallest key hashes, 64 KB of each.
     """
     picked = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
@@ -193,8 +195,11 @@ def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int =
     sample = picked.where(h < int(part * (1 << 53))).select(F.substring("payload", 1, 1 << 16).alias("payload"), h.alias("h"), "page_id").orderBy("h", "page_id").limit(SAMPLE_PAGES).collect()
     dictionary = train([bytes(r.payload) for r in sample])
     hashed = picked.withColumn("sha1", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    equal = hashed.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).drop("n")
-    decided = hashed.join(equal, ["sha1", "size"], "left").select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("last"), F.col("last")).alias("refers_to"))
+    # what refers to what is decided on digests alone; payloads meet it by page, so copies of one payload do not meet
+    slim = hashed.select("page_id", "sha1", "size")
+    equal = slim.groupBy("sha1", "size").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("size") >= min_revisit_bytes)).drop("n")
+    again = slim.join(equal, ["sha1", "size"]).where("page_id < last").select("page_id", "sha1", F.col("last").alias("refers_to")).distinct()
+    decided = hashed.join(again, ["page_id", "sha1"], "left").select("page_id", "url", "payload", "refers_to")
     folder = f"{space.path}/archives"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +218,7 @@ def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int =
                 frame = coder.compress(record(page, link, payload, payload_digest(payload), refers, date))
                 out.write(frame)
                 n, size = n + 1, size + len(frame)
-                if size >= ARCHIVE_BYTES:
+                if size >= archive_bytes:
                     out.close()
                     done.append((f"{folder}/{path}", n))
                     out = None
@@ -222,7 +227,7 @@ def write_archives(pages: DataFrame, space: Workspace, min_revisit_bytes: int =
             done.append((f"{folder}/{path}", n))
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], names=["path", "records"])
 
-    return space.save(decided.mapInArrow(run, "path string, records long"), "manifest")
+    return space.save(decided.mapInArrow(lean(run), "path string, records long"), "manifest")
 
 
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
@@ -259,7 +264,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
     files = manifest.select("path", "records")
     width = max(1, min(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), files.count()))
-    return files.repartition(width).mapInArrow(run, schema)
+    return files.repartition(width).mapInArrow(lean(run), schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, space: Workspace) -> DataFrame:
