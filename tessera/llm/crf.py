@@ -9,9 +9,11 @@ Forward-backward is exact and runs over all texts of a slice at once: sequences
 of 64 words, block transfer matrices carry the messages between blocks, and then all blocks advance
 together.  The number of array steps does not grow with the length of a text.
 
-The model is fitted on the driver on a bounded sample (``SAMPLE_PER_LANGUAGE`` labelled documents of
-each language, at most ``SAMPLE_CHARS`` characters of each from a hashed place); its size is fixed
-by ``BUCKETS`` and ``LEXICON``.  Texts to label are read whole, where they lie, without a shuffle.
+The model is fitted on the driver on a bounded sample of labelled rows: of each language the documents
+with the smallest key hashes, at most ``SAMPLE_PER_LANGUAGE`` of them and none after the one that
+reaches ``SAMPLE_CHARS`` characters, each with its whole text.  Training is stochastic: ``ROUNDS``
+rounds of ``ROUND_SPANS`` spans of 4 to 21 words, drawn anew.  The model's size is fixed by
+``BUCKETS`` and ``LEXICON``.  Texts to label are read whole, where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,14 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import nullable
 from tessera.llm.tokens import text_groups
+from tessera.workers import lean
 
 SAMPLE_PER_LANGUAGE = 160
-SAMPLE_CHARS = 6000
+SAMPLE_CHARS = 1_000_000
+#: More labels than this are no languages but an error of the caller's.
+MOST_LANGUAGES = 500
+ROUNDS, ROUND_SPANS = 6, 4000
 BUCKETS = 1 << 16
 LEXICON = 4000
 UNDETERMINED = "und"
@@ -225,8 +231,11 @@ def forward_backward(emissions: np.ndarray, offsets: np.ndarray, transitions: np
     return out
 
 
-def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: int = 96) -> Model:
-    """Fit on (language, text) pairs: spans of a text, a third of them spliced from two or three languages."""
+def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS, batch: int = 96) -> Model:
+    """Fit on (language, text) pairs: spans of a text, a third of them spliced from two or three languages.
+
+    Three spans have at most 63 words, which a block of the forward-backward pass holds.
+    """
     rng = np.random.default_rng(seed)
     languages = sorted({label for label, _ in samples})
     code = {label: i for i, label in enumerate(languages)}
@@ -238,7 +247,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: i
             counts.setdefault(int(key), np.zeros(len(languages)))[code[label]] += n
         n_words, at = len(w.start), 0
         while at < n_words:
-            to = min(n_words, at + int(rng.integers(4, 24)))
+            to = min(n_words, at + int(rng.integers(4, 22)))
             spans[code[label]].append(text[w.start[at] : w.end[to - 1]])
             at = to
     top = sorted(counts, key=lambda key: (-counts[key].sum(), key))[:LEXICON]
@@ -248,7 +257,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: i
     total = sum(map(len, spans))
     present = [i for i in range(k) if spans[i]]
     for _ in range(rounds if present else 0):
-        for _ in range(max(1, min(4000, total) // batch)):
+        for _ in range(max(1, min(ROUND_SPANS, total) // batch)):
             texts, labels, owner = [], [], []
             for s in range(batch):
                 parts = rng.choice(present, size=int(rng.integers(2, 4)) if rng.random() < 1 / 3 else 1)
@@ -260,17 +269,10 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: i
             per_text = np.diff(w.offsets)
             gold = np.repeat(labels, per_text)
             sizes = np.bincount(owner, weights=per_text, minlength=batch).astype(np.int64)
-            if sizes.max() > _BLOCK:  # three spans have at most 69 words
-                keep = np.concatenate([np.arange(s) < _BLOCK for s in sizes])
-            else:
-                keep = np.ones(len(gold), bool)
             emissions = model.emissions(w)
-            short = np.minimum(sizes, _BLOCK)
-            offsets = np.concatenate([[0], np.cumsum(short)])
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
             pairs = np.zeros((k, k))
-            marginal = forward_backward(emissions[keep], offsets, model.transitions, model.initial, pairs)
-            error = np.zeros_like(emissions)
-            error[keep] = np.eye(k)[gold[keep]] - marginal
+            error = np.eye(k)[gold] - forward_backward(emissions, offsets, model.transitions, model.initial, pairs)
             (b2, first), (b3, _), (affixes, _) = features(w)
             spread = np.repeat(error, np.diff(w.first), axis=0)
             gradient = np.zeros(model.weights.shape)
@@ -281,13 +283,12 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: i
             np.add.at(lexical, model.lexicon_rows(w), error)
             lexical[-1] = 0
             seen = np.zeros((k, k))
-            g = gold[keep]
-            follow = np.ones(len(g), bool)
-            follow[offsets[:-1][short > 0]] = False
+            heads = offsets[:-1][sizes > 0]
+            follow = np.ones(len(gold), bool)
+            follow[heads] = False
             at = np.flatnonzero(follow)
-            np.add.at(seen, (g[at - 1], g[at]), 1)
-            heads = offsets[:-1][short > 0]
-            opening = error[keep][heads].sum(axis=0)
+            np.add.at(seen, (gold[at - 1], gold[at]), 1)
+            opening = error[heads].sum(axis=0)
             for x, grad, sq in zip((model.weights, model.entries, model.transitions, model.initial), (gradient, lexical, seen - pairs, opening), squares, strict=True):
                 grad = grad / batch
                 sq += grad * grad
@@ -296,16 +297,34 @@ def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = 6, batch: i
 
 
 def labelled_sample(rows: DataFrame, label: str, text: str, key: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_PER_LANGUAGE`` rows of each label, those with the smallest key hashes.
+    """(label, whole text): of each label the rows with the smallest key hashes, at most
+    ``SAMPLE_PER_LANGUAGE`` and none after the one that reaches ``SAMPLE_CHARS`` characters.
 
-    Two levels of ``row_number`` limits, so that no task sorts all rows of a frequent label.
+    Rows with a null label, text or key are not taken; of rows with one label and key one is; an empty
+    table gives an empty sample; more than ``MOST_LANGUAGES`` labels are an error.  A share of each label's
+    hash range that holds about three times as many rows is looked at first, lengths before texts, so
+    neither a frequent label nor long texts meet in one task.
     """
-    h = F.xxhash64(F.col(key))
-    piece = F.substr(F.col(text), F.pmod(h, F.greatest(F.char_length(F.col(text)) - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    picked = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), piece.alias("text"), h.alias("h"), F.pmod(h, F.lit(64)).alias("part"))
-    for by in (["label", "part"], ["label"]):
-        picked = picked.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("h", "text"))).where(F.col("r") <= SAMPLE_PER_LANGUAGE).drop("r")
-    return [(r.label, r.text) for r in picked.orderBy("label", "h", "text").collect()]
+    spark = rows.sparkSession
+    known = rows.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
+    counts = known.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} labels in {label!r}")
+    if not counts:
+        return []
+    top = (1 << 53) - 1
+    limits = F.create_map(*[F.lit(x) for r in counts for x in (r.label, int(top * min(1.0, 3 * SAMPLE_PER_LANGUAGE / r.n)))])
+    picked = known.select(F.col(label).alias("label"), F.xxhash64(F.col(key)).bitwiseAND(top).alias("h"), F.col(text).alias("text"))
+    lengths = picked.where(F.col("h") <= limits[F.col("label")]).groupBy("label", "h").agg(F.max(F.char_length("text")).alias("chars"))
+    wanted, at = [], {}
+    for r in sorted(lengths.collect()):
+        n, chars = at.get(r.label, (0, 0))
+        if n < SAMPLE_PER_LANGUAGE and chars < SAMPLE_CHARS:
+            wanted.append((r.label, r.h))
+            at[r.label] = n + 1, chars + r.chars
+    few = spark.createDataFrame(wanted, "label string, h long")  # at most SAMPLE_PER_LANGUAGE * MOST_LANGUAGES rows
+    found = picked.join(F.broadcast(few), ["label", "h"]).groupBy("label", "h").agg(F.min("text").alias("text"))
+    return [(r.label, r.text) for r in sorted(found.collect())]
 
 
 def learned_rows(docs: DataFrame, key: str = "doc_id") -> tuple[Column, DataFrame]:
@@ -319,8 +338,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
 
     ``score`` is the mean marginal of the predicted language over the words, ``certainty`` the mean of
     each word's largest marginal: a text in several languages can have a small score and sure labels.
-    A null text and one without a letter get ``und`` and 0; where nothing could be learned every text does.  ``spans``
-    gives the labelled runs of words as (lang, start, end) in code points.
+    A null text and one without a letter get ``und`` and 0; where nothing could be learned every text does.
+    ``spans`` gives the labelled runs of words as (lang, start, end) in code points.  Every row stays as
+    it is, those with null keys and repeated ones too; an empty table stays empty.
     """
     names = ["row", "lang_pred", "score", "n_words", "certainty"] + ["spans"] * spans
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -329,7 +349,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
         for b in batches:
             texts = b.column(1).to_pylist()
             rows = b.column(0).cast(nullable(b.column(0).type))
-            for part in text_groups(texts, 1 << 20):
+            for part in text_groups(texts, (8 << 20) // max(8, len(model.languages))):  # a word takes room for each label
                 own = texts[part]
                 w = split(own)
                 n = np.diff(w.offsets)
@@ -353,7 +373,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     picked = docs.select(row.alias("row"), F.col(text).alias("text"))
     schema = f"row {picked.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_words long, certainty double" + ", spans array<struct<lang:string,start:long,end:long>>" * spans
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(lean(run, "language"), schema)
 
 
 def _runs(w: Words, texts: list[str | None], labels: np.ndarray | None, languages: list[str]) -> list[list[dict]]:
