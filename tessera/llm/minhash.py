@@ -119,7 +119,7 @@ def _profiles(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 sums = [(x[upto[1:]] - x[upto[:-1]]).view(np.int64) for x in (lo, hi)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(c, pa.int64()) for c in (counts, *sums, *hashes))], names=names)
 
-    return docs.mapInArrow(lean(run), ", ".join(f"{c} long" for c in names))
+    return docs.mapInArrow(lean(run, "near"), ", ".join(f"{c} long" for c in names))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:

@@ -141,7 +141,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, key: str = "doc_id", text:
         return pa.table({"row": left["row"].cast(arrays.nullable(left["row"].type)), "n_words": pa.array(np.diff(words), pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, span), "kept": pa.array(kept, pa.string())})
 
     groups = dealt.groupBy("chunk")
-    sent = groups.applyInArrow(lean_group(send), "`range` int, chunk int, hashes binary")
+    sent = groups.applyInArrow(lean_group(send, "substrings"), "`range` int, chunk int, hashes binary")
     flags = sent.groupBy("range").applyInArrow(lean_group(count), "chunk int, `range` int, flags binary")
     schema = _OUT.format(row=dealt.schema["row"].dataType.simpleString())
     return groups.cogroup(flags.groupBy("chunk")).applyInArrow(lean_cogroup(mark), schema)
