@@ -11,7 +11,8 @@ writer makes them safe against lost executors and they lie in any store Spark wr
                whose ids they are.  A block needs no other block.
 
 Building: one global count of ids (bounded by the vocabulary), package-merge on the driver,
-then one shuffle of the coded documents by key range.
+then one shuffle of the coded documents by key range.  Ranges follow from the number of ids, and
+their borders from a bounded sample of keys.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays
+from tessera.llm.ranges import borders
 from tessera.llm.workspace import Workspace, shuffle_width
+from tessera.workers import lean
 
 MARK = 512
 BLOCK_IDS = 1 << 17
-SHARD_IDS = 1 << 26
+SHARD_IDS = 1 << 22
 
 
 def limited_lengths(counts: np.ndarray, limit: int = 20) -> np.ndarray:
@@ -136,7 +139,7 @@ def token_counts(tokens: DataFrame) -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("ids").mapInArrow(lean(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _id_groups(column: pa.Array, limit: int = 1 << 22) -> Iterator[np.ndarray]:
@@ -157,13 +160,13 @@ def _coded(tokens: DataFrame, book: Codebook, bounds: np.ndarray) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(counts)])
                 key = keys.slice(at, to - at)
                 filled = key.fill_null(0).to_numpy(zero_copy_only=False)
-                shard = np.searchsorted(bounds, filled.astype(np.float64), "right")
+                shard = np.searchsorted(bounds, filled, "right")
                 shard[~key.is_valid().to_numpy(zero_copy_only=False)] = 0
                 bits = [payload[offsets[i] : offsets[i + 1]] for i in range(to - at)]
                 marks = [(places[first[i] : first[i + 1] : MARK] - 8 * offsets[i]).astype("<u8").tobytes() for i in range(to - at)]
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), key, pa.array(counts, pa.int64()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], names=["shard", "doc_id", "n", "bits", "marks"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "shard int, doc_id long, n long, bits binary, marks binary")
+    return tokens.select("doc_id", "ids").mapInArrow(lean(run), "shard int, doc_id long, n long, bits binary, marks binary")
 
 
 def _blocks(coded: DataFrame) -> DataFrame:
@@ -197,25 +200,23 @@ def _blocks(coded: DataFrame) -> DataFrame:
         if held:
             yield emit()
 
-    return coded.mapInArrow(run, "shard int, block int, first long, n_ids long, doc_ids array<long>, counts array<long>, marks binary, payload binary")
+    return coded.mapInArrow(lean(run), "shard int, block int, first long, n_ids long, doc_ids array<long>, counts array<long>, marks binary, payload binary")
 
 
 def write_tokens(tokens: DataFrame, space: Workspace, max_bits: int = 18) -> str:
     """Write (doc_id, n_tokens, ids) in ascending doc_id order; returns the folder.
 
-    Null keys come first; equal keys are ordered by their bits, so that the order is defined.
-    ``tokens`` is read three times (counts, key quantiles, codes): pass a written table.
+    Null keys come first; equal keys are ordered by their bits, so that the order is defined.  A null
+    ``ids`` is an empty document; an empty table gives empty files.
+    ``tokens`` is read four times (id counts, row count, key sample, codes): pass a written table.
     """
     spark = tokens.sparkSession
     rows = token_counts(tokens).collect()  # at most one row an id of the vocabulary
     ids, n = np.array([r.id for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
     book = Codebook(ids, limited_lengths(n, max_bits))
     space.save(spark.createDataFrame([(int(i), int(b)) for i, b in zip(book.ids, book.lengths, strict=True)], "id int, bits int"), "codebook")
-    shards = max(2 * shuffle_width(spark), -(-int(n.sum()) // SHARD_IDS))
-    cuts = [i / shards for i in range(1, shards)]
-    found = tokens.approxQuantile("doc_id", cuts, 0.1 / shards)
-    bounds = np.unique(np.array(found, np.float64))
-    ordered = _coded(tokens, book, bounds).repartition(shuffle_width(spark), "shard").sortWithinPartitions("shard", "doc_id", "n", "bits")
+    bounds = borders(tokens, "doc_id", max(shuffle_width(spark), -(-int(n.sum()) // SHARD_IDS)), tokens.count())
+    ordered = _coded(tokens, book, bounds).repartitionById(len(bounds) + 1, "shard").sortWithinPartitions("shard", "doc_id", "n", "bits")
     space.save(_blocks(ordered), "blocks", "lz4")
     return space.path
 
@@ -258,4 +259,4 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield decoded(held)
 
-    return blocks.select("shard", "first", "doc_ids", "counts", "marks", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.select("shard", "first", "doc_ids", "counts", "marks", "payload").mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import arrays
+from tessera.workers import kept, lean
 
 MEMO_SLOTS_LOG2 = 22
 MEMO_IDS = 12_000_000
 _letters = "A-Za-zÀ-ÖØ-öø-ɏ"
 _simple = re.compile(rf"[ !-&(-~{_letters}]+")
 _parts = re.compile(rf" ?[{_letters}]+| ?[0-9]+| ?[^ 0-9{_letters}]+")
-_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def default_tokenizer() -> str:
@@ -51,7 +51,7 @@ class Memo:
 
     def clear(self) -> None:
         n = 1 << MEMO_SLOTS_LOG2
-        self.keys, self.first, self.sizes, self.end = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.int32), 0
+        self.keys, self.first, self.sizes, self.end = np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros(n, np.uint16), 0
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, first, size): where in ``flat`` each key's ids are."""
@@ -67,8 +67,9 @@ class Memo:
         self.flat[self.end : self.end + len(new)] = new
         first = self.end + np.cumsum(sizes) - sizes
         self.end += len(new)
-        slot = (keys >> np.uint64(64 - MEMO_SLOTS_LOG2)).astype(np.int32)
-        self.keys[slot], self.first[slot], self.sizes[slot] = keys, first, sizes
+        fit = sizes < 1 << 16  # a word with more ids is not remembered
+        slot = (keys[fit] >> np.uint64(64 - MEMO_SLOTS_LOG2)).astype(np.int32)
+        self.keys[slot], self.first[slot], self.sizes[slot] = keys[fit], first[fit], sizes[fit]
         return first
 
 
@@ -117,9 +118,10 @@ class Encoder:
 
     @classmethod
     def of(cls, path: str, literal: bool = True) -> Encoder:
-        if (path, literal) not in _encoders:
-            _encoders[path, literal] = cls(path, literal)
-        return _encoders[path, literal]
+        own = kept("tokens")
+        if (path, literal) not in own:
+            own[path, literal] = cls(path, literal)
+        return own[path, literal]
 
     def _added(self) -> re.Pattern[bytes] | None:
         """What may become an added token in a text's bytes; any non-empty text if that cannot be told from its content."""
@@ -275,4 +277,4 @@ def tokenize(docs: DataFrame, path: str, end_id: int | None = None, key: str = "
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], schema=schema)
 
     picked = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return picked.mapInArrow(lean(run, "tokens"), "doc_id long, n_tokens long, ids binary")
