@@ -41,5 +41,5 @@ def static_benchmark(answers: DataFrame, index: DataFrame) -> tuple[DataFrame, D
     symbols = answers.select("id", F.explode("symbols_used").alias("name")).withColumn("symbol", F.lower("name"))
     rates = metrics.grounded_rate(symbols.join(known, "symbol", "left").select("id", F.coalesce("there", F.lit(False)).alias("present")))
     rows = answers.withColumn("checks", checks.run_checks("answer_md", "symbols_used")).join(rates, "id", "left")
-    rows = rows.select("id", "rate", F.size("citations").alias("n_citations"), "checks", checks.all_pass(F.col("checks")).alias("passed"))
+    rows = rows.select("id", "rate", F.when(F.col("citations").isNotNull(), F.size("citations")).alias("n_citations"), "checks", checks.all_pass(F.col("checks")).alias("passed"))
     return rows, metrics.static_summary(rows)
