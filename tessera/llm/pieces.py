@@ -29,11 +29,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrays import mix
 from tessera.llm.tokens import text_groups
+from tessera.workers import kept, lean
 
 MARK = "▁"
-MEMO_LIMIT = 450_000
-WIDE = 28  # longer words take the plain path
-_models: dict[str, PieceModel] = {}
+MEMO_LIMIT = 650_000
+WIDE = 28  # longer words take the plain path, one at a time
+LONG = 1000  # longer ones are not remembered
 
 
 def default_model() -> str:
@@ -61,8 +62,8 @@ class PieceModel:
             elif not (lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i)):
                 self.ids[piece], self.score[piece] = i, lib.get_score(i)
                 self.text_of[i] = piece.replace(MARK, " ").encode()
-        self.text_size = np.array([len(x) for x in self.text_of], np.int64)
-        self.text_first = np.cumsum(self.text_size) - self.text_size
+        self.text_size = np.array([len(x) for x in self.text_of], np.int32)
+        self.text_first = (np.cumsum(self.text_size) - self.text_size).astype(np.int32)
         self.text_flat = np.frombuffer(b"".join(self.text_of), np.uint8)
         self.unknown = min(self.score.values(), default=0.0) - 10
         self.longest = max(map(len, self.ids), default=1)
@@ -78,9 +79,10 @@ class PieceModel:
 
     @classmethod
     def of(cls, path: str) -> PieceModel:
-        if path not in _models:
-            _models[path] = cls(path)
-        return _models[path]
+        own = kept("pieces")
+        if path not in own:
+            own[path] = cls(path)
+        return own[path]
 
     def _tables(self) -> None:
         """Hashes of all prefixes of pieces, sorted, with the piece that each one is, or -1."""
@@ -123,24 +125,26 @@ class PieceModel:
 
     # one word, plainly
 
-    def arcs(self, word: str) -> list[list[tuple[int, float, list[int]]]]:
-        """For each end: (start, score, ids) of the pieces that end there."""
-        out: list[list[tuple[int, float, list[int]]]] = [[] for _ in range(len(word) + 1)]
-        for start in range(len(word)):
-            for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                piece = word[start:end]
-                if piece in self.ids:
-                    out[end].append((start, self.score[piece], [self.ids[piece]]))
-            if word[start] not in self.ids:
-                out[start + 1].append((start, self.unknown, self.spell(word[start])))
+    def arcs(self, word: str, end: int) -> list[tuple[int, float, list[int]]]:
+        """(start, score, ids) of the pieces that end at ``end``."""
+        out: list[tuple[int, float, list[int]]] = []
+        for start in range(max(0, end - self.longest), end):
+            piece = word[start:end]
+            if piece in self.ids:
+                out.append((start, self.score[piece], [self.ids[piece]]))
+        if word[end - 1] not in self.ids:
+            out.append((end - 1, self.unknown, self.spell(word[end - 1])))
         return out
 
     def nbest(self, word: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: forward Viterbi, then backward A*."""
-        arcs = self.arcs(word)
-        best = [0.0] + [-np.inf] * len(word)
+        """The n best segmentations: forward Viterbi, then backward A*.
+
+        An open path's heuristic is exact, so each one stands for a best completion of its own and only as
+        many of them as are still wanted need to stay open: memory is the word's length and n paths.
+        """
+        best = array("d", [0.0])
         for end in range(1, len(word) + 1):
-            best[end] = max((best[s] + w for s, w, _ in arcs[end]), default=-np.inf)
+            best.append(max(best[s] + w for s, w, _ in self.arcs(word, end)))
         heap, turn, out = [(-best[len(word)], 0, len(word), 0.0, None)], 1, []
         while heap and len(out) < n:
             _, _, at, done, path = heapq.heappop(heap)
@@ -151,20 +155,25 @@ class PieceModel:
                     path = path[1]
                 out.append((done, ids))
                 continue
-            for start, w, piece in arcs[at]:
+            for start, w, piece in self.arcs(word, at):
                 heapq.heappush(heap, (-(best[start] + w + done), turn, start, w + done, (piece, path)))
                 turn += 1
+            if len(heap) > 8 * n + 64:
+                heap = heapq.nsmallest(n - len(out), heap)
         return out
 
     def alternatives(self, word: str, n: int) -> list[tuple[float, bytes]]:
         """(loss to the best, ids) of the n best of a word."""
         key = (word, n)
-        if key not in self.lists:
+        if key in self.lists:
+            return self.lists[key]
+        found = self.nbest(word, n)
+        out = [(found[0][0] - s, array("I", ids).tobytes()) for s, ids in found]
+        if len(word) <= LONG:
             if len(self.lists) > MEMO_LIMIT // 4:
                 self.lists.clear()
-            found = self.nbest(word, n)
-            self.lists[key] = [(found[0][0] - s, array("I", ids).tobytes()) for s, ids in found]
-        return self.lists[key]
+            self.lists[key] = out
+        return out
 
     # many words at once
 
@@ -269,6 +278,9 @@ class PieceModel:
         self.learn(new.difference(known))
         for i in lacking:
             found[i] = list(map(self.memo.__getitem__, cut[i]))
+        for w in new:
+            if len(w) > LONG:
+                del self.memo[w]
         return [self._combined(words, rows, n) for words, rows in zip(cut, found, strict=True)]
 
     def _combined(self, words: list[str], rows: list[tuple[float, float, bytes]], n: int) -> list[tuple[float, bytes]]:
@@ -294,10 +306,14 @@ class PieceModel:
 
     def decode(self, found: list[bytes]) -> list[bytes]:
         """UTF-8 texts of lists of ids; the blank that normalization puts in front is taken off."""
-        ids = np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+        ids = np.frombuffer(b"".join(found), "<u4")
         size = self.text_size[ids]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        data = self.text_flat[np.repeat(self.text_first[ids] - upto[:-1], size) + np.arange(int(upto[-1]))].tobytes()
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(size, out=upto[1:])
+        short = np.int32 if upto[-1] < 1 << 31 else np.int64
+        place = np.repeat(self.text_first[ids].astype(short) - upto[:-1].astype(short), size)
+        place += np.arange(int(upto[-1]), dtype=short)
+        data = self.text_flat[place].tobytes()
         ends = upto[np.cumsum([len(x) // 4 for x in found])].tolist() if found else []
         out, at = [], 0
         for end in ends:
@@ -310,8 +326,10 @@ class PieceModel:
 def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc_id", text: str = "text", decode: bool = False) -> DataFrame:
     """(doc_id, rank, score, n_pieces, ids): up to n rows a document, best first, without a shuffle.
 
-    ``ids`` are little-endian unsigned 32-bit; with ``decode`` a column ``text`` has what they decode to.  A null or empty text has one segmentation, the empty
-    one; texts with fewer than n segmentations have fewer rows; equal scores keep a fixed order.
+    ``ids`` are little-endian unsigned 32-bit; with ``decode`` a column ``text`` has what they decode to.
+    A null or empty text has one segmentation, the empty one; texts with fewer than n segmentations have
+    fewer rows; equal scores keep a fixed order.  A null key stays null; repeated rows are documents of
+    their own; an empty table gives no rows.
     """
     names = ["doc_id", "rank", "score", "n_pieces", "ids"]
     types = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.binary()]
@@ -322,21 +340,29 @@ def nbest_segmentations(docs: DataFrame, model: str, n: int = 3, key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = PieceModel.of(model)
         gc.disable()  # no reference cycles arise here, and tracing the memo again and again takes a third of the time
-        for b in batches:
-            keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for part in text_groups(texts, 1 << 20):
-                rows = [(key, rank, score, len(ids) // 4, ids) for key, found in zip(keys[part], own.encode(texts[part], n), strict=True) for rank, (score, ids) in enumerate(found, 1)]
-                if decode:
-                    rows = [(*r, t) for r, t in zip(rows, own.decode([r[4] for r in rows]), strict=True)]
-                columns = [pa.array(c, pa.binary() if n == "text" else t) for c, n, t in zip(zip(*rows, strict=True), names, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
-        gc.enable()
+        try:
+            for b in batches:
+                keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for part in text_groups(texts, 1 << 20):
+                    yield segmented(own, keys[part], texts[part])
+        finally:
+            gc.enable()
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    def segmented(own: PieceModel, keys: list[int | None], texts: list[str | None]) -> pa.RecordBatch:
+        rows = [(key, rank, score, len(ids) // 4, ids) for key, found in zip(keys, own.encode(texts, n), strict=True) for rank, (score, ids) in enumerate(found, 1)]
+        if decode:
+            rows = [(*r, t) for r, t in zip(rows, own.decode([r[4] for r in rows]), strict=True)]
+        columns = [pa.array(c, pa.binary() if n == "text" else t) for c, n, t in zip(zip(*rows, strict=True), names, types, strict=True)]
+        return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run, "pieces"), schema)
 
 
 def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
-    """``rows`` of nbest_segmentations with a column ``text`` of the decoded ids (null ids: null)."""
+    """``rows`` of nbest_segmentations with a column ``text`` of the decoded ids (null ids: null).
+
+    Null keys and repeated rows stay; an empty table gives no rows.
+    """
     names = ["doc_id", "rank", "score", "n_pieces", "ids", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,4 +372,4 @@ def decode_pieces(rows: DataFrame, model: str) -> DataFrame:
             texts = [t.decode("utf-8", "replace") if x is not None else None for x, t in zip(ids, own.decode([x or b"" for x in ids]), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=names)
 
-    return rows.select(*names[:5]).mapInArrow(run, "doc_id long, rank int, score double, n_pieces long, ids binary, text string")
+    return rows.select(*names[:5]).mapInArrow(lean(run, "pieces"), "doc_id long, rank int, score double, n_pieces long, ids binary, text string")

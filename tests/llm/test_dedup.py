@@ -8,7 +8,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tessera.llm import lines, minhash
+from tessera.llm import lines, minhash, ranges, substrings
 from tessera.llm.components import connected
 from tessera.llm.substrings import remove_repeats
 from tessera.llm.workspace import Workspace
@@ -60,6 +60,30 @@ def test_substrings_edges(spark, width):
     assert found_substrings(spark, EDGES, width) == brute_substrings(EDGES, width)
 
 
+def test_substrings_in_many_chunks_and_ranges(spark, monkeypatch):
+    """Small chunks and ranges, so that windows meet over both; repeated rows and rows without a key in numbers."""
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 2000)
+    monkeypatch.setattr(substrings, "RANGE_WINDOWS", 64)
+    monkeypatch.setattr(substrings, "FILL", 0)
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 40, n))
+    shared = say(30)
+    rows = [(i, say(60) + (" " + shared if i % 7 == 0 else "")) for i in range(150)] + [(None, say(20))] * 40 + [(9, "one two three four five six")] * 40 + [(None, None)] * 20
+    got = remove_repeats(frame(spark, rows).repartition(6), 4).select("row.doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in got) == brute_substrings(rows, 4)
+
+
+def test_ranges_are_even_and_hold_whole_keys(spark, monkeypatch):
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) as k").union(spark.sql("select cast(null as long)"))
+    cuts = ranges.borders(df, "k", 40, 20_001)
+    assert len(cuts) <= 39 and (np.diff(cuts) > 0).all()
+    sizes = np.bincount(np.searchsorted(cuts, [r.k for r in df.where("k is not null").collect()], "right"))
+    assert np.sort(sizes)[-2] < 3 * 20_000 / 40
+    assert len(ranges.borders(df, "k", 1, 20_001)) == 0 and len(ranges.borders(df.limit(0), "k", 9, 0)) == 0
+    monkeypatch.setattr(ranges, "MOST_RANGES", 5)
+    assert len(ranges.borders(df, "k", 40, 20_001)) <= 4
+
+
 def test_substrings_empty(spark):
     assert found_substrings(spark, [], 35) == []
 
@@ -135,11 +159,51 @@ def test_near_chains_of_edits(spark):
 
 
 def test_near_with_small_blocks(spark, monkeypatch):
-    """The same families when blocks hold three members."""
+    """The same families when blocks hold three members or few elements, and a hub meets two members in a task."""
     monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "FAN", 2)
+    test_near_chains_of_edits(spark)
+    monkeypatch.setattr(minhash, "BLOCK", 512)
+    monkeypatch.setattr(minhash, "BLOCK_ITEMS", 400)
     test_near_chains_of_edits(spark)
 
 
+def test_near_long_texts_and_ids_with_several_texts(spark):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    long = say(60_000)
+    a, b = say(80), say(80)
+    rows = [(1, long), (2, long + " more words here"), (3, say(60_000)), (4, a), (5, b), (6, a), (6, b), (7, None), (7, a)]
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Workspace(spark, "t"), 3, 85).collect()}
+    assert got[(2, 60_001)] == 1 and got[(3, 59_998)] == 3
+    assert got[(4, 78)] == got[(5, 78)] == got[(6, 78)] == got[(7, 78)] == 4 and got[(7, 0)] == 7
+
+
+def test_tables_go_when_they_are_not_needed(spark, monkeypatch):
+    import os
+
+    from tessera.llm import workspace
+
+    there = lambda s: sorted(os.listdir(s.path.removeprefix("file://"))) if os.path.isdir(s.path.removeprefix("file://")) else []
+    df = spark.createDataFrame([(i, "a b c d e f " + "xy"[i % 2] * 3) for i in range(20)], "doc_id long, text string")
+    space = Workspace(spark, "t")
+    minhash.near_duplicates(df, space).collect()
+    assert not {"members", "stars", "sets", "links", "more"} & set(there(space)) and "profiles" in there(space)
+    with workspace.scratch():
+        inside = Workspace(spark, "t")
+        inside.save(df, "x")
+        assert there(inside) == ["x"]
+    assert there(inside) == []
+    kept = Workspace(spark, "t", space.path + "-own")
+    assert kept.path.endswith("-own")
+    monkeypatch.setattr(workspace, "on_one_machine", lambda s: False)
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *a: None)
+    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        with pytest.raises(ValueError):
+            workspace.checkpoint_root(spark)
+
+
 def test_sketch_matches_similarity():
     rng = np.random.default_rng(5)
     for shared, own in ((40, 10), (300, 60), (5, 1)):
@@ -208,6 +272,24 @@ def test_lines_edges(spark):
     assert lines.remove_boilerplate(df.limit(0), Workspace(spark, "t")).count() == 0
 
 
+def test_lines_without_ansi(spark, sf):
+    """Counts of documents without boilerplate are 0 whatever the session's dialect."""
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        test_lines_against_sql(spark, sf)
+        test_lines_edges(spark)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_lines_of_long_texts(spark):
+    body = "\n".join(f"line {i}" if i % 3 else "menu" for i in range(30_000))
+    rows = [(0, body, "s0"), (1, "x" * 2_000_000, "s1")] + [(i, "menu", f"s{i}") for i in range(2, 12)]
+    got = {r.doc_id: r for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), Workspace(spark, "t")).select("row.doc_id", "n_lines", "n_removed", "kept").collect()}
+    assert (got[0].n_lines, got[0].n_removed) == (30_000, 10_000) and got[0].kept == "\n".join(x for x in body.split("\n") if x != "menu")
+    assert got[1].n_removed == 0 and len(got[1].kept) == 2_000_000
+
+
 def test_lines_near_the_threshold_are_counted_exactly(spark):
     """Nine sites carry a line at many places, ten another one."""
     rows = [(i, "\n".join([f"own {i}"] * (i % 4) + ["nine"] * (i % 9 != 8 or i < 9)), f"site{i % 9}") for i in range(40)]

@@ -88,6 +88,30 @@ def test_held_out_accuracy(spark, sf):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in t or ""))
 
 
+def test_samples_are_whole_texts_of_few_rows(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "x" * (i % 50), "abc"[i % 3]) for i in range(3000)] + [(None, "no key", "a"), (1, None, "a"), (2, "no label", None)] + [(5, "text 5 again", "c")] * 2000
+    df = spark.createDataFrame(rows, "k long, t string, l string")
+    got = crf.labelled_sample(df, "l", "t", "k")
+    every = {(lang, t) for k, t, lang in rows if k is not None and t is not None and lang is not None}
+    assert set(got) <= every and [sum(x == y for x, _ in got) for y in "abc"] == [crf.SAMPLE_PER_LANGUAGE] * 3
+    assert got == crf.labelled_sample(df.repartition(5), "l", "t", "k") and len(set(got)) == len(got)
+    monkeypatch.setattr(crf, "SAMPLE_CHARS", 100)
+    few = crf.labelled_sample(df, "l", "t", "k")
+    assert all(100 <= sum(len(t) for x, t in few if x == y) < 100 + 70 for y in "abc") and set(few) <= set(got)
+    assert crf.labelled_sample(df.limit(0), "l", "t", "k") == []
+    monkeypatch.setattr(crf, "MOST_LANGUAGES", 2)
+    with pytest.raises(ValueError):
+        crf.labelled_sample(df, "l", "t", "k")
+
+
+def test_null_and_repeated_keys_are_labelled_by_their_texts(spark):
+    model = crf.fit([("en", "the cat and the dog with that"), ("fr", "le chat et le chien avec ce")] * 3)
+    rows = [(None, "the dog", "x"), (None, "le chien", "x"), (1, "the cat", "x"), (1, "the cat", "x"), (2, None, "x"), (3, "the cat " * 60_000, "x")]
+    got = crf.identify(spark.createDataFrame(rows, "doc_id long, text string, lang_pred string"), model).collect()
+    assert sorted((r.row.text or "")[:9] + r.lang_pred for r in got) == sorted(["the dogen", "le chienfr", "the caten", "the caten", "und", "the cat ten"])
+    assert next(r.n_words for r in got if r.row.doc_id == 3) == 120_000
+
+
 def test_nothing_learned(spark):
     model = crf.fit([])
     assert {r.lang_pred for r in crf.identify(frame(spark, TEXTS), model).collect()} == {"und"}
@@ -141,6 +165,28 @@ def test_vectors_match_plain_search(model, spark, sf):
         assert sum(model.score.get(model.library.id_to_piece(i), 0) for i in array("I", ids)) >= score or "\n" in w
 
 
+def test_long_words(model):
+    """Words beyond the vectorised width, one at a time: the same scores as vectors give, and bounded search."""
+    rng = np.random.default_rng(8)
+    for n in (29, 60, 400, 10_000):
+        word = model.library.normalize("".join(rng.choice(list("etaoinshrdlu"), n)))
+        found = model.nbest(word, 3)
+        model._viterbi([word])
+        score, loss, ids = model.memo.pop(word)
+        assert abs(score - found[0][0]) < 1e-6 and abs(loss - (found[0][0] - found[1][0])) < 1e-6
+        assert found[0][0] >= found[1][0] >= found[2][0] and len({tuple(i) for _, i in found}) == 3
+        assert model.encode([word.removeprefix(pieces.MARK)], 3)[0][0][0] == found[0][0]
+        assert len(word) <= pieces.LONG or word not in model.memo
+    text = "abc" * 70_000
+    assert model.decode([model.encode([text], 2)[0][1][1]])[0].decode() == text
+
+
+def test_pieces_of_null_and_repeated_keys(spark):
+    df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "a b"), (1, None)], "doc_id long, text string")
+    got = [(r.doc_id, r.rank, r.text) for r in pieces.nbest_segmentations(df, pieces.default_model(), n=1, decode=True).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 1, "a b"), (None, 1, "a b"), (1, 1, "a b"), (1, 1, "")], key=repr)
+
+
 def test_pieces_round_trip(spark, sf):
     texts = [*TEXTS, *(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect())]
     path = pieces.default_model()
@@ -216,13 +262,14 @@ def brute_fingerprints(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("which", ["edges", "one", "none", "documents"])
+@pytest.mark.parametrize("which", ["edges", "one", "none", "documents", "long"])
 def test_fingerprints(spark, sf, which):
     rows = {
         "edges": [(5 * i % 13, t) for i, t in enumerate(TEXTS)] + [(None, "n"), (99, "same"), (99, "same"), (None, None)],
         "one": [(7, "abcdefghi")],
         "none": [],
         "documents": [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()],
+        "long": [(1, "long word " * 40_000), (2, "x" * 300_000), (3, "short")],
     }[which]
     df = spark.createDataFrame([(i, t, 0, "x") for i, t in rows], "doc_id long, text string, shard long, ahead string")
     got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in fingerprints.fingerprints(df).collect())
@@ -252,6 +299,13 @@ def test_archives(spark, sf):
     assert warc.read_archives(warc.write_archives(df.limit(0), Workspace(spark, "t"))).count() == 0
 
 
+def test_archives_of_a_size(spark):
+    """A task that has more than one archive holds begins another one; all are read back."""
+    df = spark.createDataFrame([(i, "http://x", np.random.default_rng(i).bytes(1500).hex()) for i in range(200)], "page_id long, url string, html string").coalesce(2)
+    manifest = warc.write_archives(df, Workspace(spark, "t"), archive_bytes=40_000)
+    assert manifest.count() > 4 and {r.page_id for r in warc.read_archives(manifest).collect()} == set(range(200))
+
+
 def archive(records, checksum=True):
     d = warc.train([b"some sample of text %d" % i for i in range(9)])
     coder = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), write_checksum=checksum)
@@ -286,23 +340,63 @@ def test_top_k_against_sql(spark, sf):
     assert sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in got) == want
 
 
-@pytest.mark.parametrize("n,k,spread", [(1, 3, 64), (50, 10, 64), (3000, 10, 64), (3000, 5, 12), (400, 7, 0)])
-def test_segment_index_is_exact(n, k, spread):
+def brute_top_k(rows, asked, k):
+    """(query, rank, id, distance) over rows of (id, words)."""
+    out = []
+    ids, words = np.array([i for i, _ in rows]), np.array([w for _, w in rows], np.uint64).reshape(len(rows), -1)
+    for q, own in asked:
+        far = np.bitwise_count(words ^ np.array(own, np.uint64)).sum(axis=1)
+        best = np.lexsort((ids, far))[:k]
+        out += [(q, rank, int(ids[i]), int(far[i])) for rank, i in enumerate(best, 1)]
+    return sorted(out)
+
+
+def code_frame(spark, rows):
+    import pyarrow as pa
+
+    ids, codes = [i for i, _ in rows], [np.array(w, np.uint64).view(np.int64).tolist() for _, w in rows]
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(ids, pa.int64()), "code": pa.array(codes, pa.list_(pa.int64()))}))
+
+
+@pytest.mark.parametrize("n,words,spread,k", [(3000, 1, 64, 10), (3000, 1, 14, 5), (400, 1, 0, 7), (500, 3, 40, 4), (4, 2, 64, 9)])
+def test_top_k_is_exact(spark, n, words, spread, k):
+    """Random codes, codes that many rows share, codes of several words, fewer rows than k."""
     rng = np.random.default_rng(n + k)
-    codes = rng.integers(0, 2 ** min(spread, 62), n, endpoint=True).astype(np.uint64)
-    ids = rng.permutation(n).astype(np.int64)
-    asked = np.concatenate([codes[:5], rng.integers(0, 2**62, 5).astype(np.uint64)])
-    for q, (distance, rows) in zip(asked, hamming.SegmentIndex(codes, ids).search(asked, k)):
-        every = sorted((int(np.bitwise_count(c ^ q)), int(i)) for c, i in zip(codes, ids))[:k]
-        assert [(int(d), int(ids[r])) for d, r in zip(distance, rows)] == every
+    rows = list(zip(rng.permutation(n).tolist(), rng.integers(0, 2 ** min(spread, 62), (n, words), endpoint=True).astype(np.uint64).tolist(), strict=True))
+    asked = [*rows[:4], *((n + i, rng.integers(0, 2**63, words).astype(np.uint64).tolist()) for i in range(4))]
+    got = hamming.top_k(code_frame(spark, rows), code_frame(spark, asked), Workspace(spark, "t"), k).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in got) == brute_top_k(rows, asked, k)
+
+
+def test_top_k_probes_few_of_many_codes(spark, monkeypatch):
+    """A hundred thousand codes around centres, a third of them equal: exact, and few values are probed."""
+    rng = np.random.default_rng(11)
+    centres = rng.integers(0, 2**63, 2000).astype(np.uint64)
+    codes = centres[rng.integers(0, 2000, 100_000)]
+    for _ in range(3):
+        codes = codes ^ np.left_shift(np.uint64(1), rng.integers(0, 64, len(codes)).astype(np.uint64))
+    codes[::3] = codes[0]
+    rows = [(i, [c]) for i, c in enumerate(codes.tolist())]
+    asked = [rows[i] for i in range(1, 100_000, 2500)]
+    probed, plain = [], hamming._probes
+    monkeypatch.setattr(hamming, "_probes", lambda *a: probed.append(plain(*a)) or probed[-1].persist())
+    got = hamming.top_k(code_frame(spark, rows), code_frame(spark, asked), Workspace(spark, "t"), 10).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.distance) for r in got) == brute_top_k(rows, asked, 10)
+    n = sum(p.count() for p in probed)
+    assert 0 < n < len(asked) * len(rows) / 100
+    for p in probed:
+        p.unpersist()
 
 
 def test_top_k_edges(spark):
-    rows = [(1, [0.5, None, float("nan"), -1.0], "x"), (2, None, "x"), (3, [], "x"), (3, [], "x"), (50, [1.0] * 70, "x")]
+    rows = [(1, [0.5, None, float("nan"), -1.0], "x"), (2, None, "x"), (3, [], "x"), (3, [], "x"), (50, [1.0] * 70, "x"), (None, [1.0] * 69, "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, code string")
-    codes = {(r.vec_id, r.code) for r in hamming.sign_codes(df).collect()}
-    assert codes == {(1, 1), (3, 0), (50, -1)}
     index = hamming.sign_codes(df)
-    got = [(r.rank, r.vec_id, r.distance) for r in hamming.top_k(index, index.where("vec_id = 50"), Workspace(spark, "t"), 3).orderBy("rank").collect()]
-    assert got == [(1, 50, 0), (2, 1, 63), (3, 3, 64)]
+    assert {(r.vec_id, *r.code) for r in index.collect()} == {(1, 1, 0), (3, 0, 0), (50, -1, 63), (None, -1, 31)}
+    assert {(r.vec_id, *r.code) for r in hamming.sign_codes(df, bits=3).collect()} == {(1, 1), (3, 0), (50, -1), (None, -1)}
+    twice = index.where("vec_id = 50").union(index.where("vec_id = 50"))
+    got = [(r.rank, r.vec_id, r.distance) for r in hamming.top_k(index, twice, Workspace(spark, "t"), 5).orderBy("rank").collect()]
+    assert got == [(1, 50, 0), (2, None, 1), (3, 1, 69), (4, 3, 70), (5, 3, 70)]
+    assert [r.vec_id for r in hamming.top_k(index, index.where("vec_id is null"), Workspace(spark, "t"), 2).orderBy("rank").collect()] == [None, 50]
     assert hamming.top_k(index.limit(0), index.limit(0), Workspace(spark, "t")).count() == 0
+    assert hamming.top_k(index.limit(0), index, Workspace(spark, "t")).count() == 0

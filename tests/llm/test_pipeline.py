@@ -90,6 +90,18 @@ def test_run_equals_stages(spark, corpus):
     assert corpus_pipeline.ORACLE_SQL is None
 
 
+def test_very_long_texts(spark, corpus, tmp_path):
+    """A text of a million characters goes through all stages whole; nothing but the result is left."""
+    folder, _ = corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rng = np.random.default_rng(10)
+    text = " ".join(rng.permutation(np.array([f"thing{a}and{b}ing" for a in "bcdfghjklmnp" for b in range(4000)])))
+    more = spark.createDataFrame([(500, text, "en", "src1", len(text), "extra")], docs.schema)
+    docs.unionByName(more).write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = [r for r in corpus_pipeline.run(spark, f"file://{tmp_path}").collect() if r.doc_id == 500]
+    assert sum(r.length for r in got) == got[0].doc_tokens > len(text) / 10
+
+
 def test_empty_table(spark, corpus, tmp_path):
     folder, _ = corpus
     spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")

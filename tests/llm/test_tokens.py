@@ -8,6 +8,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tessera.llm import huffman, packing, tokens
 from tessera.llm.huffman import Codebook, limited_lengths, read_tokens, write_tokens
 from tessera.llm.packing import combinations, nnls, pack, plan
 from tessera.llm.queries import QUERIES
@@ -107,6 +108,20 @@ def test_files_round_trip(spark, plain):
     check_files(spark, rows, plain)
 
 
+def test_files_of_documents_beyond_a_block_and_a_shard(spark, plain, monkeypatch):
+    monkeypatch.setattr(huffman, "SHARD_IDS", 1 << 16)
+    rows = [(i, f"word{i % 9} " * (150_000 if i == 11 else 300 * i)) for i in range(40)]
+    check_files(spark, rows, plain)
+
+
+def test_memo_forgets_and_long_words_stay_right(plain, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_IDS", 2000)
+    encoder = Encoder(default_tokenizer())
+    texts = [" ".join(f"w{i * j % 997}x" for j in range(200)) for i in range(1, 30)] + ["q" * 200_000, "z1" * 90_000 + " " + "z1" * 90_000]
+    for _ in range(2):
+        assert [list(np.frombuffer(x, "<u4")) for x in encoder.encode(texts)] == [plain(t) for t in texts]
+
+
 def test_files_of_empty_table(spark, plain):
     check_files(spark, [], plain)
 
@@ -172,6 +187,13 @@ def test_packing_edges(spark, plain):
     check_packing(spark, [], plain, 2048)
 
 
+def test_packing_places_in_levels(spark, plain, monkeypatch):
+    """Running sums over groups of three pieces and steps of two partitions."""
+    monkeypatch.setattr(packing, "GROUP", 3)
+    monkeypatch.setattr(packing, "STEP", 2)
+    check_packing(spark, [(i, "a b c " * (i * 37 % 90)) for i in range(300)], plain, 256)
+
+
 def test_packing_documents(spark, sf, plain):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert check_packing(spark, rows, plain, 2048) < 0.01
