@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10: each applies its operator to its whole table."""
+"""The registered queries op1 to op13: each applies its operator to its whole table."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import hamming, lines, minhash, substrings, warc
+from tessera.llm import hamming, importance, lines, minhash, phrases, substrings, variants, warc
 from tessera.llm.workspace import Workspace
 
 
@@ -97,6 +97,23 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("text")
+    found = importance.resample(docs, target, Workspace(spark, "op11"))
+    return found.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = phrases.contamination(docs, items, Workspace(spark, "op12"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants.spelling_variants(variants.word_counts(docs, every=variants.EVERY), Workspace(spark, "op13"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_nbest_pieces": op2_nbest_pieces,
@@ -108,6 +125,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hamming_top_k": op8_hamming_top_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_token_files": op10_token_files,
+    "op11_importance": op11_importance,
+    "op12_decontamination": op12_decontamination,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -116,4 +136,7 @@ ORACLE_SQL: dict[str, str] = {
     "op7_near_dedup": minhash.ORACLE,
     "op8_hamming_top_k": hamming.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_decontamination": phrases.ORACLE,
+    "op13_spelling_variants": variants.ORACLE,
 }
