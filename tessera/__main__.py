@@ -40,9 +40,8 @@ def tools(spark: SparkSession, chunks: DataFrame, k: int = 8) -> answering.Tools
         return [r.asDict() for r in retrieval.search(chunks, asked(spark, question, library, kind), k).orderBy("rank").collect()]
 
     def read(url: str) -> dict | None:
-        rows = chunks.where(F.col("url") == url).orderBy("chunk_key").limit(200).collect()
-        text = "\n\n".join(r.content for r in rows)
-        return {"url": url, "anchor": "", "heading_path": rows[0].page_title, "content": text} if rows else None
+        row = retrieval.stored_pages(chunks.where(F.col("url") == url)).first()
+        return {"url": url, "anchor": "", "heading_path": row.page_title, "content": row.text} if row else None
 
     return answering.Tools(search, read)
 

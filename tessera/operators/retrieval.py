@@ -315,6 +315,18 @@ def whole_page(pages: DataFrame, units: DataFrame, limit: int = Config.page_char
     return pages.join(outline, "url", "left").select("url", F.when(F.char_length("body") > limit, F.coalesce("outline", F.lit(""))).otherwise(F.col("body")).alias("text"))
 
 
+def stored_pages(chunks: DataFrame, limit: int = Config.page_chars) -> DataFrame:
+    """(url, page_title, text) of every stored page: its chunks in the order of the document, or the outline of
+    its headings where that is longer than ``limit``.
+
+    Order is by ordinal and part, ties by key; empty contents leave no gap, a page without content is empty.
+    """
+    parts = chunks.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("ordinal", "part", "chunk_key", "page_title", "heading_path", "content"))).alias("c"))
+    body = F.array_join(F.filter(F.transform("c", lambda x: x["content"]), lambda t: t != ""), "\n\n")
+    outline = F.array_join(F.array_distinct(F.filter(F.transform("c", lambda x: x["heading_path"]), lambda h: h != "")), "\n")
+    return parts.select("url", F.get("c", 0)["page_title"].alias("page_title"), F.when(F.char_length(body) > limit, outline).otherwise(body).alias("text"))
+
+
 def context_blocks(sections: DataFrame, limit: int = Config.section_chars) -> DataFrame:
     """(query_id, context): numbered sections in rank order, each cut at ``limit`` with a marker."""
     from tessera.functions.text import context_body

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,21 @@ from tessera.operators.store import IndexStore
 Embed = Callable[[DataFrame], DataFrame]
 
 
+class Scratch:
+    """Tables of one build below the store's folder, deleted at its end."""
+
+    def __init__(self, store: IndexStore):
+        self.store, self.name = store, f"_work-{uuid.uuid4().hex}"
+
+    def save(self, rows: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        where, schema = f"{self.store.path}/{self.name}/{name}", rows.schema
+        (rows.write.partitionBy(by) if by else rows.write).parquet(where)
+        return rows.sparkSession.read.schema(schema).parquet(where)
+
+    def drop(self) -> None:
+        self.store._drop(self.name)
+
+
 def recipe(shape: str, model: str, glosses: str, questions: str) -> str:
     """Stamp of how rows were made; another one makes all rows anew."""
     return f"{shape}-{model.rsplit('/', 1)[-1]}-g{glosses}-q{questions}"
@@ -51,42 +67,76 @@ def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Call
     """Embed what is new or changed, fill empty contents, purge what is gone; the stamp is written last.
 
     An empty snapshot is refused.  Of units with equal keys the later one counts, but both are counted
-    as read.  With another stamp every row is made anew; purging compares with what was stored.  Work is
-    done in batches of about ``batch_rows`` units; each one's rows are kept when it is done, and a build
-    that was cut off goes on behind them.
+    as read.  With another stamp every row is made anew; purging compares with what was stored.  Keys and
+    hashes tell what is to do: the keys of it are written once, and texts are read for them only.  Work is
+    done in batches of about ``batch_rows`` units, each of which reads its own part and whose rows are kept
+    when it is done, so that a build that was cut off goes on behind them.  The table is changed where
+    keys change: buckets without one keep their files, and without any nothing is written.
     """
-    if not units.limit(1).count():
-        raise ValueError("the snapshot has no chunks; the index stays as it is")
-    keyed = units_with_text(units, glosses, questions)
-    live = ops.last_wins(keyed.withColumn("_at", F.struct("url", "ordinal")), "chunk_key", "_at").drop("_at")
+    space = Scratch(store)
+    try:
+        return _build(store, space, units, embed, lexemes, version, stamp, glosses, questions, batch_rows)
+    finally:
+        space.drop()
+
+
+def _build(store: IndexStore, space: Scratch, units: DataFrame, embed: Embed, lexemes: Callable, version: str, stamp: str, glosses: DataFrame | None, questions: DataFrame | None, batch_rows: int) -> dict[str, int]:
+    key = chunk_key(F.col("url"), F.col("anchor"), F.col("heading_path"), F.col("part"))
+    at = F.struct("url", "ordinal")
     stored = store.chunks()
-    known = stored.select("chunk_key", "content_hash")
-    same = store.get_meta("recipe") == stamp
-    work = ops.todo(live, known) if same else live
+    stamps = {r.key: r.value for r in store.meta().collect()}
+    again = stamps.get("recipe") != stamp
     recipe = f"{version} {stamp}"
-    rest = ops.todo(work, store.staged(recipe).select("chunk_key", "content_hash"))
-    todo = rest.count()
-    stats = {"snapshot_chunks": units.count(), "embedded": todo, "purged": known.join(live, "chunk_key", "left_anti").count()}
-    batches = max(1, -(-todo // batch_rows))
-    for i in range(batches if todo else 0):
-        store.stage(recipe, index_rows(rest.where(F.pmod(F.xxhash64("chunk_key", F.lit(1)), F.lit(batches)) == i), embed, lexemes, version))
-    done = store.staged(recipe).join(work.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_semi").select(*ops.COLUMNS)
-    store.replace(ops.purged(ops.backfilled(ops.merged(stored, done), live), live))
-    store.unstage()
-    store.set_meta("recipe", stamp)
-    store.set_meta("index_version", version)
-    return stats | {"total": store.chunks().count()}
-
-
-def refresh(store: IndexStore, live_units: DataFrame, embed: Embed, lexemes: Callable, version: str) -> int:
+    # one row a key of either side: what is live, what is stored, and what differs
+    live = units.select(key.alias("chunk_key"), at.alias("at"), "content_hash", (F.col("content") != "").alias("full")).groupBy("chunk_key")
+    live = live.agg(F.count("*").alias("n"), F.max_by(F.struct("at", "content_hash", "full"), "at").alias("u"))
+    known = stored.select("chunk_key", F.col("content_hash").alias("_old"), (F.col("content") == "").alias("_empty"), F.lit(True).alias("_there"))
+    both = live.join(known, "chunk_key", "full_outer").select("chunk_key", F.coalesce("n", F.lit(0)).alias("n"), "u.at", "u.content_hash", F.coalesce("_there", F.lit(False)).alias("there"), F.coalesce(F.col("u.full") & F.col("_empty"), F.lit(False)).alias("fill"), (~F.col("_old").eqNullSafe(F.col("u.content_hash")) | F.lit(again)).alias("new"))
+    is_live, new = F.col("n") > 0, (F.col("n") > 0) & F.col("new")
+    marks = space.save(both.withColumns({"gone": ~is_live, "new": new}), "marks")
+    counts = marks.agg(F.sum("n").alias("units"), F.count_if(F.col("n") > 0).alias("live"), F.count_if("new").alias("new"), F.count_if("gone").alias("gone"), F.count_if(F.col("fill") & ~F.col("new")).alias("fill")).first()
+    if not counts.units:
+        raise ValueError("the snapshot has no chunks; the index stays as it is")
+    stats = {"snapshot_chunks": counts.units, "embedded": 0, "purged": counts.gone, "total": counts.live, "buckets": 0}
+    if counts.new or counts.gone or counts.fill:
+        wanted = marks.where("new").select("chunk_key", "at", "content_hash")
+        staged = store.staged(recipe)
+        rest = wanted.join(staged.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_anti")
+        keyed = units_with_text(units, glosses, questions).withColumn("at", at)
+        work = last_units(keyed.join(rest.select("chunk_key", "at"), ["chunk_key", "at"], "left_semi"))
+        parts = max(1, -(-counts.new // batch_rows))
+        work = space.save(work.withColumn("batch", F.pmod(F.xxhash64("chunk_key", F.lit(1)), F.lit(parts)).cast("int")), "work", "batch") if counts.new else work.limit(0)
+        stats["embedded"] = work.count()
+        for i in range(parts if stats["embedded"] else 0):
+            store.stage(recipe, index_rows(work.where(F.col("batch") == i).drop("batch"), embed, lexemes, version))
+        done = store.staged(recipe).join(wanted.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_semi").select(*ops.COLUMNS)
+        kept = marks.where("new or fill").select("chunk_key")
+        # contents of units whose stored one is empty
+        full = last_units(keyed.join(marks.where("fill and not new").select("chunk_key", "at"), ["chunk_key", "at"], "left_semi")) if counts.fill else None
+        fill = (lambda rows: ops.backfilled(rows, full)) if counts.fill else (lambda rows: rows)
+        stats["buckets"] = store.change(marks.where("new or gone or fill"), lambda old: ops.purged(fill(ops.merged(old, done)), kept))
+        store.unstage(recipe)
+    for name, value in (("recipe", stamp), ("index_version", version)):
+        if stamps.get(name) != value:
+            store.set_meta(name, value)
+    return stats
+
+
+def last_units(keyed: DataFrame) -> DataFrame:
+    """One unit a key: the last by url and ordinal."""
+    return ops.last_wins(keyed.withColumn("at", F.struct("url", "ordinal")), "chunk_key", "at").drop("at")
+
+
+def refresh(store: IndexStore, live_units: DataFrame, embed: Embed, lexemes: Callable, version: str, batch: tuple[str, int] | None = None) -> int:
     """Heal stored chunks whose live content differs; sections on one side only are left alone.
 
-    Returns how many were healed.  Use it in ``foreachBatch`` behind ``streaming.state.due``.
+    Returns how many were healed.  Use it in ``foreachBatch`` behind ``streaming.state.due``, with the stream's
+    name and the batch's number as ``batch``: what is played again after a failure then heals once.
     """
     keyed = units_with_text(live_units, None, None)
     stored = store.chunks()
-    changed = ops.drifted(ops.last_wins(keyed.withColumn("_at", F.struct("url", "ordinal")), "chunk_key", "_at").drop("_at"), stored)
+    changed = ops.drifted(last_units(keyed), stored)
     n = changed.count()
     if n:
-        store.heal(index_rows(changed, embed, lexemes, version))
+        store.heal(index_rows(changed, embed, lexemes, version), batch)
     return n

@@ -15,7 +15,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
 from tessera.functions.lexemes import plain_tokens
-from tessera.operators import chunking, html, manifest, store
+from tessera.functions.text import chunk_key
+from tessera.operators import chunking, html, manifest, retrieval, store
 from tessera.plans import build
 from tessera.plans.registry import folder, query, table
 from tessera.sources import discovery, snapshot
@@ -378,7 +379,7 @@ def p24_batch_prompts(spark: SparkSession, sf: str) -> DataFrame:
 def _chunks(spark: SparkSession, sf: str, content) -> DataFrame:
     """Rows of the chunk table, one a document."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source", "lang")
-    own = {"chunk_key": _text("=k", "doc_id"), "url": _text("=u", F.col("doc_id") % 97), "content": content, "content_hash": F.sha2(content, 256), "part": F.lit(0), "embedding": F.array(F.char_length("text").cast("float"), F.lit(1.0).cast("float")), "lexemes": F.array("lang"), "library": F.col("source")}
+    own = {"chunk_key": _text("=k", "doc_id"), "url": _text("=u", F.col("doc_id") % 97), "content": content, "content_hash": F.sha2(content, 256), "part": F.lit(0), "embedding": F.array(F.char_length("text").cast("float"), F.lit(1.0).cast("float")), "lexemes": F.array("lang"), "ordinal": F.lit(0), "library": F.col("source")}
     return docs.select("doc_id", *[own.get(c, F.lit("")).alias(c) for c in store.COLUMNS])
 
 
@@ -493,6 +494,44 @@ def r4_build_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, *(r[n] for n in names)) for i, r in enumerate(found, 1)], "build int, " + ", ".join(f"{n} long" for n in names))
 
 
+@query(
+    """WITH d AS (SELECT doc_id % 101 = 0 AS changed FROM documents), n AS (SELECT count(*) AS all_rows, count(*) FILTER (WHERE changed) AS few FROM d)
+SELECT 1 AS build, all_rows AS embedded, 0 AS purged, true AS touched, false AS beyond, all_rows AS total FROM n
+UNION ALL SELECT 2, 0, 0, false, false, all_rows FROM n
+UNION ALL SELECT 3, few, 0, few > 0, false, all_rows FROM n
+UNION ALL SELECT 4, 0, few, few > 0, false, all_rows - few FROM n"""
+)
+def r4_rewritten_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    """Four builds: of everything, of nothing new, of one page in a hundred changed, of those gone.
+
+    ``touched`` tells whether any bucket got a layer, ``beyond`` whether one did without a changed key in it
+    or a bucket's other files were replaced.
+    """
+    at = store.IndexStore(spark, folder(spark, "layers"), width=2, buckets=64)
+    few, out, before = F.col("doc_id") % 101 == 0, [], {}
+    hit = {r[0] for r in _units(spark, sf).where(few).select(F.pmod(F.xxhash64(chunk_key(F.col("url"), F.col("anchor"), F.col("heading_path"), F.col("part"))), F.lit(64)).cast("int")).distinct().collect()}
+    for i, units in enumerate((_units(spark, sf), _units(spark, sf), _units(spark, sf, few), _units(spark, sf, few).where(~few)), 1):
+        did = build.build_index(at, units, _embed, lambda c: plain_tokens(c), "v1", "r")
+        now = at._current("chunks").layers
+        changed = {b for b in now.keys() | before.keys() if now.get(b) != before.get(b)}
+        beyond = i > 1 and not changed <= hit or len(changed) != did["buckets"]
+        out.append((i, did["embedded"], did["purged"], bool(changed), beyond, at.chunks().count()))
+        before = now
+    return spark.createDataFrame(out, "build int, embedded long, purged long, touched boolean, beyond boolean, total long")
+
+
+@query(
+    """SELECT 'conv/' || conv_id AS url, CASE WHEN length(string_agg(text, chr(10) || chr(10) ORDER BY turn)) > 1500 THEN string_agg('turn ' || turn || ' ' || role, chr(10) ORDER BY turn) ELSE coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (WHERE text <> ''), '') END AS text FROM conversations GROUP BY conv_id"""
+)
+def p23_stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as pages of a chunk a turn, stored and read back in order; long ones as the outline of their headings."""
+    rows = table(spark, sf, "conversations")
+    own = {"chunk_key": F.sha2(F.concat_ws("#", "conv_id", "turn"), 256), "url": F.concat(F.lit("conv/"), "conv_id"), "heading_path": F.concat_ws(" ", F.lit("turn"), "turn", "role"), "content": F.coalesce("text", F.lit("")), "ordinal": F.col("turn"), "part": F.lit(0), "embedding": F.array(F.lit(1.0).cast("float")), "lexemes": F.array().cast("array<string>")}
+    at = store.IndexStore(spark, folder(spark, "pages"), buckets=4)
+    at.replace(rows.select(*[own.get(c, F.lit("")).alias(c) for c in store.COLUMNS]))
+    return retrieval.stored_pages(at.chunks(), 1500).select("url", "text")
+
+
 @query(
     """SELECT sha256('https://x.org/docs/' || source || '.html#a' || doc_id || '#' || lang || ' > h' || doc_id) AS chunk_key, sha256(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 THEN '!' ELSE '' END) AS content_sha256, 'v1' AS index_version FROM documents WHERE doc_id % 11 <> 0"""
 )
@@ -524,7 +563,7 @@ def t4_stale_pages(spark: SparkSession, sf: str) -> DataFrame:
     def heal(batch: DataFrame, number: int) -> None:
         drifted = store.drifted(live.join(batch.select(F.col("key").alias("url")).distinct(), "url", "left_semi"), at.chunks())
         if drifted.head(1):
-            at.heal(drifted)
+            at.heal(drifted, ("visits", number))
 
     run = due.writeStream.foreachBatch(heal).option("checkpointLocation", folder(spark, "stale-log")).trigger(availableNow=True).start()
     run.awaitTermination()

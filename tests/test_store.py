@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import cells, retrieval, store
 from tessera.plans import build
 
-ROW = {"embedding": "array(1.0f, 0.0f)", "lexemes": "array('x')", "part": "0"}
+ROW = {"embedding": "array(1.0f, 0.0f)", "lexemes": "array('x')", "part": "0", "ordinal": "0"}
 
 
 def rows(spark, keys, content="c"):
@@ -55,8 +55,8 @@ def test_a_crash_leaves_the_old_state(spark, tmp_path, monkeypatch, step):
     assert contents(again) == before | dict.fromkeys("abz", "new")
 
 
-def test_a_second_writer_fails(spark, tmp_path):
-    first, second = (store.IndexStore(spark, f"file://{tmp_path}/i", buckets=4) for _ in range(2))
+def test_a_second_writer_of_a_bucket_fails(spark, tmp_path):
+    first, second = (store.IndexStore(spark, f"file://{tmp_path}/i", buckets=1) for _ in range(2))
     first.replace(rows(spark, "ab"))
 
     def meanwhile(old):
@@ -126,3 +126,111 @@ def test_cells_recall_and_widening(spark, tmp_path):
     assert len(some & exact) / len(exact) >= 0.9 and len(some) == len(exact)  # pools that filters leave short are filled by widening
     assert pairs(retrieval.dense_hits(chunks.limit(0), queries, 10)) == set()
     assert cells.CellIndex.build(chunks.limit(0), f"file://{tmp_path}/none").hits(None, queries, 10).count() == 0
+
+
+def keys_by_bucket(at, n=40):
+    """Keys of each bucket."""
+    out = {}
+    for r in at.spark.createDataFrame([(f"k{i}",) for i in range(n)], "chunk_key string").withColumn("b", at._bucket()).collect():
+        out.setdefault(r.b, []).append(r.chunk_key)
+    return out
+
+
+def test_layers_say_what_a_rewrite_would(spark, tmp_path, monkeypatch):
+    """Random changes against a dictionary, with bases left alone, then compacted."""
+    at, want, rng = store.IndexStore(spark, f"file://{tmp_path}/i", buckets=2), {}, np.random.default_rng(1)
+    monkeypatch.setattr(store, "LAYER_SHARE", 1e9)
+    at.replace(rows(spark, [f"k{i}" for i in range(20)]))
+    base = {b: fs[0] for b, fs in at._current("chunks").layers.items()}
+    want = {f"k{i}": "c" for i in range(20)}
+    for step in range(4):
+        some = [f"k{i}" for i in rng.integers(0, 30, 5)]
+        if step % 2:
+            at.delete(rows(spark, some))
+            want = {k: v for k, v in want.items() if k not in some}
+        else:
+            at.upsert(rows(spark, sorted(set(some)), f"v{step}"))
+            want |= dict.fromkeys(some, f"v{step}")
+        assert contents(at) == want
+    assert {b: fs[0] for b, fs in at._current("chunks").layers.items()} == base
+    assert at.compact() == 2 and contents(at) == want and at.compact() == 0
+    assert all(len(fs) == 1 for fs in at._current("chunks").layers.values())
+    monkeypatch.setattr(store, "MOST_LAYERS", 1)
+    at.upsert(rows(spark, ["k1"], "last"))
+    assert all(len(fs) == 1 for fs in at._current("chunks").layers.values()) and contents(at) == want | {"k1": "last"}
+
+
+def test_writers_of_different_buckets_both_commit(spark, tmp_path):
+    first, second = (store.IndexStore(spark, f"file://{tmp_path}/i", buckets=4) for _ in range(2))
+    a, b = [ks[0] for ks in list(keys_by_bucket(first).values())[:2]]
+    first.replace(rows(spark, [a, b]))
+
+    def meanwhile(old):
+        second.upsert(rows(spark, [b], "second"))
+        return store.merged(old, rows(spark, [a], "first"))
+
+    assert first.change(rows(spark, [a]), meanwhile) == 1
+    assert contents(first) == contents(second) == {a: "first", b: "second"}
+
+
+def test_a_sweep_leaves_writers_at_work_alone(spark, tmp_path, monkeypatch):
+    first, second = (store.IndexStore(spark, f"file://{tmp_path}/i", buckets=4) for _ in range(2))
+    a, b = [ks[0] for ks in list(keys_by_bucket(first).values())[:2]]
+    first.replace(rows(spark, [a, b]))
+    plain = store.IndexStore._rebase
+
+    def swept(self, *args):
+        monkeypatch.setattr(store.IndexStore, "_rebase", plain)
+        for k in range(3):  # the folder of the first writer is written and not yet named
+            second.upsert(rows(spark, [b], f"v{k}"))
+        plain(self, *args)
+
+    monkeypatch.setattr(store.IndexStore, "_rebase", swept)
+    first.upsert(rows(spark, [a], "first"))
+    assert contents(first) == {a: "first", b: "v2"}
+    (tmp_path / "i" / "chunks-dead").mkdir()
+    monkeypatch.setattr(store, "LEASE_SECONDS", -1.0)
+    first.upsert(rows(spark, [a], "again"))
+    assert "chunks-dead" not in first._names("chunks-") and contents(second) == {a: "again", b: "v2"}
+
+
+def test_a_batch_that_is_played_again_changes_nothing(spark, tmp_path, monkeypatch):
+    at = store.IndexStore(spark, f"file://{tmp_path}/i", buckets=4)
+    at.replace(rows(spark, "ab"))
+    assert at.heal(rows(spark, "a", "healed"), ("pages seen", 3)) == 1
+    number = at._current("chunks").number
+    assert at.heal(rows(spark, "a", "late"), ("pages seen", 3)) == 0 == at.heal(rows(spark, "a", "older"), ("pages seen", 2))
+    assert at._current("chunks").number == number and contents(at)["a"] == "healed"
+
+    def crash(*a, **k):
+        raise Crash
+
+    monkeypatch.setattr(store.IndexStore, "_commit", crash)
+    with pytest.raises(Crash):  # between the write and the pointer
+        at.heal(rows(spark, "b", "healed"), ("pages seen", 4))
+    monkeypatch.undo()
+    assert contents(at)["b"] == "c"
+    assert at.heal(rows(spark, "b", "healed"), ("pages seen", 4)) == 1 and at.heal(rows(spark, "b", "x"), ("other", 0)) == 1
+    assert contents(at) == {"a": "healed", "b": "x"} and at._current("chunks").batches == {"pages seen": 4, "other": 0}
+
+
+def test_an_unchanged_build_writes_no_bucket(spark, tmp_path):
+    at = store.IndexStore(spark, f"file://{tmp_path}/i", width=2, buckets=4)
+    embed = lambda df: df.select("chunk_key", F.array(F.lit(1.0).cast("float"), F.lit(0.0).cast("float")).alias("embedding"))
+    run = lambda u: build.build_index(at, u, embed, lambda c: F.split(c, " "), "v1", "r")
+    assert run(units(spark, 30))["buckets"] == 4
+    before = at._current("chunks")
+    assert run(units(spark, 30)) == {"snapshot_chunks": 30, "embedded": 0, "purged": 0, "total": 30, "buckets": 0}
+    assert at._current("chunks") == before and at._names("_work-") == []
+    assert run(units(spark, 29)) == {"snapshot_chunks": 29, "embedded": 0, "purged": 1, "total": 29, "buckets": 1}
+    with pytest.raises(ValueError):
+        run(units(spark, 0))
+    assert at.chunks().count() == 29
+
+
+def test_stored_pages_in_order(spark):
+    parts = [("u", f"{9 - i}", i, 0, f"h{i % 2}", f"t{i}" if i != 2 else "") for i in range(10)] + [("e", "x", 0, 0, "", "")]
+    df = spark.createDataFrame([(*p, "title") for p in parts], "url string, chunk_key string, ordinal int, part int, heading_path string, content string, page_title string")
+    found = lambda n: {r.url: (r.page_title, r.text) for r in retrieval.stored_pages(df, n).collect()}
+    assert found(99) == {"u": ("title", "\n\n".join(f"t{i}" for i in range(10) if i != 2)), "e": ("title", "")}
+    assert found(10)["u"] == ("title", "h0\nh1")
