@@ -15,8 +15,13 @@ def page_rollup(chunks: DataFrame, headings: int = 40) -> DataFrame:
     A page's title, kind and library are those of its first chunk by key.
     """
     first = F.min_by(F.struct("library", "kind", "page_title"), F.col("chunk_key")).alias("f")
-    rows = chunks.groupBy("url").agg(first, F.greatest(F.count_if(F.col("heading_path") != ""), F.lit(1)).alias("n_chunks"), F.slice(F.array_sort(F.collect_set(F.nullif("heading_path", F.lit("")))), 1, headings).alias("headings"))
-    return rows.select("f.library", "f.kind", "url", "f.page_title", "n_chunks", "headings")
+    rows = chunks.groupBy("url").agg(first, F.greatest(F.count_if(F.col("heading_path") != ""), F.lit(1)).alias("n_chunks"))
+    known = chunks.select("url", F.nullif("heading_path", F.lit("")).alias("h")).where("h is not null").distinct()
+    # a window that is cut by its rank keeps no more than that many rows a page in each task before the shuffle
+    few = known.withColumn("_n", F.row_number().over(Window.partitionBy("url").orderBy("h"))).where(F.col("_n") <= headings)
+    lists = few.groupBy("url").agg(F.array_sort(F.collect_list("h")).alias("headings")).withColumnRenamed("url", "_url")
+    both = rows.join(lists, F.col("url").eqNullSafe(F.col("_url")), "left")
+    return both.select("f.library", "f.kind", "url", "f.page_title", "n_chunks", F.coalesce("headings", F.array().cast("array<string>")).alias("headings"))
 
 
 def pages_by_kind(manifest: DataFrame) -> DataFrame:
@@ -74,15 +79,13 @@ def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
 def grounded_groups(expected: DataFrame, inventory: DataFrame, name: str = "name") -> DataFrame:
     """(id, group) of expected groups with a pattern that occurs in some inventory name, whatever the case.
 
-    ``expected`` is (id, expected array<array<string>>).  Only distinct patterns meet distinct names, each
-    name once for a block of patterns.
+    ``expected`` is (id, expected array<array<string>>).  Distinct names are searched once for all distinct patterns.
     """
+    from tessera.operators.patterns import occurrences
+
     groups = expected.select("id", F.posexplode("expected").alias("group", "patterns")).select("id", "group", F.explode("patterns").alias("p")).withColumn("p", F.lower("p"))
-    patterns = groups.select("p").where("p <> ''").distinct()
-    blocks = max(1, -(-patterns.count() // 256))
-    lists = patterns.groupBy(F.pmod(F.xxhash64("p"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("p").alias("ps"))
-    names = inventory.select(F.lower(name).alias("hay")).distinct().withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = names.join(lists, "block").select(F.explode(F.filter("ps", lambda p: F.contains(F.col("hay"), p))).alias("p")).distinct()
+    names = inventory.select(F.lower(name).alias("hay")).distinct()
+    found = occurrences(names, F.col("hay"), groups.where("p <> ''").select("p"), "p").select("p").distinct()
     return groups.join(found, "p", "left_semi").select("id", "group").distinct()
 
 

@@ -16,14 +16,13 @@ def haystack(*fields: str) -> Column:
 def group_hits(expected: DataFrame, ranked: DataFrame) -> DataFrame:
     """(id, group, first_rank): first rank whose haystack holds any pattern of each expected group.
 
-    ``expected`` is (id, expected array<array<string>>), ``ranked`` (id, rank, hay).  Results are few a
-    question, so they are gathered by question and tested in an array function.
+    ``expected`` is (id, expected array<array<string>>), ``ranked`` (id, rank, hay).  Results and groups meet by
+    question and only ranks go on, so nothing of a question is gathered.
     """
-    lists = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "hay"))).alias("rows"))
-    groups = expected.select("id", F.posexplode("expected").alias("group", "patterns")).join(lists, "id", "left")
-    fits = lambda r: F.exists("patterns", lambda p: F.contains(r["hay"], F.lower(p)))
-    first = F.try_element_at(F.filter(F.coalesce("rows", F.array().cast("array<struct<rank:int,hay:string>>")), fits), F.lit(1))["rank"]
-    return groups.select("id", "group", first.alias("first_rank"))
+    groups = expected.select("id", F.posexplode("expected").alias("group", "patterns"))
+    fits = F.exists("patterns", lambda p: F.contains(F.col("hay"), F.lower(p)))
+    first = groups.join(ranked, "id").where(fits).groupBy("id", "group").agg(F.min("rank").alias("first_rank"))
+    return groups.select("id", "group").join(first, ["id", "group"], "left")
 
 
 def question_metrics(expected: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def static_summary(rows: DataFrame) -> DataFrame:
 
 
 def distance_listing(distances: DataFrame) -> DataFrame:
-    """(place, group, question, dist): nearest first, those without a distance last."""
+    """(group, question, dist): nearest first, those without a distance last."""
     order = [F.asc_nulls_last("dist"), F.asc("question")]
     return distances.orderBy(*order).select("group", "question", "dist")
 

@@ -7,8 +7,8 @@ costs the same whether it comes alone or among thousands: chunks are read once f
 Dense distances: chunks are dealt into shards and queries into blocks; a (shard, block) group is one
 matrix product of bounded size that keeps ``pool`` rows a query and kind, and shards merge by query.
 (``cells`` has the same search over the nearest parts of an index.)
-Keyword hits: an equi-join on lexemes, counted by (query, chunk).  Symbols: the distinct ones of all
-queries, in blocks, meet each chunk once a block.  Gate and interleaving are windows over the pools;
+Keyword hits: an equi-join on lexemes, counted by (query, chunk).  Symbols: one automaton of the distinct
+ones of all queries, one pass over the chunks.  Gate and interleaving are windows over the pools;
 only queries with a symbol, whose pool overlaps the others, take turns in a function.  Content is
 joined at the end, for the keys that are left.
 """
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 
 from tessera.config import KINDS, Config
 from tessera.functions.text import is_exact_api, known_kind, symbol_in_query
+from tessera.operators.patterns import occurrences
 
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
-BLOCK_SYMBOLS = 1 << 8
 _ORD = {k: i for i, k in enumerate(KINDS)}
 
 
@@ -186,19 +186,15 @@ def _fits():
 def symbol_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
     """(query_id, chunk_key, kind, exact, symbol_rank): chunks whose url, title or headings hold the query's symbol.
 
-    API pages first, then shorter urls.  Only distinct symbols meet the chunks, in blocks of
-    ``BLOCK_SYMBOLS``; without a symbol in any query no chunk is read.
+    API pages first, then shorter urls.  Chunks are searched once for all distinct symbols; without a symbol in
+    any query no chunk is read.
     """
-    asked = queries.withColumn("symbol", symbol_in_query(F.col("query"))).where("symbol is not null").select("query_id", "symbol", F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
-    symbols = asked.select("symbol").distinct()
-    blocks = -(-symbols.count() // BLOCK_SYMBOLS)
-    if not blocks:
+    asked = queries.withColumn("symbol", symbol_in_query(F.col("query"))).where("symbol is not null").select("query_id", "symbol", F.lower("symbol").alias("low"), F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
+    if asked.isEmpty():
         return queries.sparkSession.createDataFrame([], "query_id string, chunk_key string, kind string, exact boolean, symbol_rank int")
-    lists = symbols.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("symbol", F.lower("symbol").alias("low"))).alias("symbols"))
     hay = F.lower(F.concat_ws("\n", "url", "page_title", "heading_path"))
-    fields = chunks.select("chunk_key", "url", "kind", "library", hay.alias("hay"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    hits = fields.join(lists, "block").select("chunk_key", "url", "kind", "library", F.explode(F.filter("symbols", lambda s: F.contains(F.col("hay"), s["low"]))).alias("s"))
-    both = hits.select("s.symbol", "chunk_key", "url", "kind", "library").join(asked, "symbol")
+    fields = chunks.select("chunk_key", "url", "kind", "library", hay.alias("hay"))
+    both = occurrences(fields, F.col("hay"), asked.select("low"), "low").drop("hay").join(asked, "low")
     exact = is_exact_api(F.col("kind"), F.col("url"), F.col("symbol"))
     order = Window.partitionBy("query_id").orderBy((F.col("kind") == "api").desc(), F.char_length("url"), "chunk_key")
     found = both.where(_fits()).withColumn("exact", exact).withColumn("symbol_rank", F.row_number().over(order))

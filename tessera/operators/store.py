@@ -35,8 +35,9 @@ _FIXED_BY_KEY = ("url", "anchor")
 #: Columns that came later, with what they hold in older versions.
 DEFAULTS = {"part": "0", "content": "''", "lexemes": "array()", "ordinal": "0"}
 _END = "end"
-#: A bucket of more layers, or of layers with more than this share of its base's bytes, becomes one base.
+#: A bucket of more layers becomes one base, and one whose layers have so many bytes and more than this share of its base's.
 MOST_LAYERS = 8
+LAYER_BYTES = 16 << 20
 LAYER_SHARE = 0.5
 #: A folder that no pointer has ever named belongs to a writer at work until it is so old.
 LEASE_SECONDS = 24 * 3600.0
@@ -306,8 +307,8 @@ class IndexStore:
     def _heavy(self, layers: tuple[str, ...]) -> bool:
         if len(layers) < 2 or len(layers) > MOST_LAYERS:
             return len(layers) > 1
-        sizes = [self._bytes(f) for f in layers]
-        return sum(sizes[1:]) > LAYER_SHARE * sizes[0]
+        later = sum(self._bytes(f) for f in layers[1:])
+        return later >= LAYER_BYTES and later > LAYER_SHARE * self._bytes(layers[0])
 
     def _write_anew(self, layers: dict[int, tuple[str, ...]]) -> dict[int, tuple[str, ...]]:
         """One base for each bucket; a bucket without rows has no folder."""

@@ -453,3 +453,16 @@ def a16_grounded_rate(spark: SparkSession, sf: str) -> DataFrame:
 
 
 from tessera.plans import answer_queries, ingest_queries  # noqa: E402, F401  registers theirs
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{8,}')) AS pattern FROM conversations)
+SELECT pattern, count(*) AS n_documents, min(doc_id) AS first_document FROM documents JOIN p ON contains(lower(text), pattern) GROUP BY pattern"""
+)
+def f4_patterns_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Every longer word of the conversations as a pattern, anywhere in every whole document."""
+    from tessera.operators.patterns import occurrences
+
+    said = table(spark, sf, "conversations").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{8,}"), F.lit(0))).alias("p"))
+    docs = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    return occurrences(docs, F.col("low"), said).groupBy("pattern").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
