@@ -32,8 +32,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, margin: float = 0.2
     close = spread.where(F.col("sites") >= min_sites * (1 - margin))
     sure = close.where(F.col("sites") > min_sites * (1 + margin)).select("_a", "_b")
     near = close.where(F.col("sites") <= min_sites * (1 + margin)).select("_a", "_b")
-    # each task sends a line and site once, so what meets at a line is at most its sites
-    exact = lines.select("_a", "_b", "site").distinct().join(near, ["_a", "_b"]).groupBy("_a", "_b").agg(F.count("*").alias("n"))
+    # only rows of lines near the threshold go on, and each task sends a line and site once
+    exact = lines.select("_a", "_b", "site").join(near, ["_a", "_b"], "left_semi").distinct().groupBy("_a", "_b").agg(F.count("*").alias("n"))
     return sure.union(exact.where(F.col("n") >= min_sites).select("_a", "_b"))
 
 
