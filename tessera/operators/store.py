@@ -35,6 +35,7 @@ _FIXED_BY_KEY = ("url", "anchor")
 #: Columns that came later, with what they hold in older versions.
 DEFAULTS = {"part": "0", "content": "''", "lexemes": "array()", "ordinal": "0"}
 _END = "end"
+_OTHER_WIDTH = "an embedding has another width than"
 #: A bucket of more layers becomes one base, and one whose layers have so many bytes and more than this share of its base's.
 MOST_LAYERS = 8
 LAYER_BYTES = 16 << 20
@@ -127,6 +128,8 @@ class IndexStore:
 
     def __init__(self, spark: SparkSession, path: str, width: int | None = None, buckets: int = 16):
         self.spark, self.path, self.width, self.buckets = spark, path.rstrip("/"), width, buckets
+        #: Buckets that got a layer by the last change of this handle.
+        self.written = 0
 
     # files
 
@@ -261,18 +264,23 @@ class IndexStore:
         return rows
 
     def _checked(self, rows: DataFrame) -> DataFrame:
-        """Fails at the row, while it is written, if a vector has another width."""
+        """Rows whose write fails with a ``ValueError`` if a vector has another width; nothing is read twice for it."""
         rows = self._filled(rows)
         if self.width is None:
             return rows
         right = F.col("embedding").isNotNull() & (F.size("embedding") == self.width)
-        wrong = F.raise_error(F.lit(f"an embedding has another width than {self.width}")).cast("array<float>")
+        wrong = F.raise_error(F.lit(f"{_OTHER_WIDTH} {self.width}")).cast("array<float>")
         return rows.withColumn("embedding", F.when(right, F.col("embedding")).otherwise(wrong))
 
     def _write(self, rows: DataFrame) -> dict[int, tuple[str, ...]]:
         """New folders of the buckets that have rows."""
         folder = f"chunks-{uuid.uuid4().hex}"
-        rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        try:
+            rows.withColumn("bucket", self._bucket()).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        except Exception as e:
+            if _OTHER_WIDTH in str(e):
+                raise ValueError(f"{_OTHER_WIDTH} {self.width}") from e
+            raise
         fs, place = self._fs(folder)
         names = [x.getPath().getName() for x in fs.listStatus(place)]
         return {int(n.removeprefix("bucket=")): (f"{folder}/{n}",) for n in names if n.startswith("bucket=")}
@@ -302,7 +310,8 @@ class IndexStore:
         layers = {b: began.layers.get(b, ()) + fs for b, fs in made.items()}
         layers |= self._write_anew({b: fs for b, fs in layers.items() if self._heavy(fs)})
         self._rebase(began, layers, batch)
-        return len(made)
+        self.written = len(made)
+        return self.written
 
     def _heavy(self, layers: tuple[str, ...]) -> bool:
         if len(layers) < 2 or len(layers) > MOST_LAYERS:

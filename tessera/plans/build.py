@@ -71,9 +71,9 @@ def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Call
     hashes tell what is to do: the keys of it are written once, and texts are read for them only.  Work is
     done in batches of about ``batch_rows`` units, each of which reads its own part and whose rows are kept
     when it is done, so that a build that was cut off goes on behind them.  The table is changed where
-    keys change: buckets without one keep their files, and without any nothing is written.
+    keys change: buckets without one keep their files, and without any nothing is written (``store.written`` counts buckets).
     """
-    space = Scratch(store)
+    space, store.written = Scratch(store), 0
     try:
         return _build(store, space, units, embed, lexemes, version, stamp, glosses, questions, batch_rows)
     finally:
@@ -97,7 +97,7 @@ def _build(store: IndexStore, space: Scratch, units: DataFrame, embed: Embed, le
     counts = marks.agg(F.sum("n").alias("units"), F.count_if(F.col("n") > 0).alias("live"), F.count_if("new").alias("new"), F.count_if("gone").alias("gone"), F.count_if(F.col("fill") & ~F.col("new")).alias("fill")).first()
     if not counts.units:
         raise ValueError("the snapshot has no chunks; the index stays as it is")
-    stats = {"snapshot_chunks": counts.units, "embedded": 0, "purged": counts.gone, "total": counts.live, "buckets": 0}
+    stats = {"snapshot_chunks": counts.units, "embedded": 0, "purged": counts.gone, "total": counts.live}
     if counts.new or counts.gone or counts.fill:
         wanted = marks.where("new").select("chunk_key", "at", "content_hash")
         staged = store.staged(recipe)
@@ -114,7 +114,7 @@ def _build(store: IndexStore, space: Scratch, units: DataFrame, embed: Embed, le
         # contents of units whose stored one is empty
         full = last_units(keyed.join(marks.where("fill and not new").select("chunk_key", "at"), ["chunk_key", "at"], "left_semi")) if counts.fill else None
         fill = (lambda rows: ops.backfilled(rows, full)) if counts.fill else (lambda rows: rows)
-        stats["buckets"] = store.change(marks.where("new or gone or fill"), lambda old: ops.purged(fill(ops.merged(old, done)), kept))
+        store.change(marks.where("new or gone or fill"), lambda old: ops.purged(fill(ops.merged(old, done)), kept))
         store.unstage(recipe)
     for name, value in (("recipe", stamp), ("index_version", version)):
         if stamps.get(name) != value:

@@ -423,12 +423,16 @@ def k12_store_widths(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "width int, chunks long, probe boolean, value string")
 
 
-@query("SELECT * FROM (VALUES ('a', '2'), ('b', 'x')) t(key, value)")
+@query("SELECT r_name AS key, count(n_nationkey)::VARCHAR AS value FROM region LEFT JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name")
 def s22_meta(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nations each region has as meta values, each set twice and read back by its key."""
     at = store.IndexStore(spark, folder(spark, "meta"))
-    for key, value in (("a", "1"), ("b", "x"), ("a", "2")):
-        at.set_meta(key, value)
-    found = [(k, at.get_meta(k)) for k in ("a", "b", "none")]
+    regions, nations = table(spark, sf, "region"), table(spark, sf, "nation")
+    rows = regions.join(nations, F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_nationkey").alias("n")).collect()  # a row a region
+    for r in rows:
+        at.set_meta(r.r_name, "-")
+        at.set_meta(r.r_name, str(r.n))
+    found = [(k, at.get_meta(k)) for k in (*(r.r_name for r in rows), "none")]
     return spark.createDataFrame([r for r in found if r[1] is not None], "key string, value string")
 
 
@@ -514,7 +518,7 @@ def r4_rewritten_buckets(spark: SparkSession, sf: str) -> DataFrame:
         did = build.build_index(at, units, _embed, lambda c: plain_tokens(c), "v1", "r")
         now = at._current("chunks").layers
         changed = {b for b in now.keys() | before.keys() if now.get(b) != before.get(b)}
-        beyond = i > 1 and not changed <= hit or len(changed) != did["buckets"]
+        beyond = i > 1 and not changed <= hit or len(changed) != at.written
         out.append((i, did["embedded"], did["purged"], bool(changed), beyond, at.chunks().count()))
         before = now
     return spark.createDataFrame(out, "build int, embedded long, purged long, touched boolean, beyond boolean, total long")
@@ -588,17 +592,19 @@ def o8_first_rows(spark: SparkSession, sf: str) -> DataFrame:
     return manifest.first_rows(table(spark, sf, "conversations").select("turn", "conv_id"), 25, F.desc("turn"), "conv_id")
 
 
-@query("SELECT * FROM (VALUES ('given', 2.5), ('malformed', 7.0), ('missing', 7.0), ('small', 384.0), ('override', 12.0)) t(name, value)")
+@query("SELECT r_name AS name, CASE r_regionkey % 3 WHEN 0 THEN r_regionkey + 0.5 ELSE 7.0 END::DOUBLE AS value, CASE r_regionkey % 3 WHEN 0 THEN 384 ELSE r_regionkey END::INT AS width FROM region")
 def x29_settings(spark: SparkSession, sf: str) -> DataFrame:
-    """Numbers from the environment with a fallback, and vector widths by model."""
+    """Numbers from the environment, of which a third is given, one malformed and one missing; widths by model or given."""
     import os
 
     from tessera.config import embed_dims, env_float
 
-    os.environ.update(TESSERA_GIVEN="2.5", TESSERA_MALFORMED="many")
+    rows = [(r.r_name, r.r_regionkey) for r in table(spark, sf, "region").collect()]  # five rows
+    given = {f"TESSERA_SET_{k}": str(k + 0.5) if k % 3 == 0 else "many" for _, k in rows if k % 3 < 2}
+    os.environ.update(given)
     try:
-        rows = [(n, env_float(f"TESSERA_{n.upper()}", 7.0)) for n in ("given", "malformed", "missing")]
+        found = [(n, env_float(f"TESSERA_SET_{k}", 7.0), embed_dims("small") if k % 3 == 0 else embed_dims("unknown", k)) for n, k in rows]
     finally:
-        del os.environ["TESSERA_GIVEN"], os.environ["TESSERA_MALFORMED"]
-    rows += [("small", float(embed_dims("small"))), ("override", float(embed_dims("unknown", 12)))]
-    return spark.createDataFrame(rows, "name string, value double")
+        for name in given:
+            del os.environ[name]
+    return spark.createDataFrame(found, "name string, value double, width int")
