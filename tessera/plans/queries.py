@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.functions.vectors import cosine_distance, normalized
-from tessera.operators import chunking, gates, html, manifest, metrics, retrieval, store
-from tessera.plans.registry import ORACLE_SQL, QUERIES, chunk_table, query, query_table, table
+from tessera.operators import chunking, gates, html, keyword, manifest, metrics, retrieval, store
+from tessera.plans.registry import ORACLE_SQL, QUERIES, chunk_table, folder, query, query_table, table
 
 _BASE = """
 chunks AS (
@@ -120,6 +120,68 @@ def o2_keyword_documents(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.keyword_hits(retrieval.postings(chunk_table(spark, sf, "left")), query_table(spark, sf))
 
 
+_RANKED = (
+    _whole(f"WITH {_BASE}")
+    + """, places AS (
+  SELECT chunk_key, kind, len(lexemes) AS n, unnest(lexemes) AS lexeme, generate_subscripts(lexemes, 1) AS place FROM chunks
+), posted AS (
+  SELECT chunk_key, kind, n, lexeme, count(*) AS tf, CAST(sum(place) AS BIGINT) AS places,
+         CAST(floor(1000000.0::DOUBLE * count(*) / (count(*) + 1) / (1 + ln(n::DOUBLE))) AS BIGINT) AS impact
+  FROM places GROUP BY chunk_key, kind, n, lexeme
+), short AS (
+  SELECT query_id, lexeme, row_number() OVER (PARTITION BY query_id ORDER BY length(lexeme), lexeme) AS n
+  FROM (SELECT DISTINCT query_id, unnest(lexemes) AS lexeme FROM queries JOIN chunks ON query_id = chunk_key)
+), asked AS (
+  SELECT query_id, lexeme, count(*) OVER (PARTITION BY query_id) AS need FROM short WHERE n <= 2
+), ranked AS (
+  SELECT * FROM (
+    SELECT query_id, kind, chunk_key, score, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, chunk_key) AS keyword_rank
+    FROM (SELECT query_id, kind, chunk_key, CAST(sum(impact) AS BIGINT) AS score FROM asked JOIN posted USING (lexeme)
+          GROUP BY query_id, kind, chunk_key, need HAVING count(*) = need)
+  ) WHERE keyword_rank <= 20
+), steps AS (
+  SELECT query_id, chunk_key, CASE WHEN lag(lexeme) OVER w <> lexeme THEN place - lag(place) OVER w END AS step
+  FROM ranked JOIN asked USING (query_id) JOIN places USING (chunk_key, kind, lexeme)
+  WINDOW w AS (PARTITION BY query_id, chunk_key ORDER BY place)
+)"""
+)
+
+
+def _short_words(spark: SparkSession, sf: str) -> DataFrame:
+    """The search queries with the two shortest words of their documents: frequent ones, so lists are long."""
+    rows = query_table(spark, sf).drop("query_lexemes").join(chunk_table(spark, sf).select(F.col("chunk_key").alias("query_id"), "lexemes"), "query_id")
+    by_length = F.array_sort(F.transform(F.array_distinct("lexemes"), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))
+    return rows.withColumn("query_lexemes", F.slice(by_length, 1, 2)["w"]).drop("lexemes")
+
+
+def _keyword_index(spark: SparkSession, sf: str) -> keyword.KeywordIndex:
+    return keyword.KeywordIndex.build(chunk_table(spark, sf, "left"), folder(spark, "postings"))
+
+
+@query(f"{_RANKED} SELECT lexeme, kind, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, CAST(sum(impact) AS BIGINT) AS impact, CAST(sum(places) AS BIGINT) AS places FROM posted GROUP BY lexeme, kind")
+def x19_positions_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Positional postings of every document, as read back from the kept index."""
+    places = F.aggregate("positions", F.lit(0).cast("long"), lambda a, p: a + p)
+    found = _keyword_index(spark, sf).postings().select("lexeme", "kind", "tf", "impact", places.alias("places"))
+    return found.groupBy("lexeme", "kind").agg(F.count("*").alias("df"), *[F.sum(c).alias(c) for c in ("tf", "impact", "places")])
+
+
+@query(f"{_RANKED} SELECT query_id, kind, chunk_key, score, CAST(keyword_rank AS INT) AS keyword_rank, CAST(min(step) AS INT) AS gap FROM ranked LEFT JOIN steps USING (query_id, chunk_key) GROUP BY ALL")
+def x21_ranked_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 20 of each kind from the kept index, blocks skipped by their bounds, against the ranking of everything."""
+    index, asked = _keyword_index(spark, sf), _short_words(spark, sf)
+    return index.closeness(index.search(asked)[0], asked).select("query_id", "kind", "chunk_key", "score", "keyword_rank", "gap")
+
+
+@query(f"{_RANKED} SELECT query_id, kind, count(*) AS postings, true AS within FROM asked JOIN posted USING (lexeme) GROUP BY query_id, kind")
+def x21_postings_read(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of each query's lexemes by kind, and that the search read no more of them."""
+    index, asked = _keyword_index(spark, sf), _short_words(spark, sf)
+    read = index.search(asked)[1].select("query_id", "kind", F.col("postings").alias("read"))
+    rows = index.postings_of(asked).join(read, ["query_id", "kind"], "left")
+    return rows.select("query_id", "kind", "postings", (F.coalesce("read", F.lit(0)) <= F.col("postings")).alias("within"))
+
+
 @query(_whole(ORACLE_SQL["a1_rank_fusion"]))
 def a1_fusion_documents(spark: SparkSession, sf: str) -> DataFrame:
     chunks, asked = chunk_table(spark, sf, "left"), query_table(spark, sf)

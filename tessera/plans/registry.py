@@ -7,7 +7,6 @@ longest words of its document.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import KINDS
 from tessera.functions.lexemes import plain_tokens
+from tessera.streaming.runs import folder
+
+__all__ = ["ORACLE_SQL", "QUERIES", "chunk_table", "folder", "query", "query_table", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,13 +54,3 @@ def query_table(spark: SparkSession, sf: str) -> DataFrame:
     longer = lambda a, b: F.when(F.char_length(a) != F.char_length(b), F.char_length(b) - F.char_length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)
     words = F.slice(F.array_sort(F.array_distinct(plain_tokens(F.col("text"))), longer), 1, 2)
     return asked.select(F.format_string("%012d", "vec_id").alias("query_id"), F.array_join(words, " ").alias("query"), words.alias("query_lexemes"), F.col("embedding").alias("vector"), F.lit(None).cast("string").alias("library"), F.lit(None).cast("string").alias("kind"))
-
-
-def folder(spark: SparkSession, label: str) -> str:
-    """A new folder in the shared one, deleted when the application ends."""
-    from tessera.streaming.runs import shared_folder
-
-    where = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return where
