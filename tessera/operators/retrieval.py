@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 
 from tessera.config import KINDS, Config
 from tessera.functions.text import is_exact_api, known_kind, symbol_in_query
+from tessera.operators.keyword import KeywordIndex
 from tessera.operators.patterns import occurrences
+from tessera.streaming.runs import folder
 
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
@@ -262,13 +264,17 @@ def _final(rows: pd.DataFrame, k: int, gap: float) -> pd.DataFrame:
     return pd.DataFrame({"query_id": rows["query_id"].iloc[0], "rank": range(1, len(order) + 1), "chunk_key": order, "dist": [dist.get(c) for c in order]})
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, k: int = Config.k, pool: int = Config.pool, gap: float = Config.relevance_gap, index: DataFrame | None = None, dense=dense_hits) -> DataFrame:
+def retrieve(chunks: DataFrame, queries: DataFrame, k: int = Config.k, pool: int = Config.pool, gap: float = Config.relevance_gap, index: DataFrame | KeywordIndex | None = None, dense=dense_hits) -> DataFrame:
     """(query_id, rank, chunk_key, dist): the k best chunks of each query, an exact API page pinned first.
 
-    ``index`` are written ``postings`` of the chunks, made here where none are given; ``dense`` is what
-    gives the dense pools (``cells.CellIndex.hits`` for a search in parts).
+    ``index`` is a kept ``KeywordIndex`` or written ``postings`` of the chunks, made here where none are given;
+    ``dense`` is what gives the dense pools (``cells.CellIndex.hits`` for a search in parts).  The pools are
+    written once, since queries with and without a symbol both read them.
     """
-    kinds = fused(dense(chunks, queries, pool), keyword_hits(postings(chunks) if index is None else index, queries, pool))
+    words = index.hits(queries, pool) if isinstance(index, KeywordIndex) else keyword_hits(postings(chunks) if index is None else index, queries, pool)
+    pools, at = fused(dense(chunks, queries, pool), words), folder(queries.sparkSession, "pools")
+    pools.write.parquet(at)
+    kinds = queries.sparkSession.read.schema(pools.schema).parquet(at)
     symbols = symbol_hits(chunks, queries, pool)
     named = symbols.select("query_id").distinct()
     plain = interleaved(gated(kinds.join(named, "query_id", "left_anti"), gap), k).select("query_id", "rank", "chunk_key", "dist")

@@ -38,6 +38,16 @@ def v1_cell_pools(spark: SparkSession, sf: str) -> DataFrame:
     return found.withColumn("dist", F.round("dist", 6))
 
 
+@query(_swap(ORACLE_SQL["o1_dense_pools"], ("SELECT query_id, kind, chunk_key, round(dist, 6) AS dist, CAST(dense_rank AS INT) AS dense_rank FROM dense", "SELECT count(DISTINCT query_id) AS queries, count(*) AS hits, true AS enough FROM dense")))
+def v2_cell_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries, exact hits, and that the cell index at its default finds at least nine tenths of them."""
+    chunks, asked = chunk_table(spark, sf), query_table(spark, sf)
+    index = cells.CellIndex.build(chunks, folder(spark, "cells"))
+    some = index.hits(None, asked).select("query_id", "kind", "chunk_key", F.lit(1).alias("found"))
+    both = retrieval.dense_hits(chunks, asked).join(some, ["query_id", "kind", "chunk_key"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("enough"))
+
+
 _ASKED = """CASE WHEN vec_id % 150 = 0 THEN 'src7' END AS library, CASE WHEN vec_id % 100 = 0 THEN 'api' WHEN vec_id % 100 = 50 AND vec_id % 150 = 50 THEN 'nonsense' END AS kind"""
 _FILTER = "(q.library IS NULL OR q.library = c.library) AND (q.kind IS NULL OR q.kind NOT IN ('api', 'tutorial', 'guide') OR q.kind = c.kind)"
 _FILTERED = _swap(

@@ -7,7 +7,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import retrieval
 from tessera.operators.keyword import KeywordIndex
+from tessera.plans.registry import chunk_table, query_table
 
 CHUNKS = "chunk_key string, kind string, library string, lexemes array<string>"
 ASKED = "query_id string, query_lexemes array<string>, library string, kind string"
@@ -95,3 +97,12 @@ def test_nothing_in_nothing_asked(spark, tmp_path):
     assert full.hits(asked.where(F.lit(False))).collect() == []
     with pytest.raises(FileNotFoundError):
         KeywordIndex(spark, f"file://{tmp_path}/none").postings()
+
+
+def test_hybrid_retrieval_takes_the_kept_index(spark, sf, tmp_path):
+    chunks, asked = chunk_table(spark, sf), query_table(spark, sf)
+    index = KeywordIndex.build(chunks, f"file://{tmp_path}/i")
+    rank = lambda hits: {(r.query_id, r.chunk_key) for r in hits.collect()}
+    want = retrieval.fused(retrieval.dense_hits(chunks, asked), index.hits(asked))
+    got = retrieval.retrieve(chunks, asked, index=index)
+    assert rank(got) == rank(retrieval.interleaved(retrieval.gated(want)))

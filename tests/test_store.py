@@ -124,6 +124,11 @@ def test_cells_recall_and_widening(spark, tmp_path):
     assert pairs(index.hits(None, queries, 10, probe=40)) == exact
     some = pairs(index.hits(None, queries, 10, probe=6))
     assert len(some & exact) / len(exact) >= 0.9 and len(some) == len(exact)  # pools that filters leave short are filled by widening
+    plain = queries.select("query_id", "vector", F.lit(None).cast("string").alias("library"), F.lit(None).cast("string").alias("kind"))
+    exact, found = pairs(retrieval.dense_hits(chunks, plain, 10)), pairs(index.hits(None, plain, 10))
+    assert 1 <= index.probe < 40 and len(found & exact) / len(exact) >= 0.9
+    assert sum(cells._shares({0: 900, 1: 5, 2: 95}, 40).values()) == 40 and min(cells._shares({0: 900, 1: 5, 2: 95}, 40).values()) == 1
+    assert max(cells._shares({0: 10**6, 1: 1}, 10**5).values()) == cells.FINE
     assert pairs(retrieval.dense_hits(chunks.limit(0), queries, 10)) == set()
     assert cells.CellIndex.build(chunks.limit(0), f"file://{tmp_path}/none").hits(None, queries, 10).count() == 0
 
