@@ -348,3 +348,26 @@ def test_answering():
     answering.routed("simple", tools, lambda *a: "{}", lambda c, q: answering.Answer("no sources"), lambda q: False)
     assert len(searched) == calls + 2  # one search, then the loop because nothing was cited
     random.seed(0)
+
+
+def test_nearest_ranks_of_hot_groups_are_exact(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [("hot", rng.lognormvariate(0, 2)) for _ in range(60_000)] + [("ties", float(rng.randrange(3))) for _ in range(5_000)]
+    rows += [("one", 4.0), ("nulls", None), ("nulls", None), (None, 7.0), (None, 3.0)] + [("some", None)] * 3 + [("some", float(i)) for i in range(7)]
+    frame = spark.createDataFrame(rows, "g string, latency_s double").repartition(8)
+
+    def brute(values):
+        ordered = sorted(values, key=lambda x: (x is not None, x or 0.0))
+        real = [x for x in ordered if x is not None]
+        at = lambda p: next((x for x in ordered[min(len(ordered) - 1, int(len(ordered) * p)) :] if x is not None), None)
+        return len(ordered), at(0.5), at(0.95), max(real, default=None)
+
+    got = {r.g: (r.n, r.p50, r.p95, r.max) for r in metrics.latency_summary(frame, by=("g",)).collect()}
+    assert got == {g: brute([v for k, v in rows if k == g]) for g in {k for k, _ in rows}}
+    r = metrics.latency_summary(frame).first()
+    assert (r.n, r.p50, r.p95, r.max) == brute([v for _, v in rows])
+    empty = metrics.latency_summary(frame.where("g = 'x'")).collect()
+    assert len(empty) == 1 and empty[0].n is None and empty[0].p50 is None
+    assert metrics.latency_summary(frame.where("g = 'x'"), by=("g",)).collect() == []
