@@ -19,11 +19,17 @@ have no postings; null lexemes are none.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import Config
 from tessera.streaming.runs import folder
+from tessera.workers import lean
 
 BLOCK_ROWS = 256
 BLOCK_WORDS = 1 << 20
@@ -37,27 +43,41 @@ def impact(tf: Column, n: Column) -> Column:
     return F.floor(F.lit(float(UNIT)) * tf / (tf + 1) / (1 + F.log(n.cast("double")))).cast("long")
 
 
-def _blocked(chunks: DataFrame, block_rows: int) -> DataFrame:
-    """(chunk_key, kind, library, words, n, block).  The counts that cut lengths into blocks are one row a kind
+def _blocked(chunks: DataFrame, staged: str, block_rows: int) -> DataFrame:
+    """(chunk_key, kind, library, words, n, block), from rows that are written once to ``staged``: counting, sampling
+    ranges and making postings read them, not what the chunks come from.  The counts that cut lengths into blocks are one row a kind
     and quarter octave."""
     rows = chunks.select("chunk_key", F.coalesce("kind", F.lit("")).alias("kind"), "library", F.filter("lexemes", lambda w: w.isNotNull()).alias("words"))
     rows = rows.withColumn("n", F.size("words")).where("n > 0").withColumn("span", F.floor(F.log2("n") * 4).cast("int"))
+    rows.write.option("compression", "zstd").parquet(staged)
+    rows = chunks.sparkSession.read.schema(rows.schema).parquet(staged)
     room = F.greatest(F.lit(1), F.least(F.lit(block_rows), F.floor(F.lit(BLOCK_WORDS) / F.pow(F.lit(2.0), (F.col("span") + 1) / 4))))
     cuts = rows.groupBy("kind", "span").agg(F.count("*").alias("rows")).select("kind", "span", F.ceil(F.col("rows") / room).alias("cuts"))
     part = F.pmod(F.xxhash64("chunk_key"), F.col("cuts"))
     return rows.join(cuts, ["kind", "span"]).withColumn("block", F.shiftleft(F.col("span").cast("long"), 40) + part).drop("span", "cuts")
 
 
-def positional(chunks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(lexeme, kind, block, chunk_key, library, n, tf, positions): postings with places counted from 1.
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_blocked`` as one row a chunk and lexeme, with its places counted from 1."""
+    for b in batches:
+        words = b.column("words")
+        of = pc.list_parent_indices(words).to_numpy()
+        at = np.arange(len(of)) - np.searchsorted(of, of) + 1
+        places = pa.table({"of": of, "lexeme": words.flatten(), "at": pa.array(at, pa.int32())})
+        one = places.group_by(["of", "lexeme"], use_threads=False).aggregate([("at", "list")]).combine_chunks()
+        if len(one):
+            kept = [b.column(c).take(one["of"].chunk(0)) for c in ("kind", "block", "chunk_key", "library", "n")]
+            yield pa.RecordBatch.from_arrays([one["lexeme"].chunk(0), *kept, one["at_list"].chunk(0)], names=["lexeme", "kind", "block", "chunk_key", "library", "n", "positions"])
+
+
+def positional(blocked: DataFrame) -> DataFrame:
+    """(lexeme, kind, block, chunk_key, library, n, positions) of ``_blocked`` rows, by ranges of (lexeme, kind, block).
 
-    One range shuffle by (lexeme, kind, block), which the later grouping by block needs no other for; a
-    frequent lexeme spreads over its blocks.
+    A chunk's occurrences are grouped where the chunk is, so one range shuffle of postings is all; a frequent
+    lexeme spreads over its blocks, and files hold ranges of lexemes.
     """
-    words = _blocked(chunks, block_rows).select("kind", "block", "chunk_key", "library", "n", F.posexplode("words").alias("at", "lexeme"))
-    dealt = words.repartitionByRange("lexeme", "kind", "block")
-    places = F.transform(F.sort_array(F.collect_list("at")), lambda p: p + 1)
-    return dealt.groupBy("lexeme", "kind", "block", "chunk_key", "library", "n").agg(F.count("*").alias("tf"), places.alias("positions"))
+    ddl = "lexeme string, kind string, block long, chunk_key string, library string, n int, positions array<int>"
+    return blocked.mapInArrow(lean(_grouped), ddl).repartitionByRange("lexeme", "kind", "block")
 
 
 class KeywordIndex:
@@ -81,11 +101,16 @@ class KeywordIndex:
 
     def _write(self, chunks: DataFrame, dead: DataFrame, block_rows: int) -> None:
         number = 1 + max((n for t in _TABLES for n in self._segments(t, whole=False)), default=0)
-        item = F.struct("chunk_key", "library", "tf", impact(F.col("tf"), F.col("n")).alias("impact"), "positions")
-        one = positional(chunks, block_rows).groupBy("lexeme", "kind", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
+        staged = f"{self.path}/staged/segment={number}"
+        rows = _blocked(chunks.select("chunk_key", "kind", "library", "lexemes"), staged, block_rows)
+        tf = F.size("positions").cast("long")
+        item = F.struct("chunk_key", "library", tf.alias("tf"), impact(tf, F.col("n")).alias("impact"), "positions")
+        one = positional(rows).groupBy("lexeme", "kind", "block").agg(F.sort_array(F.collect_list(item)).alias("items"))
         split = one.select("lexeme", "kind", "block", F.transform("items", lambda x: x.dropFields("positions")).alias("items"), F.transform("items", lambda x: x["positions"]).alias("positions"))
         at = {t: f"{self.path}/{t}/segment={number}" for t in _TABLES}
         split.sortWithinPartitions("lexeme", "kind", "block").write.parquet(at["blocks"])
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged)
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
         written = self.spark.read.parquet(at["blocks"])
         top = F.array_max(F.transform("items", lambda x: x["impact"]))
         written.select("lexeme", "kind", "block", F.size("items").cast("long").alias("postings"), top.alias("top")).write.parquet(at["heads"])
