@@ -187,6 +187,49 @@ def t3_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("key").agg(F.count("*").alias("n"), F.count_if("usable").alias("usable"))
 
 
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, t AS last, true AS accepted FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, CASE WHEN e.t - r.last >= 3600 THEN e.t ELSE r.last END, e.t - r.last >= 3600 FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(sum(accepted::INT) AS BIGINT) AS accepted, max(last) + 3600 <= (SELECT max(t) - 3600 FROM e) AS idle FROM r GROUP BY user_id"""
+)
+def t1_idle_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Accepted rows of each key, and whether its state has left by the end of the stream."""
+    from tessera.streaming import idle
+
+    rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    found = _ended(spark, idle.due(rows.select("user_id", seconds.alias("t"), F.col("event_id").alias("ord")), "user_id", 3600.0, "1 hour", tell_idle=True), "idle-due")
+    return found.groupBy("key").agg(F.count("accepted").alias("n"), F.count_if("accepted").alias("accepted"), F.max_by(F.col("accepted").isNull(), F.struct("t", F.col("accepted").isNull())).alias("idle"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, CASE WHEN event_type = 'error' THEN value * 1000 END AS cooldown, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, true AS usable, CASE WHEN cooldown IS NOT NULL THEN t + least(900, cooldown) END AS until FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.n, r.until IS NULL OR e.t >= r.until, CASE WHEN e.cooldown IS NOT NULL THEN e.t + least(900, e.cooldown) ELSE r.until END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS n, CAST(sum(usable::INT) AS BIGINT) AS usable FROM r GROUP BY user_id"""
+)
+def t3_idle_cooldowns(spark: SparkSession, sf: str) -> DataFrame:
+    """Deadlines as a stream whose state leaves once they have passed."""
+    from tessera.streaming import idle
+
+    rows = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    timed = rows.select("user_id", seconds.alias("t"), F.col("event_id").alias("ord"), F.when(F.col("event_type") == "error", F.col("value") * 1000).alias("cooldown"))
+    found = _ended(spark, idle.cooled(timed, "user_id"), "idle-cooled")
+    return found.groupBy("key").agg(F.count("*").alias("n"), F.count_if("usable").alias("usable"))
+
+
+def _ended(spark: SparkSession, out: DataFrame, label: str) -> DataFrame:
+    """Rows of a keyed stream that ends, written in the shared folder."""
+    from tessera.streaming.idle import keyed_state
+
+    where = folder(spark, label)
+    with keyed_state(spark):
+        out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{where}/out")
+
+
 # sections and context
 
 
