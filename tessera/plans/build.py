@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tessera.config import Config
 from tessera.functions.text import chunk_key, indexed_text
@@ -17,6 +19,20 @@ from tessera.operators.store import IndexStore
 Embed = Callable[[DataFrame], DataFrame]
 
 
+class BatchModel:
+    """A model that is called with arrays of texts where the rows are, so no join brings its vectors back.
+
+    ``load`` runs once a Python worker and returns what turns an array of texts into as many vectors
+    (a matrix of floats); ``batch`` is the most texts in one call.
+    """
+
+    def __init__(self, load: Callable[[], Callable], batch: int = Config.batch_rows):
+        self.vector = predict_batch_udf(load, return_type=ArrayType(FloatType()), batch_size=batch)
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        return rows.select("chunk_key", self.vector(F.col("text")).alias("embedding"))
+
+
 class Scratch:
     """Tables of one build below the store's folder, deleted at its end."""
 
@@ -58,8 +74,9 @@ def units_with_text(units: DataFrame, glosses: DataFrame | None, questions: Data
 
 def index_rows(units: DataFrame, embed: Embed, lexemes: Callable, version: str, limit: int = Config.embed_chars) -> DataFrame:
     """Rows of the chunk table from units with text; the model sees the first ``limit`` characters."""
-    vectors = embed(units.select("chunk_key", F.left("text", F.lit(limit)).alias("text")))
-    rows = units.join(vectors, "chunk_key").withColumns({"lexemes": lexemes(F.col("text")), "heading_path": F.array_join("heading_path", " > "), "index_version": F.lit(version)})
+    seen = F.left("text", F.lit(limit))
+    found = units.withColumn("embedding", embed.vector(seen)) if isinstance(embed, BatchModel) else units.join(embed(units.select("chunk_key", seen.alias("text"))), "chunk_key")
+    rows = found.withColumns({"lexemes": lexemes(F.col("text")), "heading_path": F.array_join("heading_path", " > "), "index_version": F.lit(version)})
     return rows.select(*ops.COLUMNS)
 
 

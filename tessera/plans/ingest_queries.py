@@ -456,6 +456,31 @@ def _embed(rows: DataFrame) -> DataFrame:
     return rows.select("chunk_key", F.array(F.char_length("text").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
 
 
+def _letter_counter():
+    """A model's place: how many of each of four letters a text has, as a matrix of floats."""
+    import numpy as np
+
+    return lambda texts: np.array([[t.count(x) for x in "aeio"] for t in texts], np.float32)
+
+
+@query(
+    """SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS chunk_key, array_to_string(list_transform(['a', 'e', 'i', 'o'], lambda x: length(t) - length(replace(t, x, ''))), ',') AS counts
+FROM (SELECT doc_id, left(coalesce(text, ''), 2000) AS t FROM documents)"""
+)
+def h1_batch_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Index rows whose vectors come from a batch model in the map that makes the rows."""
+    docs = table(spark, sf, "documents")
+    key = F.sha2(F.col("doc_id").cast("string"), 256)
+    text = F.coalesce("text", F.lit(""))
+    none = F.lit("")
+    units = docs.select(
+        key.alias("chunk_key"), F.col("doc_id").cast("int").alias("ordinal"), _text("=u", "doc_id").alias("url"), none.alias("anchor"), F.array(F.lit("h")).alias("heading_path"), F.lit(0).alias("part"), F.lit("guide").alias("kind"),
+        F.lit("core").alias("library"), none.alias("page_title"), none.alias("source_link"), none.alias("content_hash"), none.alias("synopsis"), text.alias("content"), text.alias("text"),
+    )
+    rows = build.index_rows(units, build.BatchModel(_letter_counter), lambda c: plain_tokens(c), "v1")
+    return rows.select(F.col("ordinal").cast("long").alias("doc_id"), "chunk_key", F.array_join(F.transform("embedding", lambda x: x.cast("long").cast("string")), ",").alias("counts"))
+
+
 _INDEXED = """e AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 t AS (SELECT doc_id, source, lang, coalesce(text, '') AS text, left(lang, 1) || chr(10) || 'gloss ' || n || chr(10) || CASE WHEN n % 2 = 0 THEN 'q' || n || ' why' || chr(10) ELSE '' END || lang || ' > h' || doc_id || chr(10) AS head,
       sha256('https://x.org/docs/' || source || '.html#a' || doc_id || '#' || lang || ' > h' || doc_id) AS chunk_key FROM documents JOIN e USING (source))"""

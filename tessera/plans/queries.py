@@ -6,6 +6,7 @@ Queries named ..._documents also take the documents without a vector.  ``ingest_
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -437,7 +438,11 @@ SELECT doc_id, fences + others AS paragraphs FROM p"""
 )
 def p6_paragraphs_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The paragraphs of every document, fenced code whole; a null text has none."""
-    count = F.udf(lambda t: len(chunking.seams(t or "")), "long")
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(chunking.seams(t or "")))
+
     return table(spark, sf, "documents").select("doc_id", count("text").alias("paragraphs"))
 
 

@@ -6,6 +6,7 @@ import re
 import time
 import zlib
 from collections.abc import Callable, Iterator
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -106,25 +107,54 @@ def fetch(url: str, get: Callable[[str], bytes] = http_get, tries: int = Config.
     raise ValueError("tries must be positive")
 
 
+class Pace:
+    """``get`` with at least ``delay`` seconds between two requests to one host, other tries and hops included."""
+
+    def __init__(self, get: Callable[[str], bytes], delay: float, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic):
+        self.get, self.delay, self.wait, self.clock = get, delay, wait, clock
+        self.free: dict[str | None, float] = {}
+
+    def __call__(self, url: str) -> bytes:
+        host = urlsplit(url).hostname
+        pause = self.free.get(host, 0.0) - self.clock()
+        if pause > 0:
+            self.wait(pause)
+        try:
+            return self.get(url)
+        finally:
+            self.free[host] = self.clock() + self.delay
+
+
+def fetched_page(url: str | None, get: Callable[[str], bytes], wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None]:
+    """(html, error) of a page: one of them is null.  Bytes that are no UTF-8 become replacement characters."""
+    try:
+        return fetch(url, get, wait=wait).decode("utf-8", "replace"), None
+    except Exception as e:
+        return None, f"{type(e).__name__}: {e}"[:500]
+
+
+PAGE = "library string, url string, html string, error string"
+
+
 def fetch_pages(urls: DataFrame, get: Callable[[str], bytes] = http_get, delay: float = Config.crawl_delay, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(library, url, html, error) of (library, url): a page that fails has its error and does not end the crawl.
 
-    Requests of a partition follow each other with ``delay`` between them; partition by host to be polite.
-    Bytes that are no UTF-8 become replacement characters.
+    With a ``delay`` all pages of a host are read by one task, whose requests to that host are at least so
+    far apart; hosts of one task take turns as their pages come, so one does not wait for another.  Without
+    one there is no rate to keep and rows stay where they are.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paced = Pace(get, delay, wait) if delay > 0 else get
         for b in batches:
-            rows = []
-            for r in b.itertuples(index=False):
-                try:
-                    rows.append((r.library, r.url, fetch(r.url, get, wait=wait).decode("utf-8", "replace"), None))
-                except Exception as e:
-                    rows.append((r.library, r.url, None, f"{type(e).__name__}: {e}"[:500]))
-                wait(delay)
+            rows = [(r.library, r.url, *fetched_page(r.url, paced, wait)) for r in b.itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["library", "url", "html", "error"])
 
-    return urls.select("library", "url").mapInPandas(run, "library string, url string, html string, error string")
+    rows = urls.select("library", "url")
+    if delay > 0:
+        host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+        rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), host)
+    return rows.mapInPandas(run, PAGE)
 
 
 def snapshot_first(pages: DataFrame, live: DataFrame) -> DataFrame:
