@@ -6,8 +6,11 @@ transitions tie neighbouring words, so that code-switched texts get runs of labe
 from forward-backward; a document's language is the one with the largest mean marginal.
 
 Forward-backward is exact and runs over all texts of a slice at once: sequences are cut into blocks
-of 64 words, block transfer matrices carry the messages between blocks, and then all blocks advance
-together.  The number of array steps does not grow with the length of a text.
+of 64 words, block transfer matrices carry the messages from block to block (a step for each block of the
+slice's longest text), and then all blocks advance together.  A text longer than a slice is read in slices that
+cut no word, forward first, for the messages into each, then backward for the marginals; the result is
+that of one pass.  Arrays are those of one slice, about 90 bytes a character; only a single run of letters that is
+longer than a slice makes them larger.
 
 The model is fitted on the driver on a bounded sample of labelled rows: of each language the documents
 with the smallest key hashes, at most ``SAMPLE_PER_LANGUAGE`` of them and none after the one that
@@ -18,7 +21,7 @@ rounds of ``ROUND_SPANS`` spans of 4 to 21 words, drawn anew.  The model's size
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,6 +41,8 @@ ROUNDS, ROUND_SPANS = 6, 4000
 BUCKETS = 1 << 16
 LEXICON = 4000
 UNDETERMINED = "und"
+#: Characters of a slice times the number of languages (at least 8).
+SLICE_CHARS = 8 << 20
 _BLOCK = 64
 _tables: list[np.ndarray] = []
 
@@ -161,12 +166,50 @@ class Model:
     def marginals(self, emissions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return forward_backward(emissions, offsets, self.transitions, self.initial)
 
+    def slice_marginals(self, text: str, size: int) -> Iterator[tuple[int, Words, np.ndarray]]:
+        """(start, words, marginals) of the slices of one text, the last slice first."""
+        spans = cuts(text, size)
+        words = lambda a, b: split([text[a:b]])
+        enter: list[np.ndarray | None] = [None]
+        for a, b in spans[:-1]:
+            enter.append(self._pass(words(a, b), enter[-1], None)[1])
+        leave = None
+        for (a, b), before in zip(reversed(spans), reversed(enter), strict=True):
+            w = words(a, b)
+            marginal, _, leave = self._pass(w, before, leave)
+            yield a, w, marginal
+
+    def _pass(self, w: Words, enter: np.ndarray | None, leave: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
+        if len(w.start) == 0:
+            return np.zeros((0, len(self.languages))), enter, leave
+        return _messages(self.emissions(w), w.offsets, self.transitions, self.initial, None, enter, leave)
+
+
+def cuts(text: str, size: int) -> list[tuple[int, int]]:
+    """Spans of at least ``size`` characters (the last one of what is left) that no word crosses."""
+    out, at = [], 0
+    while at < len(text):
+        to = min(len(text), at + size)
+        while to < len(text) and text[to - 1].isalpha() and text[to].isalpha():
+            to += 1
+        out.append((at, to))
+        at = to
+    return out
+
 
 def forward_backward(emissions: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, initial: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Marginals of each word of the sequences between ``offsets``; adds pair marginals to ``pairs``."""
+    if len(emissions) == 0:
+        return np.zeros((0, emissions.shape[1]))
+    return _messages(emissions, offsets, transitions, initial, pairs, None, None)[0]
+
+
+def _messages(emissions: np.ndarray, offsets: np.ndarray, transitions: np.ndarray, initial: np.ndarray, pairs: np.ndarray | None, before: np.ndarray | None, after: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginals, and the messages behind the last word and to before the first one.
+
+    With one sequence ``before`` and ``after`` are such messages of what precedes and follows it.
+    """
     n, k = emissions.shape
-    if n == 0:
-        return np.zeros((0, k))
     sizes = np.diff(offsets)
     per = -(-sizes // _BLOCK)
     nb = int(per.sum())
@@ -181,7 +224,7 @@ def forward_backward(emissions: np.ndarray, offsets: np.ndarray, transitions: np
     p = p[np.where(inside, place, 0)]  # nb x block x k
     a = np.exp(transitions - transitions.max())
     opening = np.exp(initial - initial.max())
-    first_block = index == 0
+    first_block = (index == 0) & (before is None)
     # transfer matrix of each block; a sequence's first word is entered by ``opening`` and not by ``a``
     if nb > len(sizes[sizes > 0]):
         m = np.broadcast_to(np.eye(k), (nb, k, k)).copy()
@@ -194,6 +237,10 @@ def forward_backward(emissions: np.ndarray, offsets: np.ndarray, transitions: np
             m = np.where(inside[:, s][:, None, None], step, m)
     enter, leave = np.zeros((nb, k)), np.ones((nb, k))
     enter[first_block] = opening
+    if before is not None:
+        enter[0] = before
+    if after is not None:
+        leave[-1] = after
     depth = int(per.max())
     for j in range(1, depth):
         on = block0[:-1][per > j] + j
@@ -228,7 +275,7 @@ def forward_backward(emissions: np.ndarray, offsets: np.ndarray, transitions: np
         flow = alpha[:, :-1, :, None] * a[None, None] * (p[:, 1:] * beta[:, 1:])[:, :, None, :]
         flow /= flow.sum(axis=(2, 3), keepdims=True)
         pairs += flow[inside[:, 1:]].sum(axis=0)
-    return out
+    return out, alpha[-1, width[-1] - 1], now[0] / now[0].sum()
 
 
 def fit(samples: list[tuple[str, str]], seed: int = 7, rounds: int = ROUNDS, batch: int = 96) -> Model:
@@ -333,8 +380,41 @@ def learned_rows(docs: DataFrame, key: str = "doc_id") -> tuple[Column, DataFram
     return held, docs.where(~held & F.col(key).isNotNull())
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
-    """The input's columns in a struct ``row``, then lang_pred, score, n_words and certainty (and spans).
+def _label(model: Model, texts: list[str | None], size: int, spans: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """By text: words, summed marginals by language, summed largest marginals, labelled runs."""
+    k = len(model.languages)
+    long = [i for i, t in enumerate(texts) if len(t or "") > size and k]
+    short = [None if len(t or "") > size and k else t for t in texts]
+    w = split(short)
+    n, runs = np.diff(w.offsets), []
+    sums, sure = np.zeros((len(n), k)), np.zeros(len(n))
+    if k:
+        marginal = model.marginals(model.emissions(w), w.offsets)
+        total = np.concatenate([np.zeros((1, k)), np.cumsum(marginal, axis=0)])
+        largest = np.concatenate([[0.0], np.cumsum(marginal.max(axis=1))])
+        sums, sure = total[w.offsets[1:]] - total[w.offsets[:-1]], largest[w.offsets[1:]] - largest[w.offsets[:-1]]
+    if spans:
+        runs = _runs(w, short, marginal.argmax(axis=1) if k else None, model.languages)
+    for i in long:
+        turned: list[dict] = []  # last run first
+        for start, w, marginal in model.slice_marginals(texts[i], size):
+            n[i] += len(marginal)
+            sums[i] += marginal.sum(axis=0)
+            sure[i] += marginal.max(axis=1).sum()
+            found = _runs(w, [None], marginal.argmax(axis=1), model.languages)[0] if spans else []
+            for r in reversed(found):
+                r = {"lang": r["lang"], "start": r["start"] + start, "end": r["end"] + start}
+                if turned and turned[-1]["lang"] == r["lang"]:
+                    turned[-1]["start"] = r["start"]
+                else:
+                    turned.append(r)
+        if spans:
+            runs[i] = turned[::-1]
+    return n, sums, sure, runs
+
+
+def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """The input's columns (or those of ``keep``) in a struct ``row``, then lang_pred, score, n_words and certainty (and spans).
 
     ``score`` is the mean marginal of the predicted language over the words, ``certainty`` the mean of
     each word's largest marginal: a text in several languages can have a small score and sure labels.
@@ -344,33 +424,28 @@ def identify(docs: DataFrame, model: Model, text: str = "text", spans: bool = Fa
     """
     names = ["row", "lang_pred", "score", "n_words", "certainty"] + ["spans"] * spans
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+    size = SLICE_CHARS // max(8, len(model.languages))  # a word takes room for each label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             rows = b.column(0).cast(nullable(b.column(0).type))
-            for part in text_groups(texts, (8 << 20) // max(8, len(model.languages))):  # a word takes room for each label
+            for part in text_groups(texts, size):
                 own = texts[part]
-                w = split(own)
-                n = np.diff(w.offsets)
+                n, sums, sure, runs = _label(model, own, size, spans)
+                many = np.maximum(n, 1)
                 if model.languages:
-                    marginal = model.marginals(model.emissions(w), w.offsets)
-                    sums = np.concatenate([np.zeros((1, marginal.shape[1])), np.cumsum(marginal, axis=0)])
-                    sure = np.concatenate([[0.0], np.cumsum(marginal.max(axis=1))])
-                    certainty = np.clip((sure[w.offsets[1:]] - sure[w.offsets[:-1]]) / np.maximum(n, 1), 0.0, 1.0)
-                    mean = (sums[w.offsets[1:]] - sums[w.offsets[:-1]]) / np.maximum(n, 1)[:, None]
-                    best = mean.argmax(axis=1)
+                    mean = sums / many[:, None]
+                    best, known = mean.argmax(axis=1), n > 0
                     score = np.clip(mean[np.arange(len(n)), best], 0.0, 1.0)
-                    known = n > 0
+                    certainty = np.clip(sure / many, 0.0, 1.0)
                 else:
                     best, score, certainty, known = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n), bool)
                 lang = [model.languages[i] if ok else UNDETERMINED for i, ok in zip(best, known, strict=True)]
                 columns = [rows.slice(part.start, len(own)), pa.array(lang), pa.array(np.where(known, score, 0.0)), pa.array(n, pa.int64()), pa.array(np.where(known, certainty, 0.0))]
-                if spans:
-                    columns.append(pa.array(_runs(w, own, marginal.argmax(axis=1) if model.languages else None, model.languages), span_type))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(runs, span_type)] * spans, names=names)
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)])
     picked = docs.select(row.alias("row"), F.col(text).alias("text"))
     schema = f"row {picked.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_words long, certainty double" + ", spans array<struct<lang:string,start:long,end:long>>" * spans
     return picked.mapInArrow(lean(run, "language"), schema)

@@ -21,7 +21,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held, rows = learned_rows(docs)
     model = fit(labelled_sample(rows, "lang", "text", "doc_id"))
-    found = identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+    found = identify(docs.select("doc_id", "text", held.alias("held_out")), model, keep=("doc_id", "held_out"))
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
 
 

@@ -112,6 +112,26 @@ def test_null_and_repeated_keys_are_labelled_by_their_texts(spark):
     assert next(r.n_words for r in got if r.row.doc_id == 3) == 120_000
 
 
+def test_language_of_a_text_in_slices(spark, monkeypatch):
+    model = crf.fit([("en", "the cat and the dog with that"), ("fr", "le chat et le chien avec ce")] * 3)
+    parts = ["the dog and the cat. ", "le chien avec ce chat, ", "1234567 ... ", "", "x" * 90 + " ", "that cat with the dog "]
+    text = "".join(parts[i] for i in np.random.default_rng(5).integers(0, 6, 60))
+    whole = model.marginals(model.emissions(w := crf.split([text])), w.offsets)
+    for size in (1, 7, 40, 333, len(text) - 1):
+        spans = crf.cuts(text, size)
+        assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+        found = list(model.slice_marginals(text, size))[::-1]
+        assert np.allclose(np.concatenate([m for *_, m in found]), whole, atol=1e-9)
+        assert np.array_equal(np.concatenate([a + v.start for a, v, _ in found]), w.start)
+    rows = frame(spark, [text, None, "le chat", text * 2, "", "!" * 500])
+    once = crf.identify(rows, model, spans=True).orderBy("row.doc_id").collect()
+    monkeypatch.setattr(crf, "SLICE_CHARS", 8 * 200)
+    cut = crf.identify(rows, model, spans=True, keep=["doc_id"]).orderBy("row.doc_id").collect()
+    for a, b in zip(once, cut, strict=True):
+        assert (a.lang_pred, a.n_words, a.spans) == (b.lang_pred, b.n_words, b.spans) and list(b.row.asDict()) == ["doc_id"]
+        assert abs(a.score - b.score) < 1e-9 and abs(a.certainty - b.certainty) < 1e-9
+
+
 def test_nothing_learned(spark):
     model = crf.fit([])
     assert {r.lang_pred for r in crf.identify(frame(spark, TEXTS), model).collect()} == {"und"}
