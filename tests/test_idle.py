@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.streaming import idle
 
@@ -62,7 +63,7 @@ def test_idle_keys_leave_and_come_back(spark, tmp_path):
 def test_a_hot_key_with_a_million_rows_in_one_batch(spark, tmp_path):
     hot = spark.range(1_000_000).selectExpr("if(id % 1000 = 7, 'cold', 'hot') who", "1000 + id / 100.0D t", "id ord", "cast(null as double) cooldown")
     found = run(spark, tmp_path, [hot], lambda s: idle.due(s, "who", 100.0))
-    got = {r.key: (r.n, r.ok) for r in found.groupBy("key").agg({"*": "count", "accepted": "max"}).toDF("key", "n", "ok").collect()}
+    got = {r.key: (r.n, r.ok) for r in found.groupBy("key").agg(F.count("*").alias("n"), F.max("accepted").alias("ok")).collect()}
     assert got == {"hot": (999_000, True), "cold": (1000, True)}
     assert found.where("accepted and key = 'hot'").count() == 100
 
