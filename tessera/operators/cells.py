@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.config import KINDS, Config
-from tessera.operators.retrieval import _HITS, BLOCK_QUERIES, SHARD_ROWS, _matrix, dense_hits, nearest, pooled, wants
+from tessera.operators.retrieval import _HITS, BLOCK_QUERIES, SHARD_ROWS, _matrix, _unit, dense_hits, nearest, pooled, wants
 from tessera.streaming.runs import folder
-from tessera.workers import lean
+from tessera.workers import lean, lean_cogroup
 
 #: Rows that coarse centres are fitted on, at most: those with the smallest key hashes.
 SAMPLE = 50_000
@@ -32,15 +32,12 @@ SAMPLE = 50_000
 FINE, FINE_ROWS = 1024, 64
 #: Share of exact pools that the default number of cells must hold, and rows that it is measured on.
 RECALL, TRIED = 0.95, 64
+#: Queries that meet a piece of a cell at once, at most about.
+LOOK_QUERIES = 1 << 13
 _SLICE = 1 << 12
 _ROUNDS = 8
 
 
-def _unit(m: np.ndarray) -> np.ndarray:
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
 def _home(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Each point's nearest centre, some points at a time."""
     return np.concatenate([np.argmax(np.nan_to_num(points[i : i + _SLICE] @ centres.T), axis=1) for i in range(0, len(points), _SLICE)] or [np.zeros(0, int)])
@@ -133,7 +130,7 @@ class Centres:
             ids = q["query_id"].take(pa.array(np.repeat(np.arange(len(points)), order.shape[1])))
             return pa.table({"query_id": ids.combine_chunks(), "cell": c["cell"].take(pa.array(order.reshape(-1))).combine_chunks(), "near": pa.array(np.take_along_axis(near, order, 1).reshape(-1), pa.float64())})
 
-        found = left.groupBy("coarse", "block").cogroup(right.groupBy("coarse", "block")).applyInArrow(run, "query_id string, cell int, near double")
+        found = left.groupBy("coarse", "block").cogroup(right.groupBy("coarse", "block")).applyInArrow(lean_cogroup(run), "query_id string, cell int, near double")
         order = Window.partitionBy("query_id").orderBy(F.desc("near"), "cell")
         return found.where("not isnan(near)").withColumn("place", F.row_number().over(order)).where(F.col("place") <= probe).select("query_id", "cell", "place")
 
@@ -182,7 +179,7 @@ class CellIndex:
         def keep(rows: pa.Table, c: pa.Table) -> pa.Table:
             return _settled(rows, c, names)
 
-        dealt.groupBy("coarse", "piece").cogroup(table.groupBy("coarse", "piece")).applyInArrow(keep, f"{ddl}, cell int").write.mode("overwrite").parquet(f"{path}/rows")
+        dealt.groupBy("coarse", "piece").cogroup(table.groupBy("coarse", "piece")).applyInArrow(lean_cogroup(keep), f"{ddl}, cell int").write.mode("overwrite").parquet(f"{path}/rows")
         index = cls(spark.read.parquet(f"{path}/rows"), Centres.load(spark, path))
         spark.createDataFrame([(index.probe_for(RECALL, n, seed + 2),)], "probe int").coalesce(1).write.mode("overwrite").parquet(f"{path}/probe")
         return cls.load(spark, path)
@@ -228,7 +225,9 @@ class CellIndex:
         sizes = self.rows.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("pieces"))
         dealt = self.rows.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("chunk_key"), F.col("pieces")).cast("int"))
         asked = kept(_coarse(wants(queries), "vector", self.centres.coarse, max(1, len(self.centres.coarse))), "asked")
-        blocks = max(1, -(-asked.count() // BLOCK_QUERIES))
+        count = asked.count()
+        blocks, sets = max(1, -(-count // BLOCK_QUERIES)), max(1, -(-count // LOOK_QUERIES))
+        dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
         found, open_, seen, turn = None, asked, None, 0
         while True:
             probe = min(max(1, every), probe)
@@ -239,7 +238,8 @@ class CellIndex:
             seen = spark.read.schema("query_id string, cell int").parquet(f"{at}/looks")
             looks = new.join(open_.drop("coarse"), "query_id").join(sizes, "cell")
             looks = looks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-            here = dealt.groupBy("cell", "piece").cogroup(looks.groupBy("cell", "piece")).applyInArrow(nearest(pool), _HITS)
+            looks = looks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int"))
+            here = dealt.groupBy("cell", "piece", "block").cogroup(looks.groupBy("cell", "piece", "block")).applyInArrow(lean_cogroup(nearest(pool)), _HITS)
             found = kept(pooled(here if found is None else found.drop("dense_rank").unionByName(here), pool), f"found{turn}")
             if probe >= every:
                 return found

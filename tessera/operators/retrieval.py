@@ -4,8 +4,8 @@ Queries are (query_id, query, vector, library, kind); library and kind may be nu
 Chunks are (chunk_key, url, page_title, heading_path, library, kind, embedding, lexemes).  A query
 costs the same whether it comes alone or among thousands: chunks are read once for all.
 
-Dense distances: chunks are dealt into shards and queries into blocks; a (shard, block) group is one
-matrix product of bounded size that keeps ``pool`` rows a query and kind, and shards merge by query.
+Dense distances: chunks are dealt into shards and queries into blocks; a (shard, block) group is
+multiplied in slices of at most ``SLICE_CELLS`` distances and keeps ``pool`` rows a query and kind, and shards merge by query.
 (``cells`` has the same search over the nearest parts of an index.)
 Keyword hits: an equi-join on lexemes, counted by (query, chunk).  Symbols: one automaton of the distinct
 ones of all queries, one pass over the chunks.  Gate and interleaving are windows over the pools;
@@ -15,6 +15,8 @@ joined at the end, for the keys that are left.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -27,9 +29,12 @@ from tessera.functions.text import is_exact_api, known_kind, symbol_in_query
 from tessera.operators.keyword import KeywordIndex
 from tessera.operators.patterns import occurrences
 from tessera.streaming.runs import folder
+from tessera.workers import lean_cogroup
 
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
+#: Distances that a task holds at once: those of some queries of a block to all chunks of a shard.
+SLICE_CELLS = 1 << 20
 _ORD = {k: i for i, k in enumerate(KINDS)}
 
 
@@ -55,13 +60,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosine distances of all rows; NaN for zero, missing or unequal vectors."""
-    if a.shape[1] != b.shape[1]:
-        return np.full((len(a), len(b)), np.nan)
+def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
-        unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b)]
-        return 1.0 - unit[0] @ unit[1].T
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
+    """Cosine distances of the vectors ``q`` to all of ``c``, NaN for zero, missing or unequal ones: some rows of ``q`` at a
+    time, with the number of the first, so that at most ``SLICE_CELLS`` distances (or those of one row) are there at once."""
+    a, b = _unit(_matrix(q)), _unit(_matrix(c))
+    step = max(1, SLICE_CELLS // max(1, len(b)))
+    for i in range(0, len(a), step):
+        if a.shape[1] != b.shape[1]:
+            yield i, np.full((len(a[i : i + step]), len(b)), np.nan)
+            continue
+        with np.errstate(invalid="ignore"):
+            found = a[i : i + step] @ b.T
+        yield i, np.subtract(1.0, found, out=found)
 
 
 _HITS = "query_id string, kind string, chunk_key string, dist double"
@@ -71,24 +86,28 @@ def nearest(pool: int):
     """A function of (chunks, queries) of one group to their ``_HITS``: the pools of the queries' kinds."""
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        found = _distances(_matrix(q["vector"]), _matrix(c["embedding"]))
         keys, kinds, libraries = (np.array(c[n].to_pylist(), object) for n in ("chunk_key", "kind", "library"))
-        rows: dict[str, list] = {"query_id": [], "kind": [], "chunk_key": [], "dist": []}
-        for i, (qid, library, kind) in enumerate(zip(*(q[n].to_pylist() for n in ("query_id", "want_library", "want_kind")), strict=True)):
-            fit = ~np.isnan(found[i])
-            if library is not None:
-                fit &= libraries == library
-            for k in KINDS if kind is None else (kind,):
-                at = np.flatnonzero(fit & (kinds == k))
-                if len(at) > pool:
-                    edge = np.partition(found[i, at], pool - 1)[pool - 1]
-                    at = at[found[i, at] <= edge]
-                at = at[np.lexsort((keys[at].astype(str), found[i, at]))][:pool]
-                rows["query_id"] += [qid] * len(at)
-                rows["kind"] += [k] * len(at)
-                rows["chunk_key"] += keys[at].tolist()
-                rows["dist"] += found[i, at].tolist()
-        return pa.table({"query_id": pa.array(rows["query_id"], pa.string()), "kind": pa.array(rows["kind"], pa.string()), "chunk_key": pa.array(rows["chunk_key"], pa.string()), "dist": pa.array(rows["dist"], pa.float64())})
+        of_kind = {k: kinds == k for k in KINDS}
+        asked = list(zip(q["want_library"].to_pylist(), q["want_kind"].to_pylist(), strict=True))
+        queries, chunks, dists, named = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], []
+        for first, found in _distances(q["vector"], c["embedding"]):
+            for i, row in enumerate(found, first):
+                library, kind = asked[i]
+                fit = ~np.isnan(row)
+                if library is not None:
+                    fit &= libraries == library
+                for k in KINDS if kind is None else (kind,):
+                    at = np.flatnonzero(fit & (of_kind[k] if k in of_kind else kinds == k))
+                    if len(at) > pool:
+                        edge = np.partition(row[at], pool - 1)[pool - 1]
+                        at = at[row[at] <= edge]
+                    at = at[np.lexsort((keys[at].astype(str), row[at]))][:pool]
+                    queries.append(np.full(len(at), i))
+                    chunks.append(at)
+                    dists.append(row[at])
+                    named += [k] * len(at)
+        take = lambda column, at: column.take(pa.array(np.concatenate(at))).cast(pa.string())
+        return pa.table({"query_id": take(q["query_id"], queries), "kind": pa.array(named, pa.string()), "chunk_key": take(c["chunk_key"], chunks), "dist": pa.array(np.concatenate(dists))})
 
     return run
 
@@ -106,7 +125,7 @@ def pooled(found: DataFrame, pool: int) -> DataFrame:
 def dense_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
     """(query_id, kind, chunk_key, dist, dense_rank): the ``pool`` nearest chunks of each kind a query asks for."""
     left, right = _deal(chunks.select("chunk_key", "kind", "library", "embedding"), wants(queries))
-    return pooled(left.cogroup(right).applyInArrow(nearest(pool), _HITS), pool)
+    return pooled(left.cogroup(right).applyInArrow(lean_cogroup(nearest(pool)), _HITS), pool)
 
 
 def top_distance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -114,12 +133,12 @@ def top_distance(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     left, right = _deal(chunks.select("chunk_key", "embedding"), queries.select("query_id", "vector"))
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        found = _distances(_matrix(q["vector"]), _matrix(c["embedding"]))
-        found = np.where(np.isnan(found), np.inf, found)
-        best = found.min(axis=1) if found.shape[1] else np.full(len(found), np.inf)
+        best = np.full(len(q), np.inf)
+        for first, found in _distances(q["vector"], c["embedding"]):
+            best[first : first + len(found)] = np.nan_to_num(found, copy=False, nan=np.inf).min(axis=1, initial=np.inf)
         return pa.table({"query_id": q["query_id"], "dist": pa.array([None if np.isinf(b) else float(b) for b in best], pa.float64())})
 
-    near = left.cogroup(right).applyInArrow(run, "query_id string, dist double").groupBy("query_id").agg(F.min("dist").alias("dist"))
+    near = left.cogroup(right).applyInArrow(lean_cogroup(run), "query_id string, dist double").groupBy("query_id").agg(F.min("dist").alias("dist"))
     return queries.select("query_id").join(near, "query_id", "left")
 
 
@@ -129,25 +148,28 @@ def dense_rank_of(chunks: DataFrame, queries: DataFrame, page: str = "url") -> D
     left, right = _deal(chunks.select("chunk_key", "url", "embedding"), queries.select("query_id", "vector", F.col(page).alias("page")))
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        found = _distances(_matrix(q["vector"]), _matrix(c["embedding"]))
         urls = [u.lower() for u in c["url"].to_pylist()]
-        ids, own = [], []
-        for i, (qid, p) in enumerate(zip(q["query_id"].to_pylist(), q["page"].to_pylist(), strict=True)):
-            hit = np.array([p.lower() in u for u in urls]) & ~np.isnan(found[i])
-            ids.append(qid)
-            own.append(float(found[i, hit].min()) if hit.any() else None)
-        return pa.table({"query_id": pa.array(ids, pa.string()), "best": pa.array(own, pa.float64())})
-
-    best = left.cogroup(right).applyInArrow(run, "query_id string, best double").groupBy("query_id").agg(F.min("best").alias("best"))
+        pages, own, last, there = [p.lower() for p in q["page"].to_pylist()], [], None, None
+        for first, found in _distances(q["vector"], c["embedding"]):
+            for i, row in enumerate(found, first):
+                if pages[i] != last:
+                    last, there = pages[i], np.array([pages[i] in u for u in urls], bool)
+                hit = there & ~np.isnan(row)
+                own.append(float(row[hit].min()) if hit.any() else None)
+        return pa.table({"query_id": q["query_id"], "best": pa.array(own, pa.float64())})
+
+    best = left.cogroup(right).applyInArrow(lean_cogroup(run), "query_id string, best double").groupBy("query_id").agg(F.min("best").alias("best"))
     left, right = _deal(chunks.select("chunk_key", "embedding"), queries.select("query_id", "vector").join(best, "query_id"))
 
     def closer(c: pa.Table, q: pa.Table) -> pa.Table:
-        found = _distances(_matrix(q["vector"]), _matrix(c["embedding"]))
-        edge = np.array([np.nan if b is None else b for b in q["best"].to_pylist()])[:, None]
+        edge = np.array([np.nan if b is None else b for b in q["best"].to_pylist()], np.float64)[:, None]
+        ahead = np.zeros(len(q), np.int64)
         with np.errstate(invalid="ignore"):
-            return pa.table({"query_id": q["query_id"], "n": pa.array((found < edge - 1e-12).sum(axis=1), pa.int64())})
+            for first, found in _distances(q["vector"], c["embedding"]):
+                ahead[first : first + len(found)] = (found < edge[first : first + len(found)] - 1e-12).sum(axis=1)
+        return pa.table({"query_id": q["query_id"], "n": pa.array(ahead)})
 
-    ahead = left.cogroup(right).applyInArrow(closer, "query_id string, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
+    ahead = left.cogroup(right).applyInArrow(lean_cogroup(closer), "query_id string, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
     return best.join(ahead, "query_id").select("query_id", "best", F.when(F.col("best").isNotNull(), F.col("n") + 1).alias("rank"))
 
 
