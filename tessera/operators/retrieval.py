@@ -29,7 +29,7 @@ from tessera.functions.text import is_exact_api, known_kind, symbol_in_query
 from tessera.operators.keyword import KeywordIndex
 from tessera.operators.patterns import occurrences
 from tessera.streaming.runs import folder
-from tessera.workers import lean_cogroup
+from tessera.workers import lean, lean_cogroup
 
 SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
@@ -173,10 +173,30 @@ def dense_rank_of(chunks: DataFrame, queries: DataFrame, page: str = "url") -> D
     return best.join(ahead, "query_id").select("query_id", "best", F.when(F.col("best").isNotNull(), F.col("n") + 1).alias("rank"))
 
 
-def postings(chunks: DataFrame, lexemes: str = "lexemes") -> DataFrame:
-    """(lexeme, chunk_key, kind, library, tf): the inverted index; write it bucketed by lexeme to search often."""
-    words = chunks.select("chunk_key", "kind", "library", F.explode(lexemes).alias("lexeme"))
-    return words.groupBy("lexeme", "chunk_key", "kind", "library").agg(F.count("*").alias("tf"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (chunk_key, kind, library, words) as one row a row and lexeme, with its count."""
+    for b in batches:
+        words = b.column("words")
+        rows = pa.table({"of": pc.list_parent_indices(words), "lexeme": words.flatten()}).group_by(["of", "lexeme"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+        if len(rows):
+            kept = [b.column(c).take(rows["of"].chunk(0)) for c in ("chunk_key", "kind", "library")]
+            yield pa.RecordBatch.from_arrays([rows["lexeme"].chunk(0), *kept, rows["count_all"].chunk(0)], names=["lexeme", "chunk_key", "kind", "library", "tf"])
+
+
+def postings(chunks: DataFrame, lexemes: str = "lexemes", queries: DataFrame | None = None) -> DataFrame:
+    """(lexeme, chunk_key, kind, library, tf): the inverted index; write it bucketed by lexeme to search often.
+
+    Lexemes are counted where the chunk is, so no task aggregates whole texts; with ``queries`` only the postings of their
+    ``query_lexemes`` are made.
+    """
+    rows = chunks.select("chunk_key", "kind", "library", F.col(lexemes).alias("words"))
+    of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    words = rows.mapInArrow(lean(_counted), f"lexeme string, chunk_key {of['chunk_key']}, kind {of['kind']}, library {of['library']}, tf long")
+    if queries is not None:
+        words = words.join(queries.select(F.explode("query_lexemes").alias("lexeme")).distinct(), "lexeme", "left_semi")
+    else:
+        words = words.repartition("lexeme", "chunk_key")
+    return words.groupBy("lexeme", "chunk_key", "kind", "library").agg(F.sum("tf").alias("tf"))
 
 
 def keyword_hits(index: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
@@ -210,19 +230,21 @@ def _fits():
 def symbol_hits(chunks: DataFrame, queries: DataFrame, pool: int = Config.pool) -> DataFrame:
     """(query_id, chunk_key, kind, exact, symbol_rank): chunks whose url, title or headings hold the query's symbol.
 
-    API pages first, then shorter urls.  Chunks are searched once for all distinct symbols; without a symbol in
-    any query no chunk is read.
+    API pages first, then shorter urls.  Chunks are searched once for all distinct symbols and ranked once for all queries
+    that ask the same (symbol, library, kind); without a symbol in any query no chunk is read.
     """
     asked = queries.withColumn("symbol", symbol_in_query(F.col("query"))).where("symbol is not null").select("query_id", "symbol", F.lower("symbol").alias("low"), F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
     if asked.isEmpty():
         return queries.sparkSession.createDataFrame([], "query_id string, chunk_key string, kind string, exact boolean, symbol_rank int")
     hay = F.lower(F.concat_ws("\n", "url", "page_title", "heading_path"))
     fields = chunks.select("chunk_key", "url", "kind", "library", hay.alias("hay"))
-    both = occurrences(fields, F.col("hay"), asked.select("low"), "low").drop("hay").join(asked, "low")
+    ask = ["symbol", "want_library", "want_kind"]
+    both = occurrences(fields, F.col("hay"), asked.select("low"), "low").drop("hay").join(asked.select(*ask, "low").distinct(), "low")
     exact = is_exact_api(F.col("kind"), F.col("url"), F.col("symbol"))
-    order = Window.partitionBy("query_id").orderBy((F.col("kind") == "api").desc(), F.char_length("url"), "chunk_key")
-    found = both.where(_fits()).withColumn("exact", exact).withColumn("symbol_rank", F.row_number().over(order))
-    return found.where(F.col("symbol_rank") <= pool).select("query_id", "chunk_key", "kind", "exact", "symbol_rank")
+    order = Window.partitionBy(*ask).orderBy((F.col("kind") == "api").desc(), F.char_length("url"), "chunk_key")
+    found = both.where(_fits()).withColumn("symbol_rank", F.row_number().over(order)).where(F.col("symbol_rank") <= pool).withColumn("exact", exact)
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"a.{c}")) for c in ask]
+    return asked.alias("a").join(found.alias("f"), same).select("query_id", "chunk_key", "f.kind", "exact", "symbol_rank")
 
 
 def fused(dense: DataFrame, keyword: DataFrame, constant: int = Config.rrf) -> DataFrame:
@@ -290,14 +312,16 @@ def retrieve(chunks: DataFrame, queries: DataFrame, k: int = Config.k, pool: int
     """(query_id, rank, chunk_key, dist): the k best chunks of each query, an exact API page pinned first.
 
     ``index`` is a kept ``KeywordIndex`` or written ``postings`` of the chunks, made here where none are given;
-    ``dense`` is what gives the dense pools (``cells.CellIndex.hits`` for a search in parts).  The pools are
-    written once, since queries with and without a symbol both read them.
+    ``dense`` is what gives the dense pools (``cells.CellIndex.hits`` for a search in parts).  The pools and
+    the chunks with symbols are written once, since queries with and without a symbol both read them.
     """
-    words = index.hits(queries, pool) if isinstance(index, KeywordIndex) else keyword_hits(postings(chunks) if index is None else index, queries, pool)
+    words = index.hits(queries, pool) if isinstance(index, KeywordIndex) else keyword_hits(postings(chunks, queries=queries) if index is None else index, queries, pool)
     pools, at = fused(dense(chunks, queries, pool), words), folder(queries.sparkSession, "pools")
     pools.write.parquet(at)
     kinds = queries.sparkSession.read.schema(pools.schema).parquet(at)
-    symbols = symbol_hits(chunks, queries, pool)
+    symbols, at = symbol_hits(chunks, queries, pool), folder(queries.sparkSession, "symbols")
+    symbols.write.parquet(at)
+    symbols = queries.sparkSession.read.schema(symbols.schema).parquet(at)
     named = symbols.select("query_id").distinct()
     plain = interleaved(gated(kinds.join(named, "query_id", "left_anti"), gap), k).select("query_id", "rank", "chunk_key", "dist")
     exact = symbols.select("query_id", "chunk_key", "exact")

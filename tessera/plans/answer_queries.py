@@ -75,7 +75,7 @@ def r3_search_tool(spark: SparkSession, sf: str) -> DataFrame:
 def f2_filtered_pools(spark: SparkSession, sf: str) -> DataFrame:
     chunks, asked = chunk_table(spark, sf), _restricted(spark, sf).withColumn("kind", tx.known_kind(F.col("kind")))
     dense = retrieval.dense_hits(chunks, asked).select(F.lit("dense").alias("pool"), "query_id", "kind", "chunk_key", F.col("dense_rank").alias("rank"))
-    return dense.union(retrieval.keyword_hits(retrieval.postings(chunks), asked).select(F.lit("keyword"), "query_id", "kind", "chunk_key", "keyword_rank"))
+    return dense.union(retrieval.keyword_hits(retrieval.postings(chunks, queries=asked), asked).select(F.lit("keyword"), "query_id", "kind", "chunk_key", "keyword_rank"))
 
 
 _NAMES = ("https://example.org/docs/generated/torch.nn.item_", "https://example.org/tutorials/item_", "https://example.org/guide/topic")

@@ -27,3 +27,21 @@ def test_a_group_of_dense_search_holds_slices_of_distances():
             at = [j for j in range(k, n, 3) if not i % 2 or not j % 2]
             want += [(f"q{i:04}", kind, f"k{j:05}") for j in sorted(at, key=lambda j: dist[i, j])[:3]]
     assert sorted(zip(*(found[x].to_pylist() for x in ("query_id", "kind", "chunk_key")), strict=True)) == sorted(want)
+
+
+def test_symbols_are_ranked_once_for_equal_asks(spark):
+    chunks = spark.createDataFrame([(f"k{i}", f"https://x/generated/a.item_{i % 3}.html", "p", "h", "l", ("api", "guide")[i % 2]) for i in range(30)], "chunk_key string, url string, page_title string, heading_path string, library string, kind string")
+    asked = spark.createDataFrame([(f"q{i}", "see a.item_1 here", None, ("api", None)[i % 2]) for i in range(8)], "query_id string, query string, library string, kind string")
+    found = retrieval.symbol_hits(chunks, asked, 4)
+    rows = sorted((r.query_id, r.symbol_rank, r.chunk_key, r.exact) for r in found.collect())
+    api = sorted(f"k{i}" for i in range(30) if i % 3 == 1 and i % 2 == 0)[:4]
+    assert rows == [(f"q{i}", n, k, True) for i in range(8) for n, k in enumerate(api, 1)]
+    assert "windowspecdefinition(query_id" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_postings_of_asked_lexemes_only(spark):
+    chunks = spark.createDataFrame([("a", "api", "l", ["x", "y", "x"]), ("a", "api", "l", ["x"]), ("b", "api", None, ["y", "z"]), ("c", "api", "l", [])], "chunk_key string, kind string, library string, lexemes array<string>")
+    asked = spark.createDataFrame([("q", ["x", "y"]), ("r", ["nowhere"])], "query_id string, query_lexemes array<string>")
+    rows = lambda df: sorted((r.lexeme, r.chunk_key, r.tf) for r in df.collect())
+    assert rows(retrieval.postings(chunks)) == [("x", "a", 3), ("y", "a", 1), ("y", "b", 1), ("z", "b", 1)]
+    assert rows(retrieval.postings(chunks, queries=asked)) == [("x", "a", 3), ("y", "a", 1), ("y", "b", 1)]
