@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from tessera.operators import retrieval
+from tessera.operators import keyword, retrieval
 
 
 def test_a_group_of_dense_search_holds_slices_of_distances():
@@ -45,3 +45,17 @@ def test_postings_of_asked_lexemes_only(spark):
     rows = lambda df: sorted((r.lexeme, r.chunk_key, r.tf) for r in df.collect())
     assert rows(retrieval.postings(chunks)) == [("x", "a", 3), ("y", "a", 1), ("y", "b", 1), ("z", "b", 1)]
     assert rows(retrieval.postings(chunks, queries=asked)) == [("x", "a", 3), ("y", "a", 1), ("y", "b", 1)]
+
+
+def test_equal_asks_are_searched_once(spark, tmp_path, monkeypatch):
+    chunks = spark.createDataFrame([(f"k{i:02}", "api", f"l{i % 2}", ["x"] * (1 + i % 3) + ["y", f"w{i}"]) for i in range(40)], "chunk_key string, kind string, library string, lexemes array<string>")
+    asked = spark.createDataFrame([(f"q{i}", ["y", "x"] if i % 2 else ["x", "y", "x"], "l1" if i > 5 else None, None) for i in range(8)], "query_id string, query_lexemes array<string>, library string, kind string")
+    index, looked, plain = keyword.KeywordIndex.build(chunks, f"file://{tmp_path}/i", 8), set(), keyword.KeywordIndex._scored
+    monkeypatch.setattr(keyword.KeywordIndex, "_scored", lambda self, wanted: looked.update(r[0] for r in wanted.select("query_id").distinct().collect()) or plain(self, wanted))
+    found, read = index.search(asked, 3)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.keyword_rank, r.chunk_key))
+    assert len(looked) == 2 and len(got) == 8 and read.count() == 8
+    assert len({str(sorted(v)) for k, v in got.items() if k <= "q5"}) == 1 and all(int(k[1:]) % 2 for q in ("q6", "q7") for _, k in got[q])
+    assert {r.query_id: r.gap for r in index.closeness(found, asked).where("keyword_rank = 1").collect()} == dict.fromkeys(got, 1)
