@@ -4,8 +4,9 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.operators import keyword, retrieval
+from tessera.operators import keyword, patterns, retrieval
 
 
 def test_a_group_of_dense_search_holds_slices_of_distances():
@@ -59,3 +60,13 @@ def test_equal_asks_are_searched_once(spark, tmp_path, monkeypatch):
     assert len(looked) == 2 and len(got) == 8 and read.count() == 8
     assert len({str(sorted(v)) for k, v in got.items() if k <= "q5"}) == 1 and all(int(k[1:]) % 2 for q in ("q6", "q7") for _, k in got[q])
     assert {r.query_id: r.gap for r in index.closeness(found, asked).where("keyword_rank = 1").collect()} == dict.fromkeys(got, 1)
+
+
+def test_many_patterns_do_not_read_the_texts_again(spark, monkeypatch):
+    searched, plain = [], patterns._search
+    monkeypatch.setattr(patterns, "_search", lambda words: searched.append(1) or plain(words))
+    monkeypatch.setattr(patterns, "PART_BYTES", 64)
+    texts = spark.createDataFrame([(i, f"word{i % 7} and {'abc' * 3}{i}; äöü") for i in range(20)] + [(3, "word3 word3"), (20, None)], "id int, t string")
+    asked = [f"word{i}" for i in range(30)] + ["bca", "c1", "äö", "nothing"]
+    got = sorted((r.id, r.p) for r in patterns.occurrences(texts, F.col("t"), spark.createDataFrame([(x,) for x in asked], "w string"), "p").collect())
+    assert got == sorted((r.id, x) for r in texts.collect() if r.t is not None for x in asked if x in r.t) and not searched
