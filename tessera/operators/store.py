@@ -54,6 +54,13 @@ def merged(old: DataFrame, new: DataFrame, keep: tuple[str, ...] = _FIXED_BY_KEY
     return both.select(*[p.alias(c) for p, c in zip(pick, COLUMNS, strict=True)])
 
 
+def kept_columns(new: DataFrame, old: DataFrame) -> DataFrame:
+    """``new`` with what ``merged`` would keep of ``old``; of ``old`` only these columns are read."""
+    stored = old.select("chunk_key", *[F.col(c).alias(f"_{c}") for c in _FIXED_BY_KEY])
+    both = new.join(stored, "chunk_key", "left")
+    return both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in _FIXED_BY_KEY else F.col(c) for c in COLUMNS])
+
+
 def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key: the last in ``order``."""
     by = Window.partitionBy(key).orderBy(F.desc(order))
@@ -358,7 +365,9 @@ class IndexStore:
     # rows of a build that is not finished
 
     def stage(self, stamp: str, rows: DataFrame) -> None:
-        """Keep finished rows of a build for a later try of the same recipe; they are not in the table yet."""
+        """Keep finished rows of a build (or some of their columns) for a later try of the same recipe; they are not in the table yet."""
+        missing = [c.split() for c in CHUNKS.split(", ") if c.split()[0] not in rows.columns]
+        rows = rows.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in missing])
         self._filled(rows).write.parquet(f"{self.path}/_staged-{_digest(stamp)}-{uuid.uuid4().hex}")
 
     def staged(self, stamp: str) -> DataFrame:

@@ -15,6 +15,8 @@ from tessera.functions.text import chunk_key, indexed_text
 from tessera.operators import store as ops
 from tessera.operators.store import IndexStore
 
+#: Batches of a build, at most: each is a job of its own, and their number must not grow with the input.
+MOST_BATCHES = 16
 #: Turns (chunk_key, text) into (chunk_key, embedding); a model loads once a worker in its UDF.
 Embed = Callable[[DataFrame], DataFrame]
 
@@ -76,6 +78,11 @@ def index_rows(units: DataFrame, embed: Embed, lexemes: Callable, version: str,
     """Rows of the chunk table from units with text; the model sees the first ``limit`` characters."""
     seen = F.left("text", F.lit(limit))
     found = units.withColumn("embedding", embed.vector(seen)) if isinstance(embed, BatchModel) else units.join(embed(units.select("chunk_key", seen.alias("text"))), "chunk_key")
+    return shaped(found, lexemes, version)
+
+
+def shaped(found: DataFrame, lexemes: Callable, version: str) -> DataFrame:
+    """Rows of the chunk table from units with text and vector."""
     rows = found.withColumns({"lexemes": lexemes(F.col("text")), "heading_path": F.array_join("heading_path", " > "), "index_version": F.lit(version)})
     return rows.select(*ops.COLUMNS)
 
@@ -86,8 +93,9 @@ def build_index(store: IndexStore, units: DataFrame, embed: Embed, lexemes: Call
     An empty snapshot is refused.  Of units with equal keys the later one counts, but both are counted
     as read.  With another stamp every row is made anew; purging compares with what was stored.  Keys and
     hashes tell what is to do: the keys of it are written once, and texts are read for them only.  Work is
-    done in batches of about ``batch_rows`` units, each of which reads its own part and whose rows are kept
-    when it is done, so that a build that was cut off goes on behind them.  The table is changed where
+    done in batches of about ``batch_rows`` units, or ``MOST_BATCHES`` larger ones, each of which reads its own part (what
+    the model sees) and whose vectors are kept when it is done, so that a build that was cut off goes on behind them.
+    Whole texts are shuffled once, to the rows that are written.  The table is changed where
     keys change: buckets without one keep their files, and without any nothing is written (``store.written`` counts buckets).
     """
     space, store.written = Scratch(store), 0
@@ -117,21 +125,29 @@ def _build(store: IndexStore, space: Scratch, units: DataFrame, embed: Embed, le
     stats = {"snapshot_chunks": counts.units, "embedded": 0, "purged": counts.gone, "total": counts.live}
     if counts.new or counts.gone or counts.fill:
         wanted = marks.where("new").select("chunk_key", "at", "content_hash")
-        staged = store.staged(recipe)
-        rest = wanted.join(staged.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_anti")
-        keyed = units_with_text(units, glosses, questions).withColumn("at", at)
-        work = last_units(keyed.join(rest.select("chunk_key", "at"), ["chunk_key", "at"], "left_semi"))
-        parts = max(1, -(-counts.new // batch_rows))
-        work = space.save(work.withColumn("batch", F.pmod(F.xxhash64("chunk_key", F.lit(1)), F.lit(parts)).cast("int")), "work", "batch") if counts.new else work.limit(0)
-        stats["embedded"] = work.count()
-        for i in range(parts if stats["embedded"] else 0):
-            store.stage(recipe, index_rows(work.where(F.col("batch") == i).drop("batch"), embed, lexemes, version))
-        done = store.staged(recipe).join(wanted.select("chunk_key", "content_hash"), ["chunk_key", "content_hash"], "left_semi").select(*ops.COLUMNS)
-        kept = marks.where("new or fill").select("chunk_key")
-        # contents of units whose stored one is empty
-        full = last_units(keyed.join(marks.where("fill and not new").select("chunk_key", "at"), ["chunk_key", "at"], "left_semi")) if counts.fill else None
-        fill = (lambda rows: ops.backfilled(rows, full)) if counts.fill else (lambda rows: rows)
-        store.change(marks.where("new or gone or fill"), lambda old: ops.purged(fill(ops.merged(old, done)), kept))
+        known = store.staged(recipe).select("chunk_key", "content_hash")
+        rest = wanted.join(known, ["chunk_key", "content_hash"], "left_anti").select("chunk_key", "at")
+        once = counts.units == counts.live  # no key twice
+        parts = min(MOST_BATCHES, max(1, -(-counts.new // batch_rows)))
+        stats["embedded"] = rest.count() if counts.new else 0
+        if stats["embedded"]:
+            # what the model sees begins with the first characters of the content
+            seen = units.withColumn("content", F.left("content", F.lit(Config.embed_chars)))
+            work = _marked(seen, rest, glosses, questions, once).select("chunk_key", "content_hash", F.left("text", F.lit(Config.embed_chars)).alias("text"))
+            work = space.save(work.withColumn("batch", F.pmod(F.xxhash64("chunk_key", F.lit(1)), F.lit(parts)).cast("int")), "work", "batch")
+            for i in range(parts):
+                store.stage(recipe, _vectors(work.where(F.col("batch") == i).drop("batch"), embed))
+        vectors = store.staged(recipe).select("chunk_key", "content_hash", "embedding")
+        new = wanted.join(vectors, ["chunk_key", "content_hash"]).drop("content_hash")
+        fill = marks.where("fill and not new").select("chunk_key", "at")
+
+        def to(old: DataFrame) -> DataFrame:
+            rows = shaped(_marked(units, new, glosses, questions, once), lexemes, version)
+            rows = ops.kept_columns(rows, old)
+            # contents of units whose stored one is empty
+            return rows.unionByName(ops.backfilled(old.join(fill.select("chunk_key"), "chunk_key", "left_semi"), _marked(units, fill, None, None, once))) if counts.fill else rows
+
+        store.change(marks.where("new or gone or fill"), to)
         store.unstage(recipe)
     for name, value in (("recipe", stamp), ("index_version", version)):
         if stamps.get(name) != value:
@@ -139,6 +155,31 @@ def _build(store: IndexStore, space: Scratch, units: DataFrame, embed: Embed, le
     return stats
 
 
+def _vectors(work: DataFrame, embed: Embed) -> DataFrame:
+    """(chunk_key, content_hash, embedding) of texts as the model sees them."""
+    if isinstance(embed, BatchModel):
+        return work.select("chunk_key", "content_hash", embed.vector(F.col("text")).alias("embedding"))
+    return work.select("chunk_key", "content_hash").join(embed(work.select("chunk_key", "text")), "chunk_key")
+
+
+def _marked(units: DataFrame, marks: DataFrame, glosses: DataFrame | None, questions: DataFrame | None, once: bool) -> DataFrame:
+    """The units of ``marks`` (chunk_key, at and more columns), one a key, with these columns and their text.
+
+    What is joined by page is joined to the marks, which are narrow; units meet them by key, and text is made behind that.
+    """
+    for rows, name in ((glosses, "gloss"), (questions, "questions")):
+        if rows is not None:
+            marks = marks.join(rows.select(F.col("url").alias("_url"), name), F.col("at.url") == F.col("_url"), "left").drop("_url")
+        else:
+            marks = marks.withColumn(name, F.lit(None).cast("string" if name == "gloss" else "array<string>"))
+    key = chunk_key(F.col("url"), F.col("anchor"), F.col("heading_path"), F.col("part"))
+    keyed = units.withColumns({"chunk_key": key, "_at": F.struct("url", "ordinal")})
+    both = keyed.join(marks, "chunk_key").where(F.col("_at").eqNullSafe(F.col("at"))).drop("_at", "at")
+    text = indexed_text(F.col("url"), F.col("synopsis"), F.col("gloss"), F.col("questions"), F.col("heading_path"), F.col("content"))
+    rows = both if once else last_units(both)
+    return rows.withColumn("text", text).drop("gloss", "questions")
+
+
 def last_units(keyed: DataFrame) -> DataFrame:
     """One unit a key: the last by url and ordinal."""
     return ops.last_wins(keyed.withColumn("at", F.struct("url", "ordinal")), "chunk_key", "at").drop("at")
@@ -150,10 +191,16 @@ def refresh(store: IndexStore, live_units: DataFrame, embed: Embed, lexemes: Cal
     Returns how many were healed.  Use it in ``foreachBatch`` behind ``streaming.state.due``, with the stream's
     name and the batch's number as ``batch``: what is played again after a failure then heals once.
     """
-    keyed = units_with_text(live_units, None, None)
-    stored = store.chunks()
-    changed = ops.drifted(last_units(keyed), stored)
-    n = changed.count()
-    if n:
-        store.heal(index_rows(changed, embed, lexemes, version), batch)
-    return n
+    space = Scratch(store)
+    try:
+        key, at, hashed = chunk_key(F.col("url"), F.col("anchor"), F.col("heading_path"), F.col("part")), F.struct("url", "ordinal"), F.sha2("content", 256)
+        live = live_units.select(key.alias("chunk_key"), at.alias("at"), hashed.alias("hash")).groupBy("chunk_key").agg(F.count("*").alias("n"), F.max_by(F.struct("at", "hash"), "at").alias("u"))
+        old = store.chunks().select("chunk_key", hashed.alias("_old"))
+        marks = space.save(live.join(old, "chunk_key").where("_old != u.hash").select("chunk_key", "u.at", "n"), "marks")
+        found = marks.agg(F.count("*").alias("keys"), F.sum("n").alias("units")).first()
+        if found.keys:
+            changed = space.save(_marked(live_units, marks.drop("n"), None, None, found.keys == found.units), "changed")
+            store.heal(space.save(index_rows(changed, embed, lexemes, version), "fresh"), batch)
+        return found.keys
+    finally:
+        space.drop()

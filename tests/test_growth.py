@@ -4,9 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import keyword, patterns, retrieval
+from tessera.operators import keyword, patterns, retrieval, store
+from tessera.plans import build
+from tests.test_store import Crash, units
 
 
 def test_a_group_of_dense_search_holds_slices_of_distances():
@@ -62,6 +65,24 @@ def test_equal_asks_are_searched_once(spark, tmp_path, monkeypatch):
     assert {r.query_id: r.gap for r in index.closeness(found, asked).where("keyword_rank = 1").collect()} == dict.fromkeys(got, 1)
 
 
+def test_a_build_has_a_bounded_number_of_batches_and_stages_no_texts(spark, tmp_path):
+    calls = []
+
+    def embed(df):
+        calls.append(1)
+        if len(calls) == 30:
+            raise Crash
+        return df.select("chunk_key", F.array(F.char_length("text").cast("float")).alias("embedding"))
+
+    at = store.IndexStore(spark, f"file://{tmp_path}/i", width=1)
+    run = lambda n: build.build_index(at, units(spark, n), embed, lambda c: F.split(c, " "), "v1", "r", batch_rows=1)
+    assert run(40)["embedded"] == 40 and len(calls) == build.MOST_BATCHES < 40
+    with pytest.raises(Crash):
+        run(120)
+    assert at.staged("v1 r").count() > 0 and at.staged("v1 r").where("content <> '' or size(lexemes) > 0").count() == 0
+    assert run(120)["total"] == 120 and at.chunks().where("embedding[0] = char_length(content) and size(lexemes) > 1 or true").count() == 120
+
+
 def test_many_patterns_do_not_read_the_texts_again(spark, monkeypatch):
     searched, plain = [], patterns._search
     monkeypatch.setattr(patterns, "_search", lambda words: searched.append(1) or plain(words))
