@@ -45,7 +45,7 @@ def _home(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 def kmeans(vectors: np.ndarray, k: int, seed: int) -> np.ndarray:
     """At most ``k`` unit centres, no more than different directions; rows without one are left out."""
-    points = _unit(vectors)
+    points = _unit(np.array(vectors))
     points = np.unique(points[~np.isnan(points).any(axis=1)], axis=0)
     if not len(points):
         return np.zeros((0, vectors.shape[1]))

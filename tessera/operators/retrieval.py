@@ -35,6 +35,7 @@ SHARD_ROWS = 1 << 15
 BLOCK_QUERIES = 1 << 10
 #: Distances that a task holds at once: those of some queries of a block to all chunks of a shard.
 SLICE_CELLS = 1 << 20
+UNIT_ROWS = 1 << 12
 _ORD = {k: i for i, k in enumerate(KINDS)}
 
 
@@ -55,14 +56,19 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     width = int(sizes.max(initial=0))
     out = np.full((len(sizes), width), np.nan)
     fit = (sizes == width) & (width > 0)
-    if fit.any():
-        out[fit] = vectors.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    if fit.all():  # cast in place, without a copy in between
+        out[:] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    elif fit.any():
+        out[fit] = vectors.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     return out
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
+    """``m`` itself with rows of length one, some rows at a time; NaN for those without a direction."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        return m / np.linalg.norm(m, axis=1, keepdims=True)
+        for i in range(0, len(m), UNIT_ROWS):
+            m[i : i + UNIT_ROWS] /= np.linalg.norm(m[i : i + UNIT_ROWS], axis=1, keepdims=True)
+    return m
 
 
 def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
@@ -82,32 +88,43 @@ def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray) -> Iterator[tuple[int, np
 _HITS = "query_id string, kind string, chunk_key string, dist double"
 
 
+def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[str, int]]:
+    """Numbers of the column's values, -1 for null, and the number of each value."""
+    coded = column.combine_chunks().dictionary_encode()
+    return pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False), {x: i for i, x in enumerate(coded.dictionary.to_pylist())}
+
+
 def nearest(pool: int):
-    """A function of (chunks, queries) of one group to their ``_HITS``: the pools of the queries' kinds."""
+    """A function of (chunks, queries) of one group to their ``_HITS``: the pools of the queries' kinds.
+
+    Chunks are taken by kind and key, so a kind is a run of a row of distances, in the order of ties.
+    """
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
-        keys, kinds, libraries = (np.array(c[n].to_pylist(), object) for n in ("chunk_key", "kind", "library"))
-        of_kind = {k: kinds == k for k in KINDS}
+        kinds, named = _coded(c["kind"])
+        libraries, shelves = _coded(c["library"])
+        order = np.lexsort((np.array(c["chunk_key"].to_pylist(), object).astype(str), kinds))
+        kinds, libraries = kinds[order], libraries[order]
+        runs = {k: tuple(np.searchsorted(kinds, (i, i + 1))) for k, i in named.items()}
         asked = list(zip(q["want_library"].to_pylist(), q["want_kind"].to_pylist(), strict=True))
-        queries, chunks, dists, named = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], []
-        for first, found in _distances(q["vector"], c["embedding"]):
+        queries, chunks, dists, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], []
+        for first, found in _distances(q["vector"], c["embedding"].take(pa.array(order))):
             for i, row in enumerate(found, first):
                 library, kind = asked[i]
-                fit = ~np.isnan(row)
-                if library is not None:
-                    fit &= libraries == library
                 for k in KINDS if kind is None else (kind,):
-                    at = np.flatnonzero(fit & (of_kind[k] if k in of_kind else kinds == k))
-                    if len(at) > pool:
-                        edge = np.partition(row[at], pool - 1)[pool - 1]
-                        at = at[row[at] <= edge]
-                    at = at[np.lexsort((keys[at].astype(str), row[at]))][:pool]
+                    start, end = runs.get(k, (0, 0))
+                    here = row[start:end]
+                    if library is not None:
+                        here = np.where(libraries[start:end] == shelves.get(library, -2), here, np.nan)
+                    edge = np.partition(here, pool - 1)[pool - 1] if len(here) > pool else np.nan  # NaN is behind all
+                    at = np.flatnonzero(~np.isnan(here) if np.isnan(edge) else here <= edge)
+                    at = at[np.argsort(here[at], kind="stable")][:pool]
                     queries.append(np.full(len(at), i))
-                    chunks.append(at)
-                    dists.append(row[at])
-                    named += [k] * len(at)
+                    chunks.append(order[start + at])
+                    dists.append(here[at])
+                    of += [k] * len(at)
         take = lambda column, at: column.take(pa.array(np.concatenate(at))).cast(pa.string())
-        return pa.table({"query_id": take(q["query_id"], queries), "kind": pa.array(named, pa.string()), "chunk_key": take(c["chunk_key"], chunks), "dist": pa.array(np.concatenate(dists))})
+        return pa.table({"query_id": take(q["query_id"], queries), "kind": pa.array(of, pa.string()), "chunk_key": take(c["chunk_key"], chunks), "dist": pa.array(np.concatenate(dists))})
 
     return run
 
@@ -167,10 +184,10 @@ def dense_rank_of(chunks: DataFrame, queries: DataFrame, page: str = "url") -> D
         with np.errstate(invalid="ignore"):
             for first, found in _distances(q["vector"], c["embedding"]):
                 ahead[first : first + len(found)] = (found < edge[first : first + len(found)] - 1e-12).sum(axis=1)
-        return pa.table({"query_id": q["query_id"], "n": pa.array(ahead)})
+        return pa.table({"query_id": q["query_id"], "best": q["best"], "n": pa.array(ahead)})
 
-    ahead = left.cogroup(right).applyInArrow(lean_cogroup(closer), "query_id string, n long").groupBy("query_id").agg(F.sum("n").alias("n"))
-    return best.join(ahead, "query_id").select("query_id", "best", F.when(F.col("best").isNotNull(), F.col("n") + 1).alias("rank"))
+    ahead = left.cogroup(right).applyInArrow(lean_cogroup(closer), "query_id string, best double, n long").groupBy("query_id").agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+    return ahead.select("query_id", "best", F.when(F.col("best").isNotNull(), F.col("n") + 1).alias("rank"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import keyword, patterns, retrieval, store
+from tessera.operators.cells import kmeans
 from tessera.plans import build
 from tests.test_store import Crash, units
 
@@ -33,6 +34,45 @@ def test_a_group_of_dense_search_holds_slices_of_distances():
     assert sorted(zip(*(found[x].to_pylist() for x in ("query_id", "kind", "chunk_key")), strict=True)) == sorted(want)
 
 
+def test_vectors_of_a_group_are_held_once():
+    n, width = 20_000, 64
+    column = pa.chunked_array([pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.random.default_rng(4).standard_normal(n * width).astype(np.float32)))])
+    tracemalloc.start()
+    found = retrieval._unit(retrieval._matrix(column))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 8 * n * width and np.allclose(np.linalg.norm(found, axis=1), 1)
+    assert kmeans(rows := np.full((2, 3), 2.0), 1, 0).shape == (1, 3) and (rows == 2).all()
+
+
+def test_pools_with_ties_nulls_and_unknown_kinds():
+    rng = np.random.default_rng(5)
+    vectors = [None if i % 13 == 0 else [0.0, 0.0] if i % 17 == 0 else [float(x) for x in rng.integers(-2, 3, 2)] for i in range(400)]
+    keys, kinds, libraries = [f"k{i * 7 % 400:03}" for i in range(400)], [("api", "guide", None, "odd")[i % 4] for i in range(400)], [("a", None, "b")[i % 3] for i in range(400)]
+    c = pa.table({"chunk_key": keys, "kind": kinds, "library": libraries, "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+    asked = [(f"q{i}", (None, "a", "nowhere")[i % 3], (None, "odd", "api", "missing")[i % 4], [1.0, i % 5 - 2.0]) for i in range(24)] + [("z", None, None, [0.0, 0.0]), ("n", None, None, None)]
+    q = pa.table({n: pa.array(x, t) for n, x, t in zip(("query_id", "want_library", "want_kind", "vector"), zip(*asked, strict=True), (pa.string(), pa.string(), pa.string(), pa.list_(pa.float32())), strict=True)})
+    got = retrieval.nearest(5)(c, q)
+    cosine = lambda v, w: round(1 - np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w), 9)
+    want = []
+    for name, library, kind, v in asked:
+        for k in ("api", "tutorial", "guide") if kind is None else (kind,):
+            fit = [(cosine(v, w), key) for key, of, at, w in zip(keys, kinds, libraries, vectors, strict=True) if v and any(v) and w and any(w) and of == k and library in (None, at)]
+            want += [(name, k, d) for d, _ in sorted(fit)[:5]]
+    assert [(a, b, round(d, 9)) for a, b, d in zip(*(got[x].to_pylist() for x in ("query_id", "kind", "dist")), strict=True)] == want
+    # equal vectors are taken by key
+    same = c.set_column(3, "embedding", pa.array([[1.0, 1.0]] * 400, pa.list_(pa.float32())))
+    assert retrieval.nearest(5)(same, q.slice(0, 1))["chunk_key"].to_pylist()[:5] == sorted(k for k, of in zip(keys, kinds, strict=True) if of == "api")[:5]
+
+
+def test_ranks_of_pages_search_twice(spark):
+    chunks = spark.createDataFrame([(f"k{i}", f"https://x/{'ab'[i % 2]}/{i}", [1.0, i / 9]) for i in range(10)], "chunk_key string, url string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0], "/B/"), ("r", [1.0, 1.0], "/a/"), ("s", [1.0, 1.0], "/c/")], "query_id string, vector array<float>, url string")
+    found = retrieval.dense_rank_of(chunks, asked)
+    assert {r.query_id: (r.best is None, r["rank"]) for r in found.collect()} == {"q": (False, 2), "r": (False, 2), "s": (True, None)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 2
+
+
 def test_symbols_are_ranked_once_for_equal_asks(spark):
     chunks = spark.createDataFrame([(f"k{i}", f"https://x/generated/a.item_{i % 3}.html", "p", "h", "l", ("api", "guide")[i % 2]) for i in range(30)], "chunk_key string, url string, page_title string, heading_path string, library string, kind string")
     asked = spark.createDataFrame([(f"q{i}", "see a.item_1 here", None, ("api", None)[i % 2]) for i in range(8)], "query_id string, query string, library string, kind string")
