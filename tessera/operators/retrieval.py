@@ -40,7 +40,8 @@ _ORD = {k: i for i, k in enumerate(KINDS)}
 
 
 def _deal(chunks: DataFrame, queries: DataFrame):
-    """(chunks, queries) by (shard, block), each pair of which meets in one group."""
+    """(chunks, queries) by (shard, block), each pair of which meets in one group; chunks without a vector meet none."""
+    chunks = chunks.where("embedding is not null")
     shards = max(1, -(-chunks.count() // SHARD_ROWS))
     blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -56,7 +57,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     width = int(sizes.max(initial=0))
     out = np.full((len(sizes), width), np.nan)
     fit = (sizes == width) & (width > 0)
-    if fit.all():  # cast in place, without a copy in between
+    if len(fit) and fit.all():  # cast in place, without a copy in between
         out[:] = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
     elif fit.any():
         out[fit] = vectors.filter(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)

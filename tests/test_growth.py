@@ -65,6 +65,16 @@ def test_pools_with_ties_nulls_and_unknown_kinds():
     assert retrieval.nearest(5)(same, q.slice(0, 1))["chunk_key"].to_pylist()[:5] == sorted(k for k, of in zip(keys, kinds, strict=True) if of == "api")[:5]
 
 
+def test_chunks_without_a_vector_are_in_no_group(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "SHARD_ROWS", 8)
+    chunks = spark.createDataFrame([(f"k{i:02}", "api", "l", [1.0, i / 9] if i % 5 == 0 else None) for i in range(40)], "chunk_key string, kind string, library string, embedding array<float>")
+    asked = spark.createDataFrame([("q", [1.0, 0.0], None, None)], "query_id string, vector array<float>, library string, kind string")
+    left, right = retrieval._deal(chunks, asked)
+    assert (left._df.count(), right._df.count()) == (8, 1)
+    assert sorted((r.dense_rank, r.chunk_key) for r in retrieval.dense_hits(chunks, asked, 3).collect()) == [(1, "k00"), (2, "k05"), (3, "k10")]
+    assert retrieval.dense_hits(chunks.where("embedding is null"), asked, 3).count() == 0 and retrieval.top_distance(chunks.where("embedding is null"), asked).first().dist is None
+
+
 def test_ranks_of_pages_search_twice(spark):
     chunks = spark.createDataFrame([(f"k{i}", f"https://x/{'ab'[i % 2]}/{i}", [1.0, i / 9]) for i in range(10)], "chunk_key string, url string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.0], "/B/"), ("r", [1.0, 1.0], "/a/"), ("s", [1.0, 1.0], "/c/")], "query_id string, vector array<float>, url string")
