@@ -5,8 +5,8 @@ the cells of each coarse one are fitted in a task of its own, on a bounded sampl
 what the driver and a worker hold grows with the root of the cells.  Every chunk is assigned to the nearest
 cell of its nearest coarse one; the index has all rows, by cell.
 
-A query ranks the cells of its nearest coarse ones, looks into the nearest ``probe`` of them and meets a cell's
-chunks in pieces of bounded size.  Where a filter leaves a pool short the search widens, twice as many cells in
+A query ranks the cells of its nearest coarse ones and looks into the nearest ``probe`` of them.  Neighbouring cells are
+searched together, in pieces of bounded size, so a query's hits are its pools of each piece and not of each cell.  Where a filter leaves a pool short the search widens, twice as many cells in
 each round, until the pools are full or every cell was looked at; with ``probe`` of all cells the result is exact.
 How many cells a search takes by default is measured when the index is built.
 """
@@ -32,8 +32,8 @@ SAMPLE = 50_000
 FINE, FINE_ROWS = 1024, 64
 #: Share of exact pools that the default number of cells must hold, and rows that it is measured on.
 RECALL, TRIED = 0.95, 64
-#: Queries that meet a piece of a cell at once, at most about.
-LOOK_QUERIES = 1 << 13
+#: Cells that are searched in one group, at most, and queries that meet a piece of them at once, at most about.
+BUNDLE, LOOK_QUERIES = 256, 1 << 12
 _SLICE = 1 << 12
 _ROUNDS = 8
 
@@ -222,8 +222,10 @@ class CellIndex:
             return spark.read.schema(rows.schema).parquet(f"{at}/{name}")
 
         every, probe = len(self.centres), probe or self.probe
-        sizes = self.rows.groupBy("cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("pieces"))
-        dealt = self.rows.join(sizes, "cell").withColumn("piece", F.pmod(F.xxhash64("chunk_key"), F.col("pieces")).cast("int"))
+        width = max(1, min(BUNDLE, SHARD_ROWS * every // max(1, self.rows.count())))  # neighbours: cells of a coarse one follow each other
+        rows, bundle = self.rows.withColumn("bundle", F.expr(f"cell div {width}")), F.expr(f"cell div {width}").alias("bundle")
+        sizes = rows.groupBy("bundle").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("pieces"))
+        dealt = rows.join(sizes, "bundle").withColumn("piece", F.pmod(F.xxhash64("chunk_key"), F.col("pieces")).cast("int"))
         asked = kept(_coarse(wants(queries), "vector", self.centres.coarse, max(1, len(self.centres.coarse))), "asked")
         count = asked.count()
         blocks, sets = max(1, -(-count // BLOCK_QUERIES)), max(1, -(-count // LOOK_QUERIES))
@@ -236,10 +238,10 @@ class CellIndex:
                 new = new.join(seen, ["query_id", "cell"], "left_anti")
             new = kept(new, f"looks/turn={turn}")
             seen = spark.read.schema("query_id string, cell int").parquet(f"{at}/looks")
-            looks = new.join(open_.drop("coarse"), "query_id").join(sizes, "cell")
+            looks = new.groupBy("query_id", bundle).agg(F.collect_list("cell").alias("cells")).join(open_.drop("coarse"), "query_id").join(sizes, "bundle")
             looks = looks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
             looks = looks.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(sets)).cast("int"))
-            here = dealt.groupBy("cell", "piece", "block").cogroup(looks.groupBy("cell", "piece", "block")).applyInArrow(lean_cogroup(nearest(pool)), _HITS)
+            here = dealt.groupBy("bundle", "piece", "block").cogroup(looks.groupBy("bundle", "piece", "block")).applyInArrow(lean_cogroup(nearest(pool)), _HITS)
             found = kept(pooled(here if found is None else found.drop("dense_rank").unionByName(here), pool), f"found{turn}")
             if probe >= every:
                 return found

@@ -72,9 +72,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m
 
 
-def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray]]:
+def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray, runs: list[tuple[int, int, np.ndarray]] | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """Cosine distances of the vectors ``q`` to all of ``c``, NaN for zero, missing or unequal ones: some rows of ``q`` at a
-    time, with the number of the first, so that at most ``SLICE_CELLS`` distances (or those of one row) are there at once."""
+    time, with the number of the first, so that at most ``SLICE_CELLS`` distances (or those of one row) are there at once.
+    With ``runs`` of (start, end, which rows of ``q``), only those rows meet that run of ``c``; the others get NaN."""
     a, b = _unit(_matrix(q)), _unit(_matrix(c))
     step = max(1, SLICE_CELLS // max(1, len(b)))
     for i in range(0, len(a), step):
@@ -82,7 +83,13 @@ def _distances(q: pa.ChunkedArray, c: pa.ChunkedArray) -> Iterator[tuple[int, np
             yield i, np.full((len(a[i : i + step]), len(b)), np.nan)
             continue
         with np.errstate(invalid="ignore"):
-            found = a[i : i + step] @ b.T
+            if runs is None:
+                found = a[i : i + step] @ b.T
+            else:
+                found = np.full((len(a[i : i + step]), len(b)), np.nan)
+                for start, end, looks in runs:
+                    at = np.flatnonzero(looks[i : i + step])
+                    found[at, start:end] = a[i + at] @ b[start:end].T
         yield i, np.subtract(1.0, found, out=found)
 
 
@@ -98,18 +105,23 @@ def _coded(column: pa.ChunkedArray) -> tuple[np.ndarray, dict[str, int]]:
 def nearest(pool: int):
     """A function of (chunks, queries) of one group to their ``_HITS``: the pools of the queries' kinds.
 
-    Chunks are taken by kind and key, so a kind is a run of a row of distances, in the order of ties.
+    Chunks are taken by kind and key, so a kind is a run of a row of distances, in the order of ties.  Where queries have
+    ``cells``, they meet the chunks of these only, taken by kind, cell and key.
     """
 
     def run(c: pa.Table, q: pa.Table) -> pa.Table:
         kinds, named = _coded(c["kind"])
         libraries, shelves = _coded(c["library"])
-        order = np.lexsort((np.array(c["chunk_key"].to_pylist(), object).astype(str), kinds))
-        kinds, libraries = kinds[order], libraries[order]
+        keys = np.array(c["chunk_key"].to_pylist(), object).astype(str)
+        cells = c["cell"].to_numpy() if "cells" in q.column_names else np.zeros(len(c), int)
+        order = np.lexsort((keys, cells, kinds))
+        kinds, libraries, cells = kinds[order], libraries[order], cells[order]
+        place = np.argsort(np.argsort(keys[order], kind="stable"))
+        runs_of_cells = _met(kinds, cells, q["cells"]) if "cells" in q.column_names else None
         runs = {k: tuple(np.searchsorted(kinds, (i, i + 1))) for k, i in named.items()}
         asked = list(zip(q["want_library"].to_pylist(), q["want_kind"].to_pylist(), strict=True))
         queries, chunks, dists, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)], []
-        for first, found in _distances(q["vector"], c["embedding"].take(pa.array(order))):
+        for first, found in _distances(q["vector"], c["embedding"].take(pa.array(order)), runs_of_cells):
             for i, row in enumerate(found, first):
                 library, kind = asked[i]
                 for k in KINDS if kind is None else (kind,):
@@ -119,7 +131,7 @@ def nearest(pool: int):
                         here = np.where(libraries[start:end] == shelves.get(library, -2), here, np.nan)
                     edge = np.partition(here, pool - 1)[pool - 1] if len(here) > pool else np.nan  # NaN is behind all
                     at = np.flatnonzero(~np.isnan(here) if np.isnan(edge) else here <= edge)
-                    at = at[np.argsort(here[at], kind="stable")][:pool]
+                    at = at[np.lexsort((place[start + at], here[at]))][:pool]
                     queries.append(np.full(len(at), i))
                     chunks.append(order[start + at])
                     dists.append(here[at])
@@ -130,6 +142,17 @@ def nearest(pool: int):
     return run
 
 
+def _met(kinds: np.ndarray, cells: np.ndarray, looks: pa.ChunkedArray) -> list[tuple[int, int, np.ndarray]]:
+    """(start, end, queries) of each run of equal kind and cell: which queries have the cell in their ``looks``."""
+    edges = np.flatnonzero((np.diff(kinds) != 0) | (np.diff(cells) != 0)) + 1
+    looks = looks.combine_chunks()
+    of, at = pc.list_parent_indices(looks).to_numpy(), looks.flatten().to_numpy()
+    asked = {cell: np.zeros(len(looks), bool) for cell in np.unique(cells).tolist()}
+    for cell, by in asked.items():
+        by[of[at == cell]] = True
+    return [(start, end, asked[cells[start]]) for start, end in zip([0, *edges], [*edges, len(cells)], strict=True) if end > start]
+
+
 def wants(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "vector", F.col("library").alias("want_library"), F.col("kind").alias("want_kind"))
 

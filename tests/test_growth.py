@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import keyword, patterns, retrieval, store
+from tessera.operators import cells, keyword, patterns, retrieval, store
 from tessera.operators.cells import kmeans
 from tessera.plans import build
 from tests.test_store import Crash, units
@@ -75,6 +75,37 @@ def test_chunks_without_a_vector_are_in_no_group(spark, monkeypatch):
     assert retrieval.dense_hits(chunks.where("embedding is null"), asked, 3).count() == 0 and retrieval.top_distance(chunks.where("embedding is null"), asked).first().dist is None
 
 
+def test_hits_of_cells_are_merged_where_they_are_found(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(f"k{i * 7 % 600:03}", ("api", "guide", None)[i % 3], ("a", "b")[i % 2], v) for i, v in enumerate(rng.integers(-2, 3, (600, 4)).astype(float).tolist())]
+    chunks = spark.createDataFrame(rows, "chunk_key string, kind string, library string, embedding array<float>")
+    asked = spark.createDataFrame([(f"q{i}", rng.standard_normal(4).tolist(), (None, "a")[i % 2], (None, "api", "none")[i % 3]) for i in range(9)], "query_id string, vector array<float>, library string, kind string")
+    index, found = cells.CellIndex.build(chunks, f"file://{tmp_path}/cells", 30), []
+    ranked = lambda df: sorted((r.query_id, r.kind, round(r.dist, 9)) for r in df.collect())
+    monkeypatch.setattr(cells, "pooled", lambda df, pool: found.append(df.count()) or retrieval.pooled(df, pool))
+    exact = retrieval.dense_hits(chunks, asked, 5)
+    assert ranked(index.hits(None, asked, 5, probe=len(index.centres))) == ranked(exact)
+    assert found == [exact.count()]  # all cells are in one group; by cell there were up to 30 times as many
+    # a search in some of the cells finds what is nearest in these; small pieces find the same
+    some = [index.hits(None, asked.where("kind is null and library is null"), 5, probe=4)]
+    monkeypatch.setattr(cells, "SHARD_ROWS", 64)
+    monkeypatch.setattr(cells, "LOOK_QUERIES", 4)
+    some.append(index.hits(None, asked.where("kind is null and library is null"), 5, probe=4))
+    assert ranked(some[0]) == ranked(some[1])
+    assert ranked(index.hits(None, asked, 5, probe=len(index.centres))) == ranked(exact)
+
+
+def test_a_query_meets_its_cells_only_and_ties_go_by_key():
+    n = 90
+    c = pa.table({"chunk_key": [f"k{i * 7 % n:02}" for i in range(n)], "kind": ["api", "guide", None] * (n // 3), "library": ["a"] * n, "embedding": pa.array([[1.0, 1.0]] * n, pa.list_(pa.float32())), "cell": pa.array([i // 3 % 5 for i in range(n)], pa.int32())})
+    looks = [[0, 3], [4], [], [1, 2, 9]]
+    q = pa.table({"query_id": list("abcd"), "want_library": pa.array([None] * 4, pa.string()), "want_kind": pa.array([None] * 4, pa.string()), "vector": pa.array([[1.0, 1.0]] * 4, pa.list_(pa.float32())), "cells": pa.array(looks, pa.list_(pa.int32()))})
+    got = retrieval.nearest(4)(c, q)
+    want = [(name, kind, key) for name, look in zip("abcd", looks, strict=True) for kind in ("api", "guide") for key in sorted(k for k, of, cell in zip(*(c[x].to_pylist() for x in ("chunk_key", "kind", "cell")), strict=True) if of == kind and cell in look)[:4]]
+    assert list(zip(*(got[x].to_pylist() for x in ("query_id", "kind", "chunk_key")), strict=True)) == want
+    assert retrieval.nearest(4)(c.slice(0, 0), q).num_rows == retrieval.nearest(4)(c, q.slice(0, 0)).num_rows == 0
+
+
 def test_ranks_of_pages_search_twice(spark):
     chunks = spark.createDataFrame([(f"k{i}", f"https://x/{'ab'[i % 2]}/{i}", [1.0, i / 9]) for i in range(10)], "chunk_key string, url string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.0], "/B/"), ("r", [1.0, 1.0], "/a/"), ("s", [1.0, 1.0], "/c/")], "query_id string, vector array<float>, url string")
