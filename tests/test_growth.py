@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import cells, keyword, patterns, retrieval, store
 from tessera.operators.cells import kmeans
-from tessera.plans import build
+from tessera.plans import build, registry
 from tests.test_store import Crash, units
 
 
@@ -106,6 +106,12 @@ def test_a_query_meets_its_cells_only_and_ties_go_by_key():
     assert retrieval.nearest(4)(c.slice(0, 0), q).num_rows == retrieval.nearest(4)(c, q.slice(0, 0)).num_rows == 0
 
 
+def test_words_are_made_of_the_documents_of_queries_only(spark, sf):
+    plan = registry.query_table(spark, sf).where("size(query_lexemes) > 0 and query <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    texts = [line for line in plan.splitlines() if "Filter" in line and "array_sort" in line]
+    assert all("% 50" in line.split("array_sort")[0] for line in texts)
+
+
 def test_ranks_of_pages_search_twice(spark):
     chunks = spark.createDataFrame([(f"k{i}", f"https://x/{'ab'[i % 2]}/{i}", [1.0, i / 9]) for i in range(10)], "chunk_key string, url string, embedding array<float>")
     asked = spark.createDataFrame([("q", [1.0, 0.0], "/B/"), ("r", [1.0, 1.0], "/a/"), ("s", [1.0, 1.0], "/c/")], "query_id string, vector array<float>, url string")
